@@ -15,8 +15,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, text_slices
+from .common import Words, binary, text_slices
 
 #: n-gram length -> largest share of word characters inside n-grams of that length that occur twice or more.
 NGRAM_LIMITS = {5: 0.25, 7: 0.20, 10: 0.15}
@@ -111,26 +113,32 @@ def measure(texts: list[bytes | None], ngram_limits: dict[int, float], line_limi
     return out | {"kept": ~failed & ~over}
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
-    """Measures and verdict for every row of ``docs``: id, columns of ``keep``, then the measures.
+def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """Measures and verdict for every row of ``docs``: the id, then the measures.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged one by one,
-    an empty table gives an empty result, and a ``keep`` column that has a measure's name is an error.
-    Very long texts are processed whole.
+    A null or empty text has no words and fails the base rules; a null id is carried. Repeated rows are
+    judged one by one and an empty table gives an empty result. Very long texts are processed whole.
+    Other columns are ignored, whatever their names.
     """
     limits = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "dup_line_chars", *(f"dup_{n}gram_chars" for n in limits), "kept"]
-    if clash := {id_col, *keep} & set(measures):
-        raise ValueError(f"columns named like measures: {sorted(clash)}")
-    carried = list(dict.fromkeys([id_col, *keep]))
-    source = docs.select(*carried, *([] if text in carried else [text]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            found = measure(binary(batch.column("text")), limits, line_limit)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(found[m]) for m in measures)], names=[id_col, *measures])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField(id_col, source.schema["id"].dataType), *(T.StructField(m, T.BooleanType() if m in ("kept", "base_failed") else T.LongType()) for m in measures)])
+    return source.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, text: str = "text", ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns as they are."""
+    limits = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
-            found = measure(batch.column(text).cast(pa.large_binary()).to_pylist(), limits, line_limit)
-            columns = [batch.column(c) for c in carried] + [pa.array(found[m]) for m in measures]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *measures])
+            yield batch.filter(pa.array(measure(binary(batch.column(text)), limits, line_limit)["kept"]))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in carried]
-    fields += [f"{m} {'boolean' if m in ('kept', 'base_failed') else 'bigint'}" for m in measures]
-    return source.select(*dict.fromkeys([*carried, text])).mapInArrow(run, ", ".join(fields))
+    return docs.mapInArrow(run, docs.schema)
