@@ -7,28 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, work_dir
 from .op01_quality import quality
+from .op03_token_counts import token_counts
 from .op04_lines import dedup_lines
+from .op05_token_files import read_dataset, write_dataset
+from .op08_packing import pack
 from .op09_mixing import schedule
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_dir(spark, "token-files")
+    write_dataset(table(spark, sf_dir, "documents"), tokenizer(), out)
+    return read_dataset(spark, out)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_files": op5_token_files,
+    "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
 
