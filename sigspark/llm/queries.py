@@ -14,6 +14,7 @@ from .op04_lines import dedup_lines
 from .op05_token_files import read_dataset, write_dataset
 from .op08_packing import pack
 from .op09_mixing import schedule
+from .op10_simhash import near_duplicates
 
 
 def tokenizer() -> str:
@@ -49,6 +50,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
