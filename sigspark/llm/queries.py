@@ -12,6 +12,7 @@ from .op01_quality import quality
 from .op03_token_counts import token_counts
 from .op04_lines import dedup_lines
 from .op05_token_files import read_dataset, write_dataset
+from .op06_lm import score
 from .op07_topk import top_k
 from .op08_packing import pack
 from .op09_mixing import schedule
@@ -43,6 +44,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dataset(spark, out)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
+    "op6_lm_scores": op6_lm_scores,
     "op7_top_k": op7_top_k,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
