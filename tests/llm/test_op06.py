@@ -22,7 +22,7 @@ def held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
 
 
-def brute(docs, prior=500.0):
+def brute(docs, prior=1000.0):
     train = [tokens(t) for d, t in docs if not held(d)]
     c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:], strict=False))
     n, v = sum(c.values()), len(c)
