@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table, work_dir
 from .op01_quality import quality
+from .op02_substrings import passages
 from .op03_token_counts import token_counts
 from .op04_lines import dedup_lines
 from .op05_token_files import read_dataset, write_dataset
@@ -29,6 +30,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -66,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
