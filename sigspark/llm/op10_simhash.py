@@ -70,15 +70,16 @@ def simhash(texts: list[bytes | None], shingle: int = SHINGLE, seed: int = SEED)
     return np.packbits(2 * ones > count[:, None], axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id and fp (signed 64-bit) for every row."""
+def fingerprints(rows: DataFrame, text: str = "text", name: str = "fp", shingle: int = SHINGLE, seed: int = SEED, carry: bool = True) -> DataFrame:
+    """``rows`` with the fingerprint (signed 64-bit) as the last column; without the text unless ``carry``."""
+    fields = [f for f in rows.schema.fields if f.name != name and (carry or f.name != text)]
+    own = [f.name for f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(simhash(binary(batch["text"]), shingle, seed))], names=["id", "fp"])
+        for batch in text_slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(simhash(binary(batch[text]), shingle, seed))], names=[*own, name])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
 class Anchors:
@@ -188,6 +189,17 @@ def links(distinct: DataFrame, n: int, threshold: int = THRESHOLD) -> DataFrame:
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
+def classes(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """fp, root and component_id for every fingerprint of ``prints`` (id, fp)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    roots = materialize(components(links(distinct, distinct.count(), threshold)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
+    named = materialize(roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("name")), "simhash-names")
+    linked = roots.join(named, "root")
+    # a name of null stays null where the component has no id at all
+    of_linked = F.when(F.col("root").isNotNull(), F.col("name")).otherwise(F.col("least"))
+    return materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), of_linked.alias("component_id")), "simhash-known")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
     """For every row of ``docs``: id, fingerprint (16 hex digits) and component_id.
 
@@ -196,11 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null or empty texts have fingerprint zero, linked like any other. Repeated rows each return. Very
     long texts are hashed whole; an empty table gives an empty result; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, id_col, text, shingle, seed), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = materialize(components(links(distinct, distinct.count(), threshold)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
-    named = materialize(roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("name")), "simhash-names")
-    linked = roots.join(named, "root").select("fp", "name")
-    known = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")), "simhash-known")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(own, shingle=shingle, seed=seed, carry=False), "simhash-prints")
+    known = classes(prints, threshold)
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(known, "fp").select(F.col("id").alias(id_col), fingerprint.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
+    """One row of ``docs`` of each component: one with the smallest id; all columns as they are."""
+    printed = materialize(fingerprints(docs, text, "__fp", shingle, seed), "simhash-documents")
+    known = classes(printed.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), threshold)
+    joined = printed.join(known.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component")), "__fp")
+    return joined.where(F.col(id_col).eqNullSafe(F.col("__component"))).dropDuplicates(["__root"]).select(*docs.columns)
