@@ -29,18 +29,30 @@ rows_ AS (SELECT * EXCLUDE (symbols, symbol), upper(symbol) AS symbol FROM (SELE
 )
 
 MARKET = """
-market0 AS (SELECT l_suppkey AS permno, CAST(l_shipdate AS DATE) AS date, round(sum(l_extendedprice) / sum(l_quantity), 4) AS prc, sum(l_quantity) AS vol
+market0 AS (SELECT l_suppkey AS permno, CAST(l_shipdate AS DATE) AS date, floor(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / sum(l_quantity)) / 100.0 AS prc, sum(l_quantity) AS vol
     FROM lineitem GROUP BY 1, 2),
 market AS (SELECT permno, date, prc, vol, 'S' || (permno % 20) AS ticker, (permno % 7 + 1) * 100.0 AS shrout,
-    round(prc / lag(prc) OVER (PARTITION BY permno ORDER BY date) - 1, 6) AS ret FROM market0)"""
+    prc / lag(prc) OVER (PARTITION BY permno ORDER BY date) - 1 AS ret FROM market0)"""
 
 PANEL = """
 panel AS (SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS date, l_suppkey AS permno, max(l_discount) AS signal,
-    round(avg(l_tax) - 0.04, 6) AS y, sum(l_quantity) AS cap, count(*) AS n_items, min(l_discount) AS other FROM lineitem GROUP BY 1, 2)"""
+    floor(sum(CAST(round(l_tax * 100) AS BIGINT)) * 100 / count(*)) / 10000.0 - 0.04 AS y, sum(l_quantity) AS cap, count(*) AS n_items, min(l_discount) AS other FROM lineitem GROUP BY 1, 2)"""
+
+STOCK_DAYS = """
+sd0 AS (SELECT l_suppkey % 30 AS permno, l_partkey % 28 AS code, floor(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*)) / 100.0 AS prc, sum(l_quantity) AS cap FROM lineitem GROUP BY 1, 2),
+stock_days AS (SELECT permno, 'S' || (permno % 20) AS ticker, date, prc, cap FROM sd0 JOIN sess USING (code))"""
+
+FORECASTS = (
+    PANEL
+    + """,
+forecasts AS (SELECT date, permno, y, cap, 'a' AS model_id, round(signal, 6) AS prediction FROM panel
+    UNION ALL SELECT date, permno, y, cap, 'b', round(round(cap * 0.01 + other, 4), 6) FROM panel
+    UNION ALL SELECT date, permno, y, cap, 'c', round(CASE WHEN month(date) % 3 = 0 THEN 1.0 ELSE signal - other END, 6) FROM panel)"""
+)
 
 
 def r6(expression: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) + 0.0"
+    return f"round(CAST({expression} AS DOUBLE) + CAST(1e-10 AS DOUBLE), 6) + 0.0"
 
 
 def query(ctes: str, select: str) -> str:

@@ -55,7 +55,7 @@ def fractional_bins(df: DataFrame, prediction: str, target: str, by: Sequence[st
     # only bins that the block overlaps: at most two for a value without ties
     low = F.floor(F.col("left") * bins / F.col("n")) + 1
     high = F.least(F.lit(bins), F.ceil(F.col("right") * bins / F.col("n")))
-    spread = d.withColumn("bin", F.explode(F.sequence(low, high)).cast("int"))
+    spread = d.withColumn("bin", F.explode(F.sequence(low, high)))
     share = F.greatest(F.lit(0.0), F.least(F.col("right").cast("double"), F.col("bin") * F.col("n") / bins) - F.greatest(F.col("left").cast("double"), (F.col("bin") - 1) * F.col("n") / bins)) / (F.col("right") - F.col("left"))
     mass = share * (F.col(weight) if weight else 1.0)
     sums = spread.groupBy(*by, "bin").agg(F.sum(share).alias("n_members"), F.sum(mass).alias("mass"), F.sum(mass * F.col(target)).alias("total"), F.min(prediction).alias("low"), F.max(prediction).alias("high"))

@@ -50,7 +50,7 @@ def attention(rows: DataFrame, sessions: DataFrame, horizons: Sequence[int] = HO
     The grid has each symbol on the sessions of the years in which, or after which, it has a message.
     """
     users = rows.groupBy(*KEYS, "user_id").agg(F.count("*").alias("n"), F.min("local").alias("first"), F.max("local").alias("last"))
-    span = (F.max("last").cast("timestamp").cast("double") - F.min("first").cast("timestamp").cast("double")) / 3600
+    span = F.timestamp_diff("MICROSECOND", F.min("first"), F.max("last")) / 3.6e9
     facts = users.groupBy(*KEYS).agg(
         F.sum("n").alias("raw_volume"),
         F.count("*").alias("unique_user_count"),

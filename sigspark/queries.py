@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("features",)
+FAMILIES = ("features", "relational", "scoring")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

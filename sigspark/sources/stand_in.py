@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .calendar import calendar_days, sessions, with_closes
@@ -11,6 +11,11 @@ FIRST, LAST = "2024-01-01", "2024-02-09"
 HOLIDAYS = ("2024-01-01", "2024-01-15")
 
 
+def _cents(column: str) -> Column:
+    """Sum of an amount in hundredths, a whole number: the same in whatever order it is added up."""
+    return F.sum(F.round(F.col(column) * 100).cast("long"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, user_id, created_at (UTC), sentiment, symbols: purchases and signups are bullish, errors bearish."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -32,15 +37,31 @@ def trading_days(spark: SparkSession) -> DataFrame:
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """permno, ticker, date, prc, vol, shrout, ret: suppliers as stocks, their shipped items as trades."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    day = items.groupBy(F.col("l_suppkey").alias("permno"), F.col("l_shipdate").cast("date").alias("date")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("prc"), F.sum("l_quantity").alias("vol"))
+    day = items.groupBy(F.col("l_suppkey").alias("permno"), F.col("l_shipdate").cast("date").alias("date")).agg((F.floor(_cents("l_extendedprice") / F.sum("l_quantity")) / 100.0).alias("prc"), F.sum("l_quantity").alias("vol"))
     named = day.withColumn("ticker", F.concat(F.lit("S"), (F.col("permno") % 20).cast("string"))).withColumn("shrout", (F.col("permno") % 7 + 1) * 100.0)
     before = F.lag("prc").over(Window.partitionBy("permno").orderBy("date"))
-    return named.withColumn("ret", F.round(F.col("prc") / before - 1, 6))
+    return named.withColumn("ret", F.col("prc") / before - 1)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, permno, signal (heavily tied), y, cap for evaluation; months of ship dates as cross-sections."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.groupBy(F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("date"), F.col("l_suppkey").alias("permno")).agg(
-        F.max("l_discount").alias("signal"), F.round(F.avg("l_tax") - 0.04, 6).alias("y"), F.sum("l_quantity").alias("cap"), F.count("*").alias("n_items"), F.min("l_discount").alias("other")
+        F.max("l_discount").alias("signal"), (F.floor(_cents("l_tax") * 100 / F.count("*")) / 10000.0 - 0.04).alias("y"), F.sum("l_quantity").alias("cap"), F.count("*").alias("n_items"), F.min("l_discount").alias("other")
     )
+
+
+def stock_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """permno, ticker, date, prc, cap on the sessions of the messages; tickers S0 to S9 have two stocks."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    days = items.groupBy((F.col("l_suppkey") % 30).alias("permno"), (F.col("l_partkey") % 28).cast("int").alias("code")).agg((F.floor(_cents("l_extendedprice") / F.count("*")) / 100.0).alias("prc"), F.sum("l_quantity").alias("cap"))
+    return days.join(F.broadcast(trading_days(spark)), "code").select("permno", F.concat(F.lit("S"), (F.col("permno") % 20).cast("string")).alias("ticker"), "date", "prc", "cap")
+
+
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, permno, model_id, prediction, y, cap: three models on the panel, one tied, one constant in some months."""
+    p = panel(spark, sf_dir)
+    m2 = F.round(F.col("cap") * 0.01 + F.col("other"), 4)
+    m3 = F.when(F.month("date") % 3 == 0, 1.0).otherwise(F.col("signal") - F.col("other"))
+    models = F.array(*(F.struct(F.lit(n).alias("model_id"), F.round(v.cast("double"), 6).alias("prediction")) for n, v in (("a", F.col("signal")), ("b", m2), ("c", m3))))
+    return p.select("date", "permno", "y", "cap", F.explode(models).alias("m")).select("date", "permno", "m.model_id", "m.prediction", "y", "cap")
