@@ -116,5 +116,6 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     # equal rows share their takes; which of them comes first does not matter, they are the same
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
     takes = F.floor(F.col("m_takes") / F.col("m_rows")) + F.when(nth <= F.col("m_takes") % F.col("m_rows"), 1).otherwise(0)
-    taken = joined.withColumn("takes", takes.cast("int")).where("takes > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes"))))
-    return taken.orderBy("m_time", "id", "copy").select("row.*")
+    taken = joined.withColumn("takes", takes.cast("int")).where("takes > 0").orderBy("m_time", "id")
+    # copies are made after the sort, which so moves each text once
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes")))).select("row.*")
