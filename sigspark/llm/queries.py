@@ -18,6 +18,7 @@ from .op07_topk import top_k
 from .op08_packing import pack
 from .op09_mixing import schedule
 from .op10_simhash import near_duplicates
+from .oracles import ORACLE_SQL
 
 
 def tokenizer() -> str:
@@ -69,6 +70,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
-
-ORACLE_SQL: dict[str, str] = {}
