@@ -249,6 +249,47 @@ def m6_m11_refits(spark, sf_dir):
     return out
 
 
+def m7_cross_validated(spark, sf_dir):
+    fit, _, _ = _fit_block(spark, sf_dir)
+    out = [(name, c.estimator, c.penalty, c.mix, float(c.intercept)) for name, c in (("ridge", md.cross_validated(fit, 5, ridge=md.RIDGE)), ("enet", md.cross_validated(fit, 5, mixes=md.MIXES)))]
+    return spark.createDataFrame(out, "menu string, estimator string, penalty double, mix double, intercept double")
+
+
+def m12_history(spark, sf_dir):
+    """Validation score by length of history, and the choice."""
+    rows = _ready(spark, sf_dir)
+    scores = {}
+    for months_ in (12, 24, 36):
+        fit = md.equal_date_weights(rows.where(F.col("code").between(36 - months_, 35) & F.col("q").isNotNull()))
+        scaler = md.weighted_scaler(fit, FEATURES)
+        ready = lambda d, s=scaler: d.withColumn("features", md.scaled(FEATURES, s))
+        found = md.candidates(md.moments(ready(fit))[()], shares=(), mixes=())
+        _, ics = md.choose(ready(rows.where(F.col("code").between(37, 50))), found, "q")
+        scores[months_] = max(x for x in ics if x is not None)
+    best = md.select_history(scores, (24, 12, 36))
+    return spark.createDataFrame([(h, float(s), h == best) for h, s in scores.items()], "months long, ic double, chosen boolean")
+
+
+def m13_stability(spark, sf_dir):
+    """The choice with each validation month left out."""
+    fit, valid, _ = _fit_block(spark, sf_dir)
+    found = md.candidates(md.moments(fit)[()], shares=(), mixes=())
+    monthly = {str(d): md.score_candidates(valid.where(F.col("date") == d), found, "q") for d in [r[0] for r in valid.select("date").distinct().orderBy("date").limit(4).collect()]}
+    return spark.createDataFrame(list(md.stable_without_each_month(monthly).items()), "left_out string, chosen long")
+
+
+def m21_importance(spark, sf_dir):
+    fit, valid, _ = _fit_block(spark, sf_dir)
+    chosen, _ = md.choose(valid, md.candidates(md.moments(fit)[()], shares=(), mixes=()), "q")
+    return md.ablation(valid, chosen, {"signal": [0], "size": [1, 3], "other": [2]})
+
+
+def m21_response(spark, sf_dir):
+    fit, _, _ = _fit_block(spark, sf_dir)
+    model = md.candidates(md.moments(fit)[()], ridge=(), shares=(), mixes=())[0]
+    return md.response(spark, model, 0, [i / 5 - 1 for i in range(11)], 1)
+
+
 def m8_m10_groups_and_components(spark, sf_dir):
     fit, _, _ = _fit_block(spark, sf_dir)
     m = md.moments(fit)[()]
@@ -387,6 +428,11 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "m4_ols_slope": (m4_ols_slope, query(_READY + ", one AS (SELECT * FROM z WHERE i = 0), s AS (SELECT sum(w * z * q) - sum(w * z) * sum(w * q) AS c, sum(w * z * z) - sum(w * z) * sum(w * z) AS v, sum(w * q) AS mq, sum(w * z) AS mz FROM one)", f"SELECT {r6('c / v')} AS beta, {r6('mq - mz * c / v')} AS intercept FROM s")),
     "m4_m5_candidates": (m4_m5_candidates, None),
     "m6_m11_refits": (m6_m11_refits, None),
+    "m7_cross_validated": (m7_cross_validated, None),
+    "m12_history": (m12_history, None),
+    "m13_stability": (m13_stability, None),
+    "m21_importance": (m21_importance, None),
+    "m21_response": (m21_response, None),
     "m8_m10_groups_and_components": (m8_m10_groups_and_components, None),
     "m14_interactions": (m14_interactions, None),
     "m15_tree": (m15_tree, None),

@@ -327,3 +327,90 @@ def fit_trees(rows: DataFrame, test: DataFrame, target: str, features: str = "fe
     ready = lambda d: d.withColumn("vector", array_to_vector(F.col(features)))
     model = tree_model(**options).fit(ready(rows).select("vector", F.col(target).cast("double").alias("label")))
     return model.transform(ready(test)).drop("vector")
+
+
+def contiguous_folds(codes: Sequence[int], folds: int = 5) -> list[tuple[int, int]]:
+    """First and last code of unshuffled folds of date-sorted rows (``codes``: one per date, in order)."""
+    cut = np.array_split(np.asarray(codes), folds)
+    return [(int(c[0]), int(c[-1])) for c in cut if len(c)]
+
+
+def cross_validated(rows: DataFrame, folds: int, ridge: Sequence[float] = (), mixes: Sequence[float] = (), shares: Sequence[float] = SHARES) -> Candidate:
+    """The penalty of least mean squared error over contiguous date folds, refitted on all rows.
+
+    One pass gives the moments of every fold; those of a training set are sums of the others', so no fold
+    is read twice, and errors of held-out folds follow from their own moments.
+    """
+    coded = rows.where("q is not null")
+    codes = [r[0] for r in coded.select("code").distinct().orderBy("code").collect()]
+    bounds = contiguous_folds(codes, folds)
+    number = F.lit(0)
+    for k, (low, high) in enumerate(bounds):
+        number = F.when(F.col("code").between(low, high), k).otherwise(number)
+    by_fold = moments(coded.withColumn("fold", number).withColumn("w1", F.lit(1.0)), ["fold"], weight="w1")
+    raw = {k[0]: _raw(m) for k, m in by_fold.items()}
+    total = sum(raw.values())
+
+    def fits(m: Moments) -> list[Candidate]:
+        return candidates(m, ridge, shares if mixes else (), tuple(x for x in mixes if x < 1)) if mixes or ridge else candidates(m, (), (), ())
+
+    errors = None
+    for held in raw.values():
+        found = fits(_centred(total - held))
+        own = np.array([_error(held, c) for c in found])
+        errors = own if errors is None else errors + own
+    final = fits(_centred(total))
+    return final[first_best([-float(e) for e in errors], tie=0.0)]
+
+
+def _raw(m: Moments) -> np.ndarray:
+    """Sums of products of (1, x, y), flattened, and the count: moments undone, so that groups add up."""
+    mean = np.concatenate(([1.0], m.x_mean, [m.y_mean]))
+    c = np.zeros((len(mean), len(mean)))
+    c[1:-1, 1:-1], c[1:-1, -1], c[-1, 1:-1], c[-1, -1] = m.gram, m.cross, m.cross, m.y_variance
+    return np.append((c + np.outer(mean, mean)) * m.n, m.n)
+
+
+def _error(raw: np.ndarray, c: Candidate) -> float:
+    side = int(round(np.sqrt(len(raw) - 1)))
+    s = raw[:-1].reshape(side, side)
+    v = np.concatenate(([-c.intercept], -c.beta, [1.0]))
+    return float(v @ s @ v)
+
+
+def select_history(scores: dict[int, float | None], order: Sequence[int] = (504, 252, 756)) -> int:
+    """The history length of best validation score; ties go to the order declared."""
+    return order[first_best([scores.get(h) for h in order])]
+
+
+def adaptive_depth(scored: Sequence[tuple[str, float | None, int]]) -> str:
+    """Of (name, score, parameters) the best score, then fewer parameters, then the order given."""
+    known = [s for s in scored if s[1] is not None]
+    best = max(s[1] for s in known)
+    return min((s for s in known if s[1] >= best - TIE), key=lambda s: s[2])[0]
+
+
+def ablation(rows: DataFrame, model: Candidate, groups: dict[str, Sequence[int]], target: str = "q", features: str = "features") -> DataFrame:
+    """Loss of mean rank correlation when a group of inputs is held at its mean, zero."""
+    from .evaluation import rank_ic
+
+    variants = {"": ()} | {g: tuple(at) for g, at in groups.items()}
+    betas = {g: np.where(np.isin(np.arange(len(model.beta)), at), 0.0, model.beta) for g, at in variants.items()}
+    long = rows.select("date", target, F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.round(predict(features, b, model.intercept), 14).alias("p")) for g, b in betas.items()))).alias("m")).select("date", target, "m.g", "m.p")
+    ic = rank_ic(long, "p", target, ("g", "date")).groupBy("g").agg(F.avg("rank_ic").alias("ic"))
+    base = ic.where("g = ''").select(F.col("ic").alias("full_ic"))
+    return ic.where("g <> ''").crossJoin(F.broadcast(base)).select(F.col("g").alias("dropped"), "ic", (F.col("full_ic") - F.col("ic")).alias("importance"))  # one row on the right
+
+
+def response(spark, model: Candidate, feature: int, points: Sequence[float], second: int | None = None) -> DataFrame:
+    """Forecasts on a grid of one input, or two, with all others at zero."""
+    others = points if second is not None else (0.0,)
+    rows = []
+    for a in points:
+        for b in others:
+            x = np.zeros(len(model.beta))
+            x[feature] = a
+            if second is not None:
+                x[second] = b
+            rows.append((float(a), float(b), float(model.intercept + x @ model.beta)))
+    return spark.createDataFrame(rows, "first double, second double, prediction double")
