@@ -243,7 +243,7 @@ def m6_m11_refits(spark, sf_dir):
     out = None
     for policy in ("retain", "recent", "union"):
         m = md.moments(md.equal_date_weights(md.refit_rows(panel, BOUNDS, policy).where("q is not null")))[()]
-        beta = md.coordinate_descent(m, chosen.penalty * chosen.mix, chosen.penalty * (1 - chosen.mix)) if chosen.mix else md.spectral(m, (chosen.penalty,))[0]
+        beta = md.elastic_net(m, chosen.penalty * chosen.mix, chosen.penalty * (1 - chosen.mix)) if chosen.mix else md.spectral(m, (chosen.penalty,))[0]
         p = test.select("date", "permno", F.lit(policy).alias("policy"), md.predict("features", beta, float(m.y_mean - m.x_mean @ beta)).alias("prediction"))
         out = p if out is None else out.unionByName(p)
     return out
