@@ -216,8 +216,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """One row of ``docs`` of each component: one with the smallest id; all columns as they are."""
-    printed = materialize(fingerprints(docs, text, "__fp", shingle, seed), "simhash-documents")
-    known = classes(printed.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), threshold)
-    joined = printed.join(known.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component")), "__fp")
-    return joined.where(F.col(id_col).eqNullSafe(F.col("__component"))).dropDuplicates(["__root"]).select(*docs.columns)
+    """One row of ``docs`` of each component: one with the smallest id; all columns as they are.
+
+    A row is known by its id and a hash of its text, so that of the texts only the winners' join moves any.
+    """
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name")
+    own = docs.select(F.col(id_col).alias("id"), name, F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(own, shingle=shingle, seed=seed, carry=False), "simhash-prints")
+    known = classes(prints.select("id", "fp"), threshold)
+    first = prints.join(known, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("name", "hash")).alias("k"))
+    kept = materialize(first.select(F.col("k.name").alias("__name"), F.col("k.hash").alias("__hash")).distinct(), "simhash-kept")
+    named = docs.withColumns({"__name": name, "__hash": F.xxhash64(text)})
+    return named.join(kept, ["__name", "__hash"], "left_semi").dropDuplicates(["__name", "__hash"]).select(*docs.columns)
