@@ -5,14 +5,16 @@ distinct chunk is encoded once and a text is a gather from the cache. Whether a
 probed; for any other, whole texts are encoded. The cache holds a bounded number of chunks.
 
 Chunks are made fewer first: A-Z is lower-cased where the tokenizer does that anyway, and a comma or
-full stop after a letter becomes a chunk of its own. New chunks are encoded many at a time, parted by a
-special token, which no ordinary text can merge with.
+full stop after a letter becomes a chunk of its own. New chunks are encoded many at a time: those of
+lower-case letters by the model alone, told apart by its word ends, the others parted by a special token,
+which no ordinary text can merge with.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -21,6 +23,9 @@ from .common import WHITE
 CACHED = 600_000
 #: chunks longer than this are not remembered.
 CHUNK = 256
+#: UTF-8 of lower-case ASCII letters and of the lower-case letters from U+00DF to U+00FF.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_WORDS = ("a", "the", "straße", "élève", "ÿ", "xqzwv", "internationalization", "þæöø", "l" * 70)
 _PROBES = ("a b", "it's  2024!\n\tÉté", "x\x0b\x0cy\r\nz", " lead and trail ", "é ́ ok", "<|endoftext|> a")
 
 
@@ -52,8 +57,32 @@ class Encoder:
         self.part, self.part_id = (part["content"], part["id"]) if part else (None, None)
         self.folds = self.by_chunk and all(self._ids([p])[0] == self._ids([q])[0] for p, q in (("AbC XYZ", "abc xyz"), ("KIß'S", "kiß's")))
         self.parts_marks = self.by_chunk and all(self._ids([p])[0] == self._ids([q])[0] for p, q in (("ab, c. d", "ab , c . d"), ("x,\ny.", "x ,\ny .")))
+        self._plain_words(path)
         self._clear()
 
+    def _plain_words(self, path: str) -> None:
+        """A tokenizer for chunks of lower-case Latin letters only, which need no normalising and no splitting.
+
+        Ids that end a word are known by the model's word-end suffix. None if the model has none or if its
+        ids differ on the probes.
+        """
+        self.words = None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix")
+        if not (self.by_chunk and suffix):
+            return
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        words = Tokenizer.from_file(path)
+        words.normalizer = normalizers.Sequence([])
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        same = [words.encode(w, add_special_tokens=False).ids for w in _WORDS] == self._ids(list(_WORDS))
+        one_end = all(self.ends[x].tolist() == [False] * (len(x) - 1) + [True] for x in self._ids(list(_WORDS)))
+        self.words = words if same and one_end else None
+
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
@@ -87,30 +116,37 @@ class Encoder:
         split = [t.split() for t in texts]
         return [c for s in split for c in s], np.fromiter(map(len, split), np.int64, len(split))
 
-    def _many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks, one after the other, and their numbers."""
-        text = [c.decode("utf-8", "replace") for c in chunks]
+    def _many(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Some distinct chunks in the order they were encoded, their ids one after the other, and their numbers."""
+        plain = [c for c in chunks if _PLAIN.fullmatch(c)] if self.words is not None else []
+        text = [c.decode() for c in plain]
+        ids = [np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast([" ".join(text[k : k + 200]) for k in range(0, len(text), 200)], add_special_tokens=False)] if plain else []
+        sizes = [np.diff(np.flatnonzero(self.ends[np.concatenate(ids)]), prepend=-1)] if plain else []
+        other = [c for c in chunks if not _PLAIN.fullmatch(c)] if self.words is not None else chunks
+        text = [c.decode("utf-8", "replace") for c in other]
         if self.part is None or any(self.part in t for t in text):
-            ids = self._ids(text)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum())), sizes
-        groups = self._ids([f" {self.part} ".join([*text[i : i + 100], ""]) for i in range(0, len(text), 100)])
-        ids = np.concatenate([np.array(g, np.uint32) for g in groups]) if groups else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(ids == self.part_id)
-        sizes = np.diff(ends, prepend=-1) - 1
-        return ids[ids != self.part_id], sizes
+            found = self._ids(text)
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((x for y in found for x in y), np.uint32, int(sizes[-1].sum())))
+        else:
+            parted = np.concatenate([np.zeros(0, np.uint32), *(np.array(g, np.uint32) for g in self._ids([f" {self.part} ".join([*text[k : k + 100], ""]) for k in range(0, len(text), 100)]))])
+            sizes.append(np.diff(np.flatnonzero(parted == self.part_id), prepend=-1) - 1)
+            ids.append(parted[parted != self.part_id])
+        return plain + other, np.concatenate(ids), np.concatenate(sizes)
 
     def counts(self, chunks: list[bytes]) -> np.ndarray:
         """Number of ids of each of some distinct chunks."""
-        return self._many(chunks)[1]
+        order, _, sizes = self._many(chunks)
+        found = dict(zip(order, sizes.tolist(), strict=True))
+        return np.fromiter(map(found.__getitem__, chunks), np.int64, len(chunks))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        flat, sizes = self._many(chunks)
+        order, flat, sizes = self._many(chunks)
         self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
         self.uses = np.concatenate((self.uses, np.zeros(len(sizes), np.int64)))
         self.flat = np.concatenate((self.flat, flat))
-        self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
+        self.index.update(zip(order, range(len(self.index), len(self.index) + len(order)), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, as uint32, and the number of ids of each text. Null is empty."""
