@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 from .common import binary, materialize, text_slices
 
-MIN_WORDS = 25
+MIN_WORDS = 20
 CUT_BITS = 5
-LONGEST = 256  # bytes; a chunk without a cut for so long is cut at the next word end
+LONGEST = 64  # bytes; a chunk without a cut for so long is cut at the next word end
 
 # The gear table comes from a rule: 256 draws of a seeded generator.
 GEAR = np.random.default_rng(2024).integers(0, 1 << 16, 256, np.uint16)
