@@ -46,6 +46,29 @@ def s10_append_routed(spark, sf_dir):
     return tidy(back.groupBy("year").agg(F.count("*").alias("n"), F.sum("y").alias("y")))
 
 
+def s6_factors(spark, sf_dir):
+    """Percent factor returns as decimals."""
+    path = scratch_path(spark, "factors")
+    days = stand_in.panel(spark, sf_dir).groupBy("date").agg(F.sum("n_items").alias("n"))
+    days.select(F.date_format("date", "yyyyMMdd").alias("Date"), (F.col("n") % 7).alias("Mkt-RF"), (F.col("n") % 5).alias("SMB")).unionByName(spark.sql("select 'Copyright' as Date, 0L as `Mkt-RF`, 0L as SMB")).write.option("header", True).csv(path)
+    return tidy(tables.read_factors(spark, path, ("Mkt-RF", "SMB")).withColumnRenamed("Mkt-RF", "mkt"))
+
+
+def s8_bundle(spark, sf_dir):
+    """A prepared panel written, checked against its manifest and read."""
+    path = scratch_path(spark, "bundle")
+    p = stand_in.panel(spark, sf_dir).withColumn("code", F.month("date"))
+    tables.write_bundle(p, path, ["signal", "cap"], ["y"])
+    rows, manifest = tables.load_bundle(spark, path)
+    return tidy(rows.groupBy("code").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.element_at("features", 2).cast("double")).alias("cap")))
+
+
+def registry_sizes(spark, sf_dir):
+    from ..plans.registry import sizes
+
+    return sizes(spark)
+
+
 def p5_cleaned_messages(spark, sf_dir):
     """Duplicates by message id go, the earliest stays."""
     msgs = stand_in.messages(spark, sf_dir)
@@ -57,5 +80,8 @@ QUERIES = {
     "s3_s9_years": (s3_s9_years, query(MARKET, f"SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, {r6('sum(vol)')} AS vol FROM market WHERE year(date) IN (1996, 1999) GROUP BY 1")),
     "s4_records": (s4_records, "SELECT conv_id * 100 + turn + 100000 AS message_id, md5(trim(text)) AS body FROM conversations"),
     "s10_append_routed": (s10_append_routed, query(PANEL, f"SELECT year(date) AS year, count(*) AS n, {r6('sum(y)')} AS y FROM panel GROUP BY 1")),
+    "s6_factors": (s6_factors, query(PANEL, f"SELECT date, {r6('sum(n_items) % 7 / 100')} AS mkt, {r6('sum(n_items) % 5 / 100')} AS SMB FROM panel GROUP BY date")),
+    "s8_bundle": (s8_bundle, query(PANEL, f"SELECT month(date) AS code, count(*) AS n, {r6('sum(y)')} AS y, {r6('sum(cap)')} AS cap FROM panel GROUP BY 1")),
+    "registry_sizes": (registry_sizes, "SELECT * FROM (VALUES ('linear', 96::BIGINT), ('characteristics', 264::BIGINT), ('design', 114::BIGINT), ('interactions', 148::BIGINT)) t(study, n_models)"),
     "p5_cleaned_messages": (p5_cleaned_messages, query(MESSAGES, "SELECT message_id, user_id FROM messages")),
 }

@@ -69,3 +69,29 @@ def write_json(path: str, value: object) -> None:
 def write_gzip(path: str, data: bytes) -> None:
     """The same bytes give the same file."""
     write_atomic(path, gzip.compress(data, mtime=0))
+
+
+def read_factors(spark: SparkSession, path: str, names: Sequence[str] = ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "Mom")) -> DataFrame:
+    """Daily factor returns from CSV (date as yyyyMMdd, percent) as date and decimals; lines without a date go."""
+    raw = spark.read.option("header", True).csv(path)
+    day = F.try_to_timestamp(F.trim(raw.columns[0]), F.lit("yyyyMMdd")).cast("date")
+    return raw.select(day.alias("date"), *((F.col(f"`{n}`").cast("double") / 100).alias(n) for n in names)).where("date is not null")
+
+
+def write_bundle(panel: DataFrame, path: str, features: Sequence[str], targets: Sequence[str]) -> None:
+    """A prepared panel in date order with one feature array, and a manifest of names and row count beside it."""
+    rows = panel.select("code", "date", "permno", F.array(*(F.col(c).cast("float") for c in features)).alias("features"), *targets)
+    rows.repartitionByRange("code").sortWithinPartitions("code", "permno").write.mode("overwrite").parquet(f"{path}/rows")
+    spark = panel.sparkSession
+    n = spark.read.parquet(f"{path}/rows").count()
+    spark.createDataFrame([(list(features), list(targets), n)], "features array<string>, targets array<string>, n long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The rows and the manifest of a bundle; a different number of rows or of features is an error."""
+    manifest = spark.read.schema("features array<string>, targets array<string>, n long").json(f"{path}/manifest").first().asDict()
+    rows = spark.read.parquet(f"{path}/rows")
+    found = rows.agg(F.count("*").alias("n"), F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high")).first()
+    if found["n"] != manifest["n"] or found["n"] and not found["low"] == found["high"] == len(manifest["features"]):
+        raise ValueError(f"{path} does not hold what its manifest says: {found.asDict()}")
+    return rows, manifest

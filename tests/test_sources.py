@@ -70,3 +70,21 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q); import bench"
     env = os.environ | {"PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True).stderr == ""
+
+
+def test_bundles_are_checked_and_registries_complete(spark, tmp_path):
+    from sigspark.plans import registry
+
+    path = str(tmp_path / "b")
+    p = spark.createDataFrame([(1, "2020-01-01", 7, 0.5, 0.1)], "code int, date string, permno long, x double, y double")
+    tables.write_bundle(p, path, ["x"], ["y"])
+    assert tables.load_bundle(spark, path)[1]["n"] == 1
+    spark.read.parquet(f"{path}/rows").write.mode("append").parquet(f"{path}/rows")
+    with pytest.raises(ValueError):
+        tables.load_bundle(spark, path)
+    study = registry.studies()["linear"]
+    assert registry.complete([study[0]["model_id"]], study) == [s["model_id"] for s in study[1:]]
+    with pytest.raises(ValueError):
+        registry.complete(["made_up"], study)
+    with pytest.raises(ValueError):
+        registry.require_before("2023-01-03", "2023-01-01")
