@@ -82,7 +82,7 @@ def twice_filter(docs: DataFrame, text: str, min_chars: int, bits: int) -> np.nd
 
     parts = docs.select(text).mapInArrow(bits_set, "segment long, bits binary, twice binary").repartition(F.col("segment")).mapInArrow(merged, "segment long, twice binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():  # bits // SEGMENT rows at most
+    for row in parts.collect():  # bits // SEGMENT rows at most, 64 MB in all
         out[row["segment"] * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(row["twice"], np.uint8)
     return out
 

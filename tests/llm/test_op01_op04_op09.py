@@ -5,9 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sigspark.llm import queries
-from sigspark.llm.op01_quality import accepted, quality
+from sigspark.llm.op01_quality import LINE_LIMIT, NGRAM_LIMITS, accepted, measure, quality
 from sigspark.llm.op04_lines import dedup_lines
 from sigspark.llm.op09_mixing import mixture, schedule
 
@@ -146,3 +148,11 @@ def test_mixing_of_odd_rows(spark, odd):
     assert mixture(odd).columns == odd.columns
     assert sum(len(words(r.text)) for r in mixed) == sum(r.taken for r in plan)
     assert schedule(odd.limit(0)).count() == 0 and mixture(odd.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aab é\n\t#|c漢"), max_size=160), min_size=1, max_size=4))
+def test_measures_of_any_texts(texts):
+    got = measure([t.encode() for t in texts], NGRAM_LIMITS, LINE_LIMIT)
+    keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert [tuple(got[k][i] for k in keys) for i in range(len(texts))] == [brute_quality(t) for t in texts]
