@@ -320,10 +320,22 @@ def m16_forest(spark, sf_dir):
     return md.fit_trees(fit, test, "q", kind="forest", depth=5, least_leaf=10, trees=20).select("date", "permno", "prediction")
 
 
-def m18_network(spark, sf_dir):
+def _parts(spark, sf_dir):
     fit, valid, test = _fit_block(spark, sf_dir)
     parts = [d.select("code", "date", "permno", "features", "q", F.lit(b).alias("block"), F.lit("t").alias("month")) for d, b in ((fit, "fit"), (valid, "valid"), (test, "test"))]
-    return networks.ensemble_forecasts(parts[0].unionByName(parts[1]).unionByName(parts[2]), (16,), seeds=(0, 1), penalties=(0.0,), epochs=6)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def m17_tuned_network(spark, sf_dir):
+    return networks.tuned_forecasts(_parts(spark, sf_dir), networks.layer_menu(2, 16), epochs=4)
+
+
+def m18_network(spark, sf_dir):
+    return networks.ensemble_forecasts(_parts(spark, sf_dir), (16,), seeds=(0, 1), penalties=(0.0,), epochs=6)
+
+
+def m20_dropout_network(spark, sf_dir):
+    return networks.ensemble_forecasts(_parts(spark, sf_dir), (16, 8, 4), seeds=(0,), penalties=(0.0,), epochs=4, dropout=0.1)
 
 
 def m22_fit_metrics(spark, sf_dir):
@@ -437,6 +449,8 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "m14_interactions": (m14_interactions, None),
     "m15_tree": (m15_tree, None),
     "m16_forest": (m16_forest, None),
+    "m17_tuned_network": (m17_tuned_network, None),
     "m18_network": (m18_network, None),
+    "m20_dropout_network": (m20_dropout_network, None),
     "m22_fit_metrics": (m22_fit_metrics, query(PANEL, f"SELECT {r6('regr_r2(y, signal)')} AS r2, {r6('regr_slope(y, signal)')} AS slope, CAST(regr_count(y, signal) AS BIGINT) AS n FROM panel")),
 }
