@@ -37,7 +37,7 @@ HEADER = "<4sHH32s"
 FOOTER = "<QQ4s"
 SHARD_BYTES = 32 << 20  # of text
 SAMPLE, SAMPLE_IDS, DICTIONARY = 1000, 4096, 64 << 10
-LEVEL = 3
+LEVEL = 2
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -49,9 +49,9 @@ def train_dictionary(docs: DataFrame, path: str, n_docs: int, width: int, id_col
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            for t in binary(batch.column("text")):
-                ids, _ = encoder(path).encode([t])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[:SAMPLE_IDS].astype(f"<u{width}").tobytes()], pa.binary())], names=["ids"])
+            ids, sizes = encoder(path).encode(binary(batch.column("text")))
+            each = np.split(ids, np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in each], pa.binary())], names=["ids"])
 
     picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, n_docs // sample))) == 0).select(F.col(text).alias("text"))
     samples = [bytes(r["ids"]) for r in picked.mapInArrow(heads, "ids binary").limit(2 * sample).collect()]
@@ -82,7 +82,7 @@ def write_dataset(docs: DataFrame, path: str, out: str, id_col: str = "doc_id",
         fs, where = _open(out)
         name, file = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok", None
         docs_, nulls, ends, before = [], [], [], [0]
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 4 << 20):
             ids, sizes = encoder(path).encode(binary(batch.column("text")))
             if file is None:
                 file = fs.open_output_stream(f"{where}/{name}")

@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [] if end_id is None else [end_id]
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 4 << 20):
             ids, sizes = encoder(path).encode(binary(batch.column("text")))
             row, piece, start, length, crc = [], [], [], [], []
             for i, own in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
