@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, materialize, text_slices
+from .common import WHITE, binary, materialize, text_slices
 
 MIN_WORDS = 20
 CUT_BITS = 5
@@ -91,16 +91,8 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(run, schema)
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat across documents: id, first_chunk, n_words, n_kept_words, first_doc_id and last_doc_id.
-
-    One row for each maximal run of chunks that other documents hold too, with at least ``min_words``
-    words. ``n_kept_words`` are in chunks whose first document this is; the others are safe to cut.
-    ``first_doc_id`` and ``last_doc_id`` are the least and greatest ids that share a chunk of the run.
-    Null and empty texts and rows without an id have no chunks; rows with one id are one document, whose
-    own repeats do not count; very long texts are processed whole; an empty table gives an empty result;
-    other columns are ignored.
-    """
+def _runs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """doc, first_chunk, n_words, n_kept_words, first, last and cut (chunks that an earlier document holds) of every repeated run."""
     table = chunk_table(docs, id_col, text)
     counted = table.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     twice = materialize(counted.where("least < most"), "substring-twice")
@@ -109,7 +101,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, first, n, kept, least, most = [], [], [], [], [], []
+            row, first, n, kept, least, most, cut = [], [], [], [], [], [], []
             for i, (doc, hits) in enumerate(zip(batch["doc"].to_pylist(), batch["hits"].to_pylist(), strict=True)):
                 begin = 0
                 for k in range(1, len(hits) + 1):
@@ -124,10 +116,55 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
                         kept.append(sum(h["words"] for h in run if h["least"] == doc))
                         least.append(min(h["least"] for h in run))
                         most.append(max(h["most"] for h in run))
+                        cut.append(sorted({h["chunk"] for h in run if h["least"] != doc}))
                     begin = k
             kind = batch["doc"].type
-            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.int64()), pa.array(least, kind), pa.array(most, kind)], names=[id_col, "first_chunk", "n_words", "n_kept_words", "first_doc_id", "last_doc_id"])
+            longs = [pa.array(x, pa.int64()) for x in (first, n, kept)]
+            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), *longs, pa.array(least, kind), pa.array(most, kind), pa.array(cut, pa.list_(pa.int32()))], names=["doc", "first_chunk", "n_words", "n_kept_words", "first", "last", "cut"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("first_chunk", "n_words", "n_kept_words")), T.StructField("first_doc_id", kind), T.StructField("last_doc_id", kind)])
-    return found.mapInArrow(runs, schema)
+    longs = [T.StructField(c, T.LongType()) for c in ("first_chunk", "n_words", "n_kept_words")]
+    return found.mapInArrow(runs, T.StructType([T.StructField("doc", kind), *longs, T.StructField("first", kind), T.StructField("last", kind), T.StructField("cut", T.ArrayType(T.IntegerType()))]))
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Passages that repeat across documents: id, first_chunk, n_words, n_kept_words, first_doc_id and last_doc_id.
+
+    One row for each maximal run of chunks that other documents hold too, with at least ``min_words``
+    words. ``n_kept_words`` are in chunks whose first document this is; the others are safe to cut.
+    ``first_doc_id`` and ``last_doc_id`` are the least and greatest ids that share a chunk of the run.
+    Null and empty texts and rows without an id have no chunks; rows with one id are one document, whose
+    own repeats do not count; very long texts are processed whole; an empty table gives an empty result;
+    other columns are ignored.
+    """
+    runs = _runs(docs, id_col, text, min_words)
+    return runs.select(F.col("doc").alias(id_col), "first_chunk", "n_words", "n_kept_words", F.col("first").alias("first_doc_id"), F.col("last").alias("last_doc_id"))
+
+
+def cut_words(text: bytes, cut: set[int]) -> bytes:
+    """The text without the words of some chunks; each goes with the white space after it."""
+    _, _, upto = chunks(text)
+    white = WHITE[np.frombuffer(text, np.uint8)]
+    starts = np.append(np.flatnonzero(~white & np.concatenate(([True], white[:-1]))), len(text))
+    out, at = [], 0
+    for k, (first, last) in enumerate(zip([0, *upto.tolist()], upto.tolist(), strict=False)):
+        if k in cut:
+            out.append(text[at : starts[first]])
+            at = starts[last]
+    return b"".join([*out, text[at:]])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated passages cut from all documents but the first that holds them; all columns stay.
+
+    Rows without an id and null texts stay as they are.
+    """
+    cuts = _runs(docs, id_col, text, min_words).groupBy(F.col("doc").alias("__doc")).agg(F.flatten(F.collect_list("cut")).alias("__cut"))
+    names = docs.columns
+
+    def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text):
+            new = [cut_words(t, set(c)) if t and c else t for t, c in zip(binary(batch[text]), batch["__cut"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()) if c == text else batch[c] for c in names], names=names)
+
+    return docs.join(cuts, F.col(id_col) == F.col("__doc"), "left").drop("__doc").mapInArrow(rewrite, docs.schema)

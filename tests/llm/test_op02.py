@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 from sigspark.llm import queries
-from sigspark.llm.op02_substrings import LONGEST, chunks, gear_hashes, passages, GEAR
+from sigspark.llm.op02_substrings import LONGEST, chunks, cut_words, gear_hashes, passages, without_repeats, GEAR
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,3 +65,23 @@ def test_gear_hash_by_doubling_is_the_rolling_hash():
         h = ((h << 1) + int(GEAR[b])) & 0xFFFF
         want.append(h)
     assert gear_hashes(data).tolist() == want
+
+
+def test_cut_texts_keep_the_first_copy(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"{rng.randint(0, 10**6):x}" for _ in range(n)]
+    passage, heads, tails = text(80), [text(30) for _ in range(4)], [text(20) for _ in range(4)]
+    rows = [(i, " ".join(h) + "\n" + "\t ".join(passage) + "\n" + " ".join(t), 7) for i, (h, t) in enumerate(zip(heads, tails, strict=True))] + [(9, None, 1), (None, " ".join(passage), 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, first long")
+    got = {r.doc_id: r.text for r in without_repeats(frame).collect()}
+    assert without_repeats(frame).columns == frame.columns and got[0] == rows[0][1] and got[9] is None and got[None] == rows[-1][1]
+    for i in (1, 2, 3):
+        words = got[i].split()
+        assert words[:30] == heads[i] and words[-20:] == tails[i] and len(words) < 75
+    assert passages(without_repeats(frame)).count() == 0
+
+
+def test_cutting_all_or_no_chunks():
+    text = b"  one two\n three " + b"word " * 50
+    n = len(chunks(text)[1])
+    assert cut_words(text, set()) == text and cut_words(text, set(range(n))) == b"  "
