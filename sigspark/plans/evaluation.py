@@ -24,16 +24,17 @@ def _complete_rows(df: DataFrame, *columns: str) -> DataFrame:
     return out
 
 
-def rank_ic(df: DataFrame, prediction: str, target: str, by: Sequence[str] = ("date",), least: int = 10, constant_as_zero: bool = True) -> DataFrame:
+def rank_ic(df: DataFrame, prediction: str, target: str, by: Sequence[str] = ("date",), least: int = 10, constant_as_zero: bool = True, target_rank: str | None = None) -> DataFrame:
     """by..., rank_ic, n: Spearman correlation of each cross-section.
 
     Null with fewer than ``least`` rows or a constant target; a constant prediction is 0, or null in the
-    older convention (``constant_as_zero=False``).
+    older convention (``constant_as_zero=False``). ``target_rank`` names a column that already holds the
+    target's rank (see ranked_target), where many predictions share one target.
     """
     d = _complete_rows(df, prediction, target)
     for c, name in ((prediction, "x"), (target, "y")):
         left, right, _ = tie_interval(by, c)
-        d = d.withColumn(name, left + right + 1)  # twice the average rank
+        d = d.withColumn(name, F.col(target_rank) if name == "y" and target_rank else left + right + 1)  # twice the average rank
     s = d.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(F.col(a).cast("double") * F.col(b)).alias(a + b) for a, b in ("xx", "yy", "xy")), F.sum("x").cast("double").alias("sx"), F.sum("y").cast("double").alias("sy"))
     vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
     cov = F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")
@@ -41,6 +42,13 @@ def rank_ic(df: DataFrame, prediction: str, target: str, by: Sequence[str] = ("d
     return s.select(*by, F.when((F.col("n") >= least) & (vy > 0), ic).alias("rank_ic"), "n")
 
 
+def ranked_target(df: DataFrame, target: str, by: Sequence[str] = ("date",), name: str = "target_rank") -> DataFrame:
+    """Rows with a target, and twice its average rank, to be shared by all predictions of these rows."""
+    d = _complete_rows(df, target)
+    left, right, _ = tie_interval(by, target)
+    return d.withColumn(name, left + right + 1)
+
+
 def fractional_bins(df: DataFrame, prediction: str, target: str, by: Sequence[str] = ("date",), bins: int = 10, weight: str | None = None, least: float = 1.0) -> DataFrame:
     """by..., bin, ret, n_members: bin returns where tied values share the bins that their ranks span.
 

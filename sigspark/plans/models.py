@@ -295,13 +295,14 @@ def predict(features: str, beta: np.ndarray, intercept: float) -> Column:
 
 def score_candidates(rows: DataFrame, found: Sequence[Candidate], target: str, features: str = "features", chunk: int = 16) -> list[float | None]:
     """Mean daily rank correlation of each candidate on validation rows, ``chunk`` of them per pass."""
-    from .evaluation import rank_ic
+    from .evaluation import rank_ic, ranked_target
 
+    ranked = ranked_target(rows, target)
     out: dict[int, float | None] = {}
     for i in range(0, len(found), chunk):
         models = F.array(*(F.struct(F.lit(i + j).alias("k"), F.round(predict(features, c.beta, c.intercept), 14).alias("p")) for j, c in enumerate(found[i : i + chunk])))
-        long = rows.select("date", target, F.explode(models).alias("m")).select("date", target, "m.k", "m.p")
-        out |= {r["k"]: r["ic"] for r in rank_ic(long, "p", target, ("k", "date")).groupBy("k").agg(F.avg("rank_ic").alias("ic")).collect()}
+        long = ranked.select("date", target, "target_rank", F.explode(models).alias("m")).select("date", target, "target_rank", "m.k", "m.p")
+        out |= {r["k"]: r["ic"] for r in rank_ic(long, "p", target, ("k", "date"), target_rank="target_rank").groupBy("k").agg(F.avg("rank_ic").alias("ic")).collect()}
     return [out.get(k) for k in range(len(found))]
 
 
