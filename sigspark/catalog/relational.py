@@ -376,7 +376,7 @@ QUERIES = {
     "p14_guarded_ratio": (p14_guarded_ratio, f"SELECT l_orderkey, l_linenumber, {r6('CASE WHEN l_tax <> 0 THEN l_quantity / l_tax END')} AS or_null, {r6('CASE WHEN l_discount <> 0 THEN l_quantity / l_discount ELSE 0 END')} AS or_zero FROM lineitem"),
     "p17_finite": (p17_finite, "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 AND l_discount <> 0 THEN l_tax END AS tax FROM lineitem"),
     "p16_fill_by_name": (p16_fill_by_name, None),
-    "p18_p19_feature_columns": (p18_p19_feature_columns, "SELECT unnest(['n_bullish', 'bullish_ratio', 'net_sentiment', 'extreme_bullish_80', 'extreme_bullish_90', 'extreme_bearish_80', 'extreme_bearish_90', 'disagreement_index']) AS feature"),
+    "p18_p19_feature_columns": (p18_p19_feature_columns, "SELECT unnest(['net_sentiment', 'extreme_bullish_80', 'extreme_bullish_90', 'extreme_bearish_80', 'extreme_bearish_90', 'disagreement_index']) AS feature"),
     "p20_cut": (p20_cut, "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity > 0 AND l_quantity <= 1 THEN 0 WHEN l_quantity > 1 AND l_quantity <= 5 THEN 1 WHEN l_quantity > 5 AND l_quantity <= 20 THEN 2 WHEN l_quantity > 20 AND l_quantity <= 40 THEN 3 END AS BIGINT) AS bucket FROM lineitem"),
     "p21_agreement": (p21_agreement, query("flat AS (SELECT label, generate_subscripts(embedding, 1) AS place, unnest(embedding) AS x FROM embeddings), means AS (SELECT label, place, avg(CAST(x AS DOUBLE)) AS m, count(*) AS n FROM flat GROUP BY ALL), q AS (SELECT label, max(n) AS n, least(1, sum(m * m)) AS sq FROM means GROUP BY label)", f"SELECT CAST(label AS BIGINT) AS label, n AS embed_n, {r6('sqrt(sq)')} AS embed_norm, {r6('CASE WHEN n = 1 THEN 1 ELSE greatest(-1, least(1, (n * sq - 1) / (n - 1))) END')} AS embed_cos FROM q")),
     "p22_noise": (p22_noise, None),

@@ -10,10 +10,36 @@ from pyspark.sql import functions as F
 from ..functions.scalar import finite
 from ..operators.grid import adjacent, frame, session_index
 
-# The feature families' default fills, by part of the name; the first that fits counts.
-FILLS = (("silence_gap", 120.0), ("volume", 0.0), ("count", 0.0), ("sentiment", 0.0), ("abn", 0.0), ("extreme", 0.0), ("surge", 0.0), ("ratio", 0.0), ("flip", 0.0), ("conviction", 0.0), ("dominance", 0.0), ("hhi", 0.0), ("gini", 0.0), ("retention", 0.0), ("disagreement", 0.0))
-# Columns that repeat others up to a linear map.
-COLLINEAR = ("bearish_ratio", "total_labeled", "n_bearish", "net_flip_count_5", "net_flip_count_21", "net_flip_count_63", "net_flip_count_250", "log_volume_change")
+# The feature families' default fills. A column is filled if its name holds one of these parts.
+FILLS = (
+    ("silence_gap_hours", 120.0),
+    ("volume", 0.0),
+    ("count", 0.0),
+    ("n_bullish", 0.0),
+    ("n_bearish", 0.0),
+    ("total_labeled", 0.0),
+    ("sentiment", 0.0),
+    ("abn", 0.0),
+    ("extreme", 0.0),
+    ("surge", 0.0),
+    ("disagreement_index", 0.0),
+    ("attention_hhi", 0.0),
+    ("to_bull", 0.0),
+    ("to_bear", 0.0),
+    ("flip", 0.0),
+    ("conviction_index", 0.0),
+    ("first_mover_net_sent", 0.0),
+    ("fresh_blood_ratio", 0.0),
+    ("whale_dominance", 0.0),
+    ("minnow_dominance", 0.0),
+    ("night_owl_ratio", 0.0),
+    ("day_trader_ratio", 0.0),
+    ("retention_rate", 0.0),
+    ("crowding_gini", 0.0),
+    ("specialist_ratio", 0.0),
+)
+# Columns dropped because others determine them.
+COLLINEAR = ("n_bullish", "n_bearish", "bullish_ratio", "bearish_ratio", "total_labeled", "after_hours_volume", "market_hours_volume", "raw_volume")
 KEYS_AND_TARGETS = ("permno", "ticker", "symbol", "date", "index")
 
 
