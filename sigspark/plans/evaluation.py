@@ -129,18 +129,23 @@ def hac(daily: DataFrame, value: str, lags: int, by: Sequence[str] = ("model_id"
     return calendar_hac(daily.where(finite(F.col(value).cast("double")).isNotNull()), value, lags, by, with_p)
 
 
-def contrasts(daily: DataFrame, specs: DataFrame, value: str, lags: Sequence[int], family: int, with_p: bool = True) -> DataFrame:
+def contrasts(daily: DataFrame, specs: DataFrame, value: str, lags: Sequence[int], family: int | None = None, with_p: bool = True) -> DataFrame:
     """Mean differences a - b of declared pairs of models, with p adjusted for the declared family size.
 
-    ``specs``: contrast, a, b. The family counts every declared pair, scored or not.
+    ``specs``: contrast, a, b, and family_size unless ``family`` is given for all. The family counts every
+    declared pair, scored or not.
     """
+    size = F.lit(family) if family is not None else F.col("family_size")
     side = lambda s: daily.select("date", F.col("model_id").alias(s), F.col(value).alias(f"v_{s}"))
     paired = specs.join(side("a"), "a").join(side("b"), ["b", "date"]).withColumn("difference", F.col("v_a") - F.col("v_b"))
     out = None
     for k in lags:
         one = calendar_hac(paired, "difference", k, ["contrast"], with_p)
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * family)) if with_p else out
+    if not with_p:
+        return out
+    sized = out.join(specs.select("contrast", size.alias("family_size")), "contrast")
+    return sized.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * F.col("family_size")))
 
 
 def period_summary(daily: DataFrame, value: str, periods: Sequence[tuple[str, int, int]]) -> DataFrame:

@@ -37,6 +37,35 @@ def studies() -> dict[str, list[dict]]:
     }
 
 
+#: (family, the axis values of the benchmark, which models are compared with it)
+COMPARISONS = (
+    ("feature", {"features": "core"}, lambda s: s["features"] != "core"),
+    ("feature", {"features": "all"}, lambda s: s["features"] == "textall"),
+    ("estimator", {"estimator": "ols"}, lambda s: s["estimator"] != "ols"),
+    *(("estimator", {"estimator": e}, lambda s: s["estimator"].startswith("nn")) for e in ("ridge", "lasso", "enet")),
+    ("history", {"fit": 504}, lambda s: s["fit"] != 504),
+)
+
+
+def declared_contrasts(study: Sequence[dict]) -> list[tuple[str, str, str, str, int]]:
+    """(contrast, family, a, b, family_size) of every declared pair of one study's models.
+
+    A benchmark is the same model with some axes set otherwise; its family counts all pairs declared
+    under its name, scored or not.
+    """
+    key = lambda s: tuple(sorted((k, v) for k, v in s.items() if k != "model_id"))
+    known = {key(s): s["model_id"] for s in study}
+    if len(known) != len(study):
+        raise ValueError("two models of the study are the same")
+    found = []
+    for s in study:
+        for family, other, applies in COMPARISONS:
+            if applies(s) and (b := known.get(key(s | other))):
+                found.append((f"{s['model_id']}-{b}", family, s["model_id"], b))
+    size = {f: sum(x[1] == f for x in found) for f in {x[1] for x in found}}
+    return [(*x, size[x[1]]) for x in found]
+
+
 def complete(found: Sequence[str], study: Sequence[dict]) -> list[str]:
     """Declared models that a registry lacks; a model that was not declared is an error."""
     declared = [s["model_id"] for s in study]

@@ -84,6 +84,13 @@ def test_bundles_are_checked_and_registries_complete(spark, tmp_path):
         tables.load_bundle(spark, path)
     study = registry.studies()["linear"]
     assert registry.complete([study[0]["model_id"]], study) == [s["model_id"] for s in study[1:]]
+    pairs = registry.declared_contrasts(study)
+    sizes = {p[1]: p[4] for p in pairs}
+    # 72 against core, 24 text-and-all against all; 72 against least squares; 64 against 504 sessions
+    assert sizes == {"feature": 96, "estimator": 72, "history": 64} and len(pairs) == 232
+    assert ("ridge_core_raw_252-ols_core_raw_252", "estimator", "ridge_core_raw_252", "ols_core_raw_252", 72) in pairs
+    with pytest.raises(ValueError):
+        registry.declared_contrasts([*study, study[0]])
     with pytest.raises(ValueError):
         registry.complete(["made_up"], study)
     with pytest.raises(ValueError):
