@@ -12,6 +12,7 @@ from ..plans import evaluation as ev
 from ..plans import models as md
 from ..plans import networks, splits
 from ..sources import stand_in
+from ..sources.scratch import stored
 from .features import tidy
 from .prelude import CALENDAR, FORECASTS, PANEL, query, r6
 
@@ -186,7 +187,7 @@ def _ready(spark, sf_dir):
     coded = p.join(F.broadcast(grid.session_index(p)), "date")
     by = ["date"]
     x = {c: k.centered_feature(by, c) for c in ("signal", "cap", "other", "n_items")}
-    return coded.select("date", "code", "permno", "y", k.centered_target(by, "y").alias("q"), *(v.alias(f"x_{c}") for c, v in x.items()))
+    return stored(coded.select("date", "code", "permno", "y", k.centered_target(by, "y").alias("q"), *(v.alias(f"x_{c}") for c, v in x.items())), "ready")
 
 
 FEATURES = ("x_signal", "x_cap", "x_other", "x_n_items")

@@ -33,6 +33,21 @@ def strict(value: Column, counted: Column, over: WindowSpec, rows: int) -> Colum
     return F.when(F.count(counted).over(over) == rows, value.over(over))
 
 
+def with_running(df: DataFrame, by: Sequence[str], order: str, **sums: Column) -> DataFrame:
+    """Adds running sums under the given names; missing values add nothing.
+
+    A bounded frame is summed anew at every row, so long frames cost their length; the difference of two
+    running sums costs the same whatever the frame. Whole numbers stay exact.
+    """
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0)) for name, c in sums.items()})
+
+
+def rolled(running: str, by: Sequence[str], order: str, rows: int) -> Column:
+    """The sum over the current row and the rows - 1 before it, from a running sum."""
+    return F.col(running) - F.coalesce(F.lag(running, rows).over(Window.partitionBy(*by).orderBy(order)), F.lit(0))
+
+
 def adjacent(value: Column, by: Sequence[str], code: str, step: int = 1) -> Column:
     """The value one session before (step 1) or after (-1); null if the neighbouring row is another session."""
     w = Window.partitionBy(*by).orderBy(code)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
-from ..operators.grid import adjacent, frame, session_index
+from ..operators.grid import adjacent, frame, rolled, session_index, with_running
 
 # The feature families' default fills. A column is filled if its name holds one of these parts.
 FILLS = (
@@ -117,12 +117,10 @@ def exclude_gaps(panel: DataFrame, gaps: DataFrame, horizon: int, labels: Sequen
 CONTROL_RETURNS = (1, 5, 21, 63, 126, 252)
 
 
-def _compound(h: int, ret: str = "r") -> Column:
+def _compound(h: int) -> Column:
     """Product of the gross returns of a full frame, less one; a gross return of zero gives -1."""
-    over = frame(["permno"], "code", h)
-    logs = F.sum(F.when(F.col(ret) > -1, F.log1p(ret)).otherwise(0.0)).over(over)
-    zeros = F.count_if(F.col(ret) == -1).over(over)
-    return F.when(F.count(ret).over(over) == h, F.when(zeros > 0, F.lit(-1.0)).otherwise(F.expm1(logs)))
+    part = lambda running: rolled(running, ["permno"], "code", h)
+    return F.when(part("r_count") == h, F.when(part("r_zeros") > 0, F.lit(-1.0)).otherwise(F.expm1(part("r_logs"))))
 
 
 def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -141,6 +139,15 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumns({"r": F.when((finite(F.col("ret")) >= -1) & before.isNotNull(), F.col("ret")), "dollars": F.col("price") * F.col("volume"), "turnover": F.col("volume") / (1000 * F.col("shares"))})
     rows = rows.withColumn("illiquid", F.abs("r") / F.when(F.col("dollars") > 0, F.col("dollars")))
 
+    rows = with_running(
+        rows, ["permno"], "code",
+        r_count=F.when(F.col("r").isNotNull(), 1), r_zeros=F.when(F.col("r") == -1, 1), r_logs=F.when(F.col("r") > -1, F.log1p("r")),
+        turnover_count=F.when(F.col("turnover").isNotNull(), 1), turnover_sum=F.col("turnover"), dollars_count=F.when(F.col("dollars").isNotNull(), 1), dollars_sum=F.col("dollars"),
+    )
+
+    def mean(c: str, h: int) -> Column:
+        return F.when(rolled(f"{c}_count", ["permno"], "code", h) == h, rolled(f"{c}_sum", ["permno"], "code", h) / h)
+
     def full(value: Column, c: str, h: int) -> Column:
         over = frame(["permno"], "code", h)
         return F.when(F.count(c).over(over) == h, value.over(over))
@@ -151,9 +158,9 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
         "char_log_market_cap": F.log(F.col("price") * F.col("shares") / 1000),
         "char_log_price": F.log("price"),
         "char_turnover1": F.col("turnover"),
-        "char_turnover21": full(F.avg("turnover"), "turnover", 21),
+        "char_turnover21": mean("turnover", 21),
         "char_log_dollar_volume1": F.log1p("dollars"),
-        "char_log_dollar_volume21": F.log1p(full(F.avg("dollars"), "dollars", 21)),
+        "char_log_dollar_volume21": F.log1p(mean("dollars", 21)),
         "char_volatility21": full(F.stddev_samp("r"), "r", 21),
         "char_volatility63": full(F.stddev_samp("r"), "r", 63),
         "char_max_return21": full(F.max("r"), "r", 21),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import AFTER_HOURS, MARKET_HOURS, SESSIONS, ratio, row_stddev
 from ..operators.asof import count_before
-from ..operators.grid import complete, fill_grid, frame
+from ..operators.grid import complete, fill_grid, rolled, with_running
 from ..operators.guards import head_by
 from .messages import grouped_sessions
 
@@ -63,15 +63,19 @@ def attention(rows: DataFrame, sessions: DataFrame, horizons: Sequence[int] = HO
     full = fill_grid(grid, facts, KEYS, ["raw_volume", "unique_user_count"]).withColumn("log_volume", F.log1p("raw_volume"))
     w = Window.partitionBy("symbol").orderBy("date")
     full = full.withColumns({"volume_diff": F.col("raw_volume") - F.lag("raw_volume").over(w), "log_volume_change": F.col("log_volume") - F.lag("log_volume").over(w)})
+    v = F.col("raw_volume")
+    full = with_running(full, ["symbol"], "date", v_n=F.lit(1), v_sum=v, v_squares=v * v)
     new = {}
     for h in horizons:
-        over = frame(["symbol"], "date", h)
-        mean, sd = F.avg("raw_volume").over(over), F.stddev_samp("raw_volume").over(over)
-        new[f"abn_volume_{h}d"] = F.col("raw_volume") - mean
-        new[f"abn_attention_std_{h}d"] = F.when(sd > 0, (F.col("raw_volume") - mean) / sd).otherwise(0.0)
-        new[f"attention_surge_{h}d"] = F.coalesce(F.col("raw_volume") > mean + 2 * sd, F.lit(False)).cast("int")
+        n, total, squares = (rolled(c, ["symbol"], "date", h) for c in ("v_n", "v_sum", "v_squares"))
+        mean = total / n
+        # whole numbers up to the division, so a constant volume has a deviation of exactly zero
+        sd = F.when(n > 1, F.sqrt((n * squares - total * total) / (n * (n - 1))))
+        new[f"abn_volume_{h}d"] = v - mean
+        new[f"abn_attention_std_{h}d"] = F.when(sd > 0, (v - mean) / sd).otherwise(0.0)
+        new[f"attention_surge_{h}d"] = F.coalesce(v > mean + 2 * sd, F.lit(False)).cast("int")
     new["relative_volume"] = ratio(F.col("raw_volume"), F.sum("raw_volume").over(Window.partitionBy("date")), 0.0)
-    return full.withColumns(new)
+    return full.withColumns(new).drop("v_n", "v_sum", "v_squares")
 
 
 def abnormal_sentiment(daily: DataFrame, sessions: DataFrame, horizons: Sequence[int] = (1, *HORIZONS)) -> DataFrame:
@@ -79,8 +83,10 @@ def abnormal_sentiment(daily: DataFrame, sessions: DataFrame, horizons: Sequence
     counts = ["n_bullish", "n_bearish", "total_labeled", "extreme_bullish_80", "extreme_bullish_90", "extreme_bearish_80", "extreme_bearish_90", "net_sentiment"]
     full = fill_grid(complete(daily.select("symbol").distinct(), sessions.select("date")), daily, KEYS, counts)
     w = Window.partitionBy("symbol").orderBy("date")
-    new = {f"abnormal_sentiment_{h}d": F.col("net_sentiment") - (F.lag("net_sentiment").over(w) if h == 1 else F.avg("net_sentiment").over(frame(["symbol"], "date", h))) for h in horizons}
-    return full.withColumns(new)
+    full = with_running(full, ["symbol"], "date", s_n=F.lit(1), s_sum=F.col("net_sentiment"))
+    mean = lambda h: rolled("s_sum", ["symbol"], "date", h) / rolled("s_n", ["symbol"], "date", h)
+    new = {f"abnormal_sentiment_{h}d": F.col("net_sentiment") - (F.lag("net_sentiment").over(w) if h == 1 else mean(h)) for h in horizons}
+    return full.withColumns(new).drop("s_n", "s_sum")
 
 
 def session_features(rows: DataFrame) -> DataFrame:
