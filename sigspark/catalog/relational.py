@@ -26,8 +26,8 @@ def read(spark, sf_dir, name):
 
 def s5_drop_bad_keys(spark, sf_dir):
     """Words of brand names as keys: those that are no number go."""
-    p = read(spark, sf_dir, "part").select(F.substring_index("p_brand", "#", -1).alias("key"), "p_partkey")
-    return tables.drop_bad_keys(p.withColumn("key", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("key"), F.lit("x"))).otherwise(F.col("key"))), "key")
+    p = read(spark, sf_dir, "part").select(F.substring_index("p_brand", "#", -1).alias("key"), "p_partkey", "p_size")
+    return tables.drop_bad_keys(p.withColumn("key", F.when(F.col("p_size") < 17, F.concat(F.col("key"), F.lit("x"))).otherwise(F.col("key"))).drop("p_size"), "key")
 
 
 def s7_calendar_from_data(spark, sf_dir):
@@ -36,7 +36,7 @@ def s7_calendar_from_data(spark, sf_dir):
 
 def p7_parse_list(spark, sf_dir):
     text = F.concat(F.lit("['"), F.array_join("symbols", "', '"), F.lit("']"))
-    msgs = stand_in.messages(spark, sf_dir).withColumn("literal", F.when(F.col("message_id") % 7 == 0, F.lit("[]")).otherwise(text))
+    msgs = stand_in.messages(spark, sf_dir).withColumn("literal", F.when(F.col("sentiment").isNull(), F.lit("[]")).otherwise(text))
     parsed = msgs.select("message_id", s.parse_symbols(F.col("literal")).alias("symbols"), s.symbols_by_pattern(F.col("literal")).alias("by_pattern"))
     return parsed.where(F.size("symbols") > 0)
 
@@ -56,7 +56,7 @@ def p10_extract(spark, sf_dir):
 
 
 def p11_strip_boilerplate(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("$AB.c @me https://x.y/z "), F.substring("text", 1, 4000)).alias("t"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("$AB.c @me https://x.y/z "), F.col("text")).alias("t"))
     return d.select("doc_id", F.length(s.without_boilerplate(F.col("t"))).cast("long").alias("n_chars_left"))
 
 
@@ -130,7 +130,7 @@ def j3_feature_join(spark, sf_dir):
 def j4_outer_merge(spark, sf_dir):
     r = rows(spark, sf_dir)
     one = f.sentiment(r).select("symbol", "date", "n_bullish", "total_labeled").where("n_bullish > 3")
-    two = r.groupBy("symbol", "date").agg(F.count("*").alias("total_labeled"), F.count_distinct("user_id").alias("n_users")).where("n_users % 2 = 0")
+    two = r.groupBy("symbol", "date").agg(F.count("*").alias("total_labeled"), F.count_distinct("user_id").alias("n_users")).where("n_users < 12")
     return guards.merge_families(one, two)
 
 
@@ -150,7 +150,7 @@ def j7_semi_join(spark, sf_dir):
 
 
 def j8_any_match(spark, sf_dir):
-    universe = stand_in.stock_days(spark, sf_dir).where("cap > 60000 or permno < 4").select(F.col("ticker").alias("symbol"), "date")
+    universe = stand_in.stock_days(spark, sf_dir).where("cap > 1800").select(F.col("ticker").alias("symbol"), "date")
     dated = m.route(m.with_time_parts(m.tagged(stand_in.messages(spark, sf_dir))), stand_in.closes(spark))
     return m.any_match(dated, universe)
 
@@ -172,11 +172,11 @@ def j10_grid(spark, sf_dir):
 
 
 def j12_unmatched(spark, sf_dir):
-    return m.unmatched_symbols(rows(spark, sf_dir), stand_in.stock_days(spark, sf_dir).where("permno % 20 > 4"))
+    return m.unmatched_symbols(rows(spark, sf_dir), stand_in.stock_days(spark, sf_dir).where("ticker not in ('S0', 'S1', 'S2', 'S3', 'S4')"))
 
 
 def j13_reindex(spark, sf_dir):
-    few = stand_in.stock_days(spark, sf_dir).where("(permno + dayofmonth(date)) % 4 > 0")
+    few = stand_in.stock_days(spark, sf_dir).where("prc > 37000")
     cal = stand_in.trading_days(spark).select("date")
     return grid.complete(few.select("permno").distinct(), cal).join(few.select("permno", "date", "prc"), ["permno", "date"], "left")
 
@@ -191,20 +191,20 @@ def j14_exclude_gaps(spark, sf_dir):
 
 
 def j15_common_sample(spark, sf_dir):
-    return guards.common_sample(stand_in.forecasts(spark, sf_dir).where("model_id <> 'b' or permno % 3 > 0"), 3).select("date", "permno", "model_id")
+    return guards.common_sample(stand_in.forecasts(spark, sf_dir).where("model_id <> 'b' or cap > 60"), 3).select("date", "permno", "model_id")
 
 
 # -- windows and ranks -------------------------------------------------------------------------------
 
 
 def w2_adjacent(spark, sf_dir):
-    few = _coded(spark, sf_dir).where("(permno + code) % 5 > 0").withColumn("ret", F.col("prc") / 1000)
+    few = _coded(spark, sf_dir).where("prc > 37000").withColumn("ret", F.col("prc") / 1000)
     out = pn.neighbours(few.drop("code"), stand_in.trading_days(spark))
     return out.select("permno", "date", "lag_cap", "next_session_ret", "next_is_next_session")
 
 
 def e25_label_repair(spark, sf_dir):
-    few = _coded(spark, sf_dir).where("(permno + code) % 5 > 0").withColumn("ret", F.col("prc") / 1000).withColumn("label", F.col("prc"))
+    few = _coded(spark, sf_dir).where("prc > 37000").withColumn("ret", F.col("prc") / 1000).withColumn("label", F.col("prc"))
     out = pn.repair_labels(pn.neighbours(few.drop("code"), stand_in.trading_days(spark)), ["label"], F.lit(27))
     return out.select("permno", "date", s.r6(k.centered_target(["date"], "label", 5)).alias("label"))
 
@@ -224,7 +224,7 @@ def w7_running(spark, sf_dir):
 
 
 def w9_w14_ranks(spark, sf_dir):
-    p = stand_in.panel(spark, sf_dir).withColumn("x", F.when(F.col("n_items") % 4 > 0, F.col("signal")))
+    p = stand_in.panel(spark, sf_dir).withColumn("x", F.when(F.col("n_items") > 4, F.col("signal")))
     by = ["date"]
     return tidy(p.select("date", "permno", k.average_rank(by, "x").alias("average_rank"), k.centered_rank(by, "x").alias("centered"), k.centered_feature(by, "x").alias("feature"), k.centered_target(by, "x").alias("target"), k.percent_target(by, "x").alias("percent"), k.daily_rank(by, "x").alias("daily"), k.demeaned(by, "x").alias("demeaned"), k.terciles(by, "x").alias("tercile")))
 
@@ -247,7 +247,7 @@ def w17_rolling_months(spark, sf_dir):
 
 
 def w18_shifted(spark, sf_dir):
-    series = stand_in.stock_days(spark, sf_dir).where("permno < 5 and dayofmonth(date) % 3 > 0").select("permno", "date", "prc")
+    series = stand_in.stock_days(spark, sf_dir).where("prc > 37000").select("permno", "date", "prc")
     return grid.shifted_on_calendar(series, stand_in.trading_days(spark), "prc", ["permno"]).select("permno", "date", "prc")
 
 
@@ -308,7 +308,7 @@ def a29_top_share(spark, sf_dir):
 
 def a30_union(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return o.where("o_orderkey % 2 = 0").unionByName(o.where("o_orderkey % 3 = 0").select("o_totalprice", "o_orderkey"))
+    return o.where("o_totalprice > 200000").unionByName(o.where("o_totalprice < 300000").select("o_totalprice", "o_orderkey"))
 
 
 def o1_sort(spark, sf_dir):
@@ -338,7 +338,7 @@ _L, _R, _N = f"(rank() OVER ({_RANK} ORDER BY x) - 1)", f"(rank() OVER ({_RANK}
 _SD = CALENDAR + "," + STOCK_DAYS
 _SENT = "sentiment AS (SELECT symbol, date, count(*) FILTER (sentiment = 'Bullish') AS n_bullish, count(*) FILTER (sentiment = 'Bearish') AS n_bearish, count(*) AS total_labeled FROM rows_ GROUP BY ALL)"
 _WS = r"'[ \t\n\x0B\f\r]+'"
-_NEAR = """near AS (SELECT permno, date, code, cap, prc / 1000 AS ret, prc FROM stock_days JOIN sess USING (date) WHERE (permno + code) % 5 > 0),
+_NEAR = """near AS (SELECT permno, date, code, cap, prc / 1000 AS ret, prc FROM stock_days JOIN sess USING (date) WHERE prc > 37000),
 nb AS (SELECT *, lag(code) OVER w AS before, lead(code) OVER w AS after, lag(cap) OVER w AS cap_before, lead(ret) OVER w AS ret_after FROM near WINDOW w AS (PARTITION BY permno ORDER BY code))"""
 
 
@@ -364,9 +364,9 @@ c AS (SELECT permno, date, code, {", ".join(f"{x} AS {n}" for n, x in items.item
 
 
 QUERIES = {
-    "s5_drop_bad_keys": (s5_drop_bad_keys, "SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS key, p_partkey FROM part WHERE p_partkey % 3 <> 0"),
+    "s5_drop_bad_keys": (s5_drop_bad_keys, "SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS key, p_partkey FROM part WHERE p_size >= 17"),
     "s7_calendar_from_data": (s7_calendar_from_data, "SELECT date, row_number() OVER (ORDER BY date) - 1 AS code FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)"),
-    "p7_parse_list": (p7_parse_list, query(MESSAGES, "SELECT message_id, symbols, symbols AS by_pattern FROM messages WHERE message_id % 7 <> 0")),
+    "p7_parse_list": (p7_parse_list, query(MESSAGES, "SELECT message_id, symbols, symbols AS by_pattern FROM messages WHERE sentiment IS NOT NULL")),
     "p9_unescape": (p9_unescape, None),
     "p9_squeeze": (p9_squeeze, f"SELECT doc_id, md5(trim(regexp_replace(text, {_WS}, ' ', 'g'), ' ')) AS squeezed FROM documents"),
     "p10_extract": (p10_extract, r"SELECT doc_id, len(regexp_extract_all(t, '\$([A-Za-z]{1,6}(?:\.[A-Za-z]{1,2})?)\b', 1)) AS n_cashtags, len(regexp_extract_all(t, '(?:^|\W)@(\w{1,20})', 1)) AS n_mentions, len(regexp_extract_all(t, 'https?://\S+')) AS n_links FROM (SELECT doc_id, '$AB.c @me,@you http://x.y/z ' || text AS t FROM documents)"),
@@ -384,24 +384,24 @@ QUERIES = {
     "a22_word_frequency": (a22_word_frequency, query(f"w AS (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text), {_WS}), lambda x: x <> '')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL)", "SELECT lang, word, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 20")),
     "j2_matched": (j2_matched, query(ROUTED + "," + STOCK_DAYS + ", one AS (SELECT * FROM stock_days QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY permno) = 1)", "SELECT message_id, symbol, r.date, permno, prc FROM rows_ r JOIN one o ON o.ticker = r.symbol AND o.date = r.date")),
     "j3_feature_join": (j3_feature_join, query(ROUTED + "," + STOCK_DAYS + "," + _SENT, "SELECT permno, ticker, d.date, prc, n_bullish, n_bearish FROM stock_days d LEFT JOIN sentiment s ON s.symbol = d.ticker AND s.date = d.date")),
-    "j4_outer_merge": (j4_outer_merge, query(ROUTED + "," + _SENT + ", two AS (SELECT symbol, date, count(DISTINCT user_id) AS n_users FROM rows_ GROUP BY ALL HAVING count(DISTINCT user_id) % 2 = 0)", "SELECT symbol, date, n_bullish, total_labeled, n_users FROM (SELECT * FROM sentiment WHERE n_bullish > 3) FULL JOIN two USING (symbol, date)")),
+    "j4_outer_merge": (j4_outer_merge, query(ROUTED + "," + _SENT + ", two AS (SELECT symbol, date, count(DISTINCT user_id) AS n_users FROM rows_ GROUP BY ALL HAVING count(DISTINCT user_id) < 12)", "SELECT symbol, date, n_bullish, total_labeled, n_users FROM (SELECT * FROM sentiment WHERE n_bullish > 3) FULL JOIN two USING (symbol, date)")),
     "j5_align": (j5_align, query(PANEL, "SELECT date, permno, y, CASE WHEN n_items > 3 THEN signal END AS prediction FROM panel")),
     "j6_one_to_one": (j6_one_to_one, query(PANEL, "SELECT date, permno, y, cap FROM panel WHERE cap > 50")),
     "j7_semi_join": (j7_semi_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"),
-    "j8_any_match": (j8_any_match, query(ROUTED + "," + STOCK_DAYS, "SELECT message_id, bool_or(EXISTS (SELECT 1 FROM stock_days d WHERE d.ticker = r.symbol AND d.date = r.date AND (cap > 60000 OR permno < 4))) AS matched FROM rows_ r GROUP BY message_id")),
+    "j8_any_match": (j8_any_match, query(ROUTED + "," + STOCK_DAYS, "SELECT message_id, bool_or(EXISTS (SELECT 1 FROM stock_days d WHERE d.ticker = r.symbol AND d.date = r.date AND cap > 1800)) AS matched FROM rows_ r GROUP BY message_id")),
     "j9_asof": (j9_asof, "SELECT b.event_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts > v.ts"),
     "a17_count_before": (a17_count_before, query(ROUTED + ", daily AS (SELECT user_id, date, count(*) AS n FROM rows_ GROUP BY ALL)", "SELECT user_id, date, n, CAST(coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before FROM daily")),
     "j10_grid": (j10_grid, query(ROUTED, "SELECT symbol, s.date FROM (SELECT DISTINCT symbol FROM rows_) CROSS JOIN sess s")),
-    "j12_unmatched": (j12_unmatched, query(ROUTED + "," + STOCK_DAYS, "SELECT DISTINCT symbol FROM rows_ WHERE symbol NOT IN (SELECT ticker FROM stock_days WHERE permno % 20 > 4)")),
-    "j13_reindex": (j13_reindex, query(_SD + ", few AS (SELECT * FROM stock_days WHERE (permno + day(date)) % 4 > 0)", "SELECT p.permno, s.date, f.prc FROM (SELECT DISTINCT permno FROM few) p CROSS JOIN sess s LEFT JOIN few f ON f.permno = p.permno AND f.date = s.date")),
+    "j12_unmatched": (j12_unmatched, query(ROUTED + "," + STOCK_DAYS, "SELECT DISTINCT symbol FROM rows_ WHERE symbol NOT IN (SELECT ticker FROM stock_days WHERE ticker NOT IN ('S0', 'S1', 'S2', 'S3', 'S4'))")),
+    "j13_reindex": (j13_reindex, query(_SD + ", few AS (SELECT * FROM stock_days WHERE prc > 37000)", "SELECT p.permno, s.date, f.prc FROM (SELECT DISTINCT permno FROM few) p CROSS JOIN sess s LEFT JOIN few f ON f.permno = p.permno AND f.date = s.date")),
     "j14_exclude_gaps": (j14_exclude_gaps, query(_SD + ", gaps AS (SELECT * FROM (VALUES (1, 5, 7), (1, 12, 12), (4, 9, 10)) t(permno, a, b))", "SELECT permno, date, CASE WHEN NOT EXISTS (SELECT 1 FROM gaps g WHERE g.permno = d.permno AND code < g.b AND code + 3 >= g.a) THEN prc END AS prc FROM stock_days d JOIN sess USING (date)")),
-    "j15_common_sample": (j15_common_sample, query(FORECASTS, "SELECT date, permno, model_id FROM forecasts WHERE permno % 3 > 0")),
+    "j15_common_sample": (j15_common_sample, query(FORECASTS, "SELECT date, permno, model_id FROM forecasts WHERE cap > 60")),
     "w2_adjacent": (w2_adjacent, query(_SD + "," + _NEAR, "SELECT permno, date, CASE WHEN before = code - 1 THEN cap_before END AS lag_cap, CASE WHEN after = code + 1 THEN ret_after END AS next_session_ret, coalesce(after = code + 1, false) AS next_is_next_session FROM nb")),
     "e25_label_repair": (e25_label_repair, query(_SD + "," + _NEAR + ", fixed AS (SELECT permno, date, CASE WHEN coalesce(after = code + 1, false) OR code >= 27 THEN prc END AS x FROM nb)", f"SELECT permno, date, {r6(f'CASE WHEN x IS NOT NULL AND count(x) OVER ({_RANK}) >= 5 AND min(x) OVER ({_RANK}) < max(x) OVER ({_RANK}) THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END')} AS label FROM fixed")),
     "w3_w5_controls": (w3_w5_controls, _controls_sql()),
     "w5_ranked_controls": (w5_ranked_controls, None),
     "w7_running": (w7_running, f"SELECT event_id, row_number() OVER w - 1 AS n_before, {r6('coalesce(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS sum_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
-    "w9_w14_ranks": (w9_w14_ranks, query(PANEL + ", p AS (SELECT date, permno, CASE WHEN n_items % 4 > 0 THEN signal END AS x FROM panel)", f"""SELECT date, permno, {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R} + 1) / 2 END")} AS average_rank, {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END")} AS centered,
+    "w9_w14_ranks": (w9_w14_ranks, query(PANEL + ", p AS (SELECT date, permno, CASE WHEN n_items > 4 THEN signal END AS x FROM panel)", f"""SELECT date, permno, {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R} + 1) / 2 END")} AS average_rank, {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END")} AS centered,
     {r6(f"CASE WHEN x IS NOT NULL THEN (({_L} + {_R}) / 2 / {_N} - 0.5) * 2 ELSE 0 END")} AS feature, {r6(f"CASE WHEN x IS NOT NULL AND {_N} >= 10 AND min(x) OVER ({_RANK}) < max(x) OVER ({_RANK}) THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END")} AS target,
     {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R} + 1) / 2 / {_N} - 0.5 END")} AS percent, {r6(f"CASE WHEN x IS NOT NULL THEN CASE WHEN {_N} > 1 THEN ({_L} + {_R} - 1) / ({_N} - 1) - 1 ELSE 0 END END")} AS daily,
     {r6("x - avg(x) OVER (PARTITION BY date)")} AS demeaned, CAST(CASE WHEN x IS NULL THEN -1 ELSE least(2, floor(({_L} + {_R}) / 2 * 3 / {_N})) END AS BIGINT) AS tercile FROM p""")),
@@ -409,7 +409,7 @@ QUERIES = {
     "w16_deciles": (w16_deciles, query(PANEL + """, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY signal, permno) AS r, count(*) OVER (PARTITION BY date) AS n FROM panel),
 edges AS (SELECT date, list_distinct(quantile_cont(signal, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM panel GROUP BY date)""", "SELECT date, permno, CAST(CASE WHEN n > 1 THEN greatest(1, ceil(round((r - 1) * 10 / (n - 1), 9))) ELSE 1 END AS BIGINT) AS of_ranks, CAST(ceil(round(10 * r / n, 9)) AS BIGINT) AS ceiling, CAST(CASE WHEN len(e) > 1 THEN len(list_filter(list_sort(e)[2:len(e) - 1], lambda x: x < signal)) + 1 END AS BIGINT) AS of_values FROM r JOIN edges USING (date)")),
     "w17_rolling_months": (w17_rolling_months, query(PANEL, f"SELECT permno, date, {r6('CASE WHEN count(y) OVER w >= 6 THEN avg(y) OVER w END')} AS mean_12m FROM panel WINDOW w AS (PARTITION BY permno ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")),
-    "w18_shifted": (w18_shifted, query(_SD + ", few AS (SELECT * FROM stock_days WHERE permno < 5 AND day(date) % 3 > 0)", "SELECT p.permno, s.date, lag(prc) OVER (PARTITION BY p.permno ORDER BY s.date) AS prc FROM (SELECT DISTINCT permno FROM few) p CROSS JOIN sess s LEFT JOIN few f ON f.permno = p.permno AND f.date = s.date")),
+    "w18_shifted": (w18_shifted, query(_SD + ", few AS (SELECT * FROM stock_days WHERE prc > 37000)", "SELECT p.permno, s.date, lag(prc) OVER (PARTITION BY p.permno ORDER BY s.date) AS prc FROM (SELECT DISTINCT permno FROM few) p CROSS JOIN sess s LEFT JOIN few f ON f.permno = p.permno AND f.date = s.date")),
     "w19_cumulative": (w19_cumulative, query(PANEL + ", m AS (SELECT date, avg(y) AS r FROM panel GROUP BY date)", f"SELECT date, {r6('sum(ln(1 + r)) OVER (ORDER BY date)')} AS cum_log, {r6('exp(sum(ln(1 + r)) OVER (ORDER BY date)) - 1')} AS cum_ret FROM m")),
     "a20_abnormal_returns": (a20_abnormal_returns, query(MARKET + ", d AS (SELECT permno, date, lead(ret, 1) OVER w AS a, lead(ret, 2) OVER w AS b, lead(ret, 3) OVER w AS c FROM market WINDOW w AS (PARTITION BY permno ORDER BY date))", f"SELECT permno, date, {r6('a + b + c')} AS strict, {r6('coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)')} AS lenient FROM d")),
     "a20_forward_returns": (a20_forward_returns, query(MARKET, "SELECT permno, date, " + ", ".join(f"{r6(f'CASE WHEN count(ret) OVER (w ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN exp(sum(ln(1 + ret)) OVER (w ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)) - 1 END')} AS f_cumret{h}" for h in (1, 5)) + " FROM market WINDOW w AS (PARTITION BY permno ORDER BY date)")),
@@ -420,7 +420,7 @@ edges AS (SELECT date, list_distinct(quantile_cont(signal, [0.0, 0.1, 0.2, 0.3,
     "a25_dedupe": (a25_dedupe, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"),
     "a27_equal_date_weights": (a27_equal_date_weights, query(PANEL, f"SELECT date, permno, {r6('1000 * 1.0 / ((SELECT count(DISTINCT date) FROM panel) * count(*) OVER (PARTITION BY date))')} AS weight FROM panel")),
     "a29_top_share": (a29_top_share, query(ROUTED + ", u AS (SELECT symbol, user_id, count(*) AS n FROM rows_ GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC) AS r, count(*) OVER (PARTITION BY symbol) AS m FROM u)", f"SELECT symbol, {r6('sum(n) FILTER (r <= ceil(m * 0.1)) / sum(n)')} AS top_share FROM r GROUP BY symbol")),
-    "a30_union": (a30_union, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0"),
+    "a30_union": (a30_union, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 300000"),
     "o1_sort": (o1_sort, "SELECT s_suppkey, s_acctbal FROM supplier"),
     "o2_top_k": (o2_top_k, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "o3_head_by": (o3_head_by, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"),

@@ -16,7 +16,7 @@ def s2_csv_scan(spark, sf_dir):
     """Some columns of CSV files; lines that do not fit the schema are skipped."""
     path = scratch_path(spark, "csv")
     read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").write.option("header", True).csv(path)
-    read(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal").write.mode("append").option("header", True).csv(path)
+    read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal").write.mode("append").option("header", True).csv(path)
     return tables.read_csv(spark, path, "c_custkey long, c_name string, c_nationkey long, c_acctbal double", ["c_custkey", "c_acctbal"]).where("c_custkey is not null")
 
 
@@ -72,7 +72,7 @@ def registry_sizes(spark, sf_dir):
 def p5_cleaned_messages(spark, sf_dir):
     """Duplicates by message id go, the earliest stays."""
     msgs = stand_in.messages(spark, sf_dir)
-    return m.deduplicated(msgs.unionByName(msgs.where("message_id % 3 = 0"))).select("message_id", "user_id")
+    return m.deduplicated(msgs.unionByName(msgs.where("sentiment = 'Bearish'"))).select("message_id", "user_id")
 
 
 QUERIES = {

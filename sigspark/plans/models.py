@@ -299,16 +299,31 @@ def predict(features: str, beta: np.ndarray, intercept: float) -> Column:
     return F.aggregate(F.zip_with(F.col(features), weights, lambda x, w: x * w), F.lit(float(intercept)), lambda s, x: s + x)
 
 
-def score_candidates(rows: DataFrame, found: Sequence[Candidate], target: str, features: str = "features", chunk: int = 16) -> list[float | None]:
-    """Mean daily rank correlation of each candidate on validation rows, ``chunk`` of them per pass."""
+def _daily_scores(rows: DataFrame, found: Sequence[Candidate], target: str, features: str, chunk: int) -> Iterator[DataFrame]:
+    """k, date, rank_ic of candidates, ``chunk`` of them per pass; the target is ranked once for each pass."""
     from .evaluation import rank_ic, ranked_target
 
     ranked = ranked_target(rows, target)
-    out: dict[int, float | None] = {}
     for i in range(0, len(found), chunk):
         models = F.array(*(F.struct(F.lit(i + j).alias("k"), F.round(predict(features, c.beta, c.intercept), 14).alias("p")) for j, c in enumerate(found[i : i + chunk])))
         long = ranked.select("date", target, "target_rank", F.explode(models).alias("m")).select("date", target, "target_rank", "m.k", "m.p")
-        out |= {r["k"]: r["ic"] for r in rank_ic(long, "p", target, ("k", "date"), target_rank="target_rank").groupBy("k").agg(F.avg("rank_ic").alias("ic")).collect()}
+        yield rank_ic(long, "p", target, ("k", "date"), target_rank="target_rank")
+
+
+def monthly_scores(rows: DataFrame, found: Sequence[Candidate], target: str, features: str = "features", chunk: int = 16) -> dict[str, list[float | None]]:
+    """Mean daily rank correlation of each candidate by calendar month."""
+    out: dict[str, list[float | None]] = {}
+    for daily in _daily_scores(rows, found, target, features, chunk):
+        for r in daily.groupBy("k", F.date_format("date", "yyyy-MM").alias("month")).agg(F.avg("rank_ic").alias("ic")).collect():
+            out.setdefault(r["month"], [None] * len(found))[r["k"]] = r["ic"]
+    return out
+
+
+def score_candidates(rows: DataFrame, found: Sequence[Candidate], target: str, features: str = "features", chunk: int = 16) -> list[float | None]:
+    """Mean daily rank correlation of each candidate on validation rows, ``chunk`` of them per pass."""
+    out: dict[int, float | None] = {}
+    for daily in _daily_scores(rows, found, target, features, chunk):
+        out |= {r["k"]: r["ic"] for r in daily.groupBy("k").agg(F.avg("rank_ic").alias("ic")).collect()}
     return [out.get(k) for k in range(len(found))]
 
 
