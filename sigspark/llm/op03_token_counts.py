@@ -107,7 +107,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("row", T.LongType()), source.schema["id"], T.StructField("n_bytes", T.LongType()), T.StructField("chunk", T.BinaryType()), T.StructField("n", T.LongType())])
     rows = materialize(source.mapInArrow(frequencies, schema), "token-frequencies")
-    tails = rows.where("chunk is not null").join(words.select("chunk", "pieces"), "chunk").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
+    # every chunk was counted in pass 1; were the table to change in between, the query fails rather than drop tokens
+    pieces = F.coalesce("pieces", F.raise_error(F.lit("token_counts: a pre-token of the second pass was not in the first")).cast("long"))
+    tails = rows.where("chunk is not null").join(words.select("chunk", "pieces"), "chunk", "left").groupBy("row").agg(F.sum(F.col("n") * pieces).alias("rest"))
     total = F.col("n") + F.coalesce("rest", F.lit(0))
     summed = rows.where("chunk is null").join(tails, "row", "left")
     return summed.select(F.col("id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -42,6 +42,11 @@ def _apart(text: bytes) -> bytes:
     return np.insert(b[:-1], at, 32).tobytes() if len(at) else text
 
 
+def _kept_whole(text: bytes) -> bool:
+    """Combining marks could compose with a lower-cased letter, and special tokens must stay as they are."""
+    return b"\xcc" in text or b"\xcd" in text or b"<|" in text
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,16 +108,19 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fewer(self, text: bytes) -> bytes:
+        """The text with letters folded and marks apart, where the tokenizer allows it."""
+        text = text.lower() if self.folds else text
+        return _apart(text) if self.parts_marks else text
+
     def chunks(self, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
         """The chunks of all texts and how many each text has."""
         texts = [t or b"" for t in texts]
-        whole = b"\n".join(texts)
-        # combining marks could compose with a lower-cased letter, and special tokens must stay as they are
-        if not (b"\xcc" in whole or b"\xcd" in whole or b"<|" in whole):
-            if self.folds:
-                texts = [t.lower() for t in texts]
-            if self.parts_marks:
-                texts = [_apart(t) for t in texts]
+        # decided text by text, so that a text has the same chunks whatever its neighbours are
+        if _kept_whole(b"\n".join(texts)):
+            texts = [t if _kept_whole(t) else self._fewer(t) for t in texts]
+        else:
+            texts = [self._fewer(t) for t in texts]
         split = [t.split() for t in texts]
         return [c for s in split for c in s], np.fromiter(map(len, split), np.int64, len(split))
 

@@ -87,6 +87,26 @@ def test_token_counts_of_odd_rows(odd):
         token_counts(odd, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_chunks_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [b"Some Words, here.", "e\u0331 Mark, it.".encode(), b"<|endoftext|> A, b.", None, b"Last, One."]
+    alone = [encoder.chunks([t])[0] for t in texts]
+    got, n = encoder.chunks(texts)
+    assert n.tolist() == [len(x) for x in alone] and got == [c for x in alone for c in x]
+
+
+def test_token_counts_when_the_passes_cut_batches_differently(spark):
+    rows = [(i, f"Word{i}, Other{i}. " * 30 + ("e\u0331" if i % 97 == 0 else "")) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")  # the id makes batches of the second pass shorter
+    try:
+        got = {r.doc_id: r.n_tokens for r in token_counts(frame, PATH, head=1).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {d: len(ids(t)) for d, t in rows}
+
+
 def test_token_files_round_trip(spark, docs):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_files(spark, SF).collect()}
     want, at = {}, 0
