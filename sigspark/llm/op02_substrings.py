@@ -1,11 +1,18 @@
 """2. Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is normalised to its words joined by single spaces with A-Z lower-cased. A gear hash over the
-last 16 bytes cuts it into chunks of about 40 bytes, at the next word end; a cut depends on the bytes
-before it only, so an insertion shifts nothing beyond the chunks it touches. Chunks are compared by
-128-bit digest over all documents; the document with the least id keeps it. Runs of chunks that other
-documents hold too are passages; one of at least ``MIN_WORDS`` words is reported as repeated, shorter
-runs (a phrase that many texts share) are left alone.
+A text is normalised to its words joined by single spaces with A-Z lower-cased. Each word end has a gear
+hash over its last 16 bytes, and the least of every ``WINDOW`` word ends is a cut, so an insertion shifts
+nothing beyond the windows it touches. From each chunk on, the fewest chunks of at least ``MIN_WORDS`` words
+are a span; spans are compared by 128-bit digest over all documents, and the document with the least id keeps
+one. Overlapping or touching spans that other documents hold too are a passage; shorter repeats (a phrase that
+many texts share) are left alone.
+
+No passage of over 50 words is missed, whatever its words are. Its hashes agree from the ninth word on, as 16
+bytes hold 8 words at most; of two texts that share it the cuts agree from the least of its first whole window
+(at most word 8 + ``WINDOW``) to the least of its last (``WINDOW`` - 1 words before the end at most): a window
+that reaches out of the passage and has its least in between would have beaten that one. So whole shared chunks
+leave out 20 words at the front and 11 at the end at most, and 20 of 51 are left: a span. Words outside the
+common cuts are not in a passage's count.
 
 Digests are counted by an aggregation with map-side combine; only those of two documents or more go on,
 written to a table, and meet the chunks again in a join whose hot partitions Spark can split. Chunks are
@@ -26,7 +33,7 @@ from pyspark.sql import types as T
 from .common import WHITE, binary, materialize, text_slices
 
 MIN_WORDS = 20
-CUT_BITS = 5
+WINDOW = 12  # words; 51 - 2 * WINDOW - 7 is MIN_WORDS
 LONGEST = 64  # bytes; a chunk without a cut for so long is cut at the next word end
 
 # The gear table comes from a rule: 256 draws of a seeded generator.
@@ -43,6 +50,19 @@ def gear_hashes(buffer: np.ndarray) -> np.ndarray:
     return h
 
 
+def least_of_windows(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Positions of the least hash of every ``window`` neighbours, the last of equal ones."""
+    n = len(hashes)
+    if n < window:
+        return np.zeros(0, np.int64)
+    least, span = hashes.astype(np.int64) << 40 | np.arange(n - 1, -1, -1), 1
+    while span < window:
+        step = min(span, window - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    at = n - 1 - (least & (1 << 40) - 1)
+    return at[np.diff(at, prepend=-1) > 0]
+
+
 def chunks(text: bytes | None) -> tuple[bytes, list[int], np.ndarray]:
     """The normalised text, the chunk ends (bytes, each a word end), and words up to each end."""
     words = (text or b"").lower().split()
@@ -50,8 +70,7 @@ def chunks(text: bytes | None) -> tuple[bytes, list[int], np.ndarray]:
         return b"", [], np.zeros(0, np.int64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    hits = np.flatnonzero(gear_hashes(np.frombuffer(joined, np.uint8)) >> np.uint16(16 - CUT_BITS) == 0)
-    at = np.unique(np.searchsorted(ends, hits))  # the word that holds the hit ends the chunk
+    at = least_of_windows(gear_hashes(np.frombuffer(joined, np.uint8))[ends - 1])
     at = np.append(at[at < len(words) - 1], len(words) - 1)
     gaps = np.diff(ends[at], prepend=0)
     if (gaps > LONGEST).any():
@@ -70,54 +89,66 @@ def chunks(text: bytes | None) -> tuple[bytes, list[int], np.ndarray]:
     return joined, ends[at].tolist(), at + 1
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, chunk (number in its text), high, low (digest) and words for every chunk of every row with an id."""
+def span_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, chunk (number in its text), span (chunks), begin (words before it), words, high and low (digest) of every span of every row with an id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            row, number, digests, n_words = [], [], [], []
+            row, digests, parts = [], [], [np.zeros((4, 0), np.int64)]
             for i, t in enumerate(binary(batch["text"])):
                 joined, ends, upto = chunks(t)
-                digests += [xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-                row += [i] * len(ends)
-                number += range(len(ends))
-                n_words.append(np.diff(upto, prepend=0))
+                begin = np.append(0, upto)[:-1] if len(upto) else upto
+                last = np.searchsorted(upto, begin + min_words)
+                n = int(np.searchsorted(last, len(upto)))  # the others have too few words after them
+                last, first = last[:n], np.arange(n)
+                starts = [0, *ends]
+                digests += [xxhash.xxh3_128_digest(joined[a:b].lstrip()) for a, b in zip(starts[:n], [ends[k] for k in last.tolist()], strict=True)]
+                row += [i] * n
+                parts.append(np.stack((first, last - first + 1, begin[:n], upto[last] - begin[:n])))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            words = np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(words)], names=["doc", "chunk", "high", "low", "words"])
+            numbers = [pa.array(x) for x in np.concatenate(parts, axis=1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), *numbers, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "chunk", "span", "begin", "words", "high", "low"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    schema = T.StructType([source.schema["doc"], *(T.StructField(c, k) for c, k in (("chunk", T.IntegerType()), ("high", T.LongType()), ("low", T.LongType()), ("words", T.IntegerType())))])
-    return source.mapInArrow(run, schema)
+    numbers = [T.StructField(c, T.IntegerType()) for c in ("chunk", "span", "begin", "words")]
+    return source.mapInArrow(run, T.StructType([source.schema["doc"], *numbers, T.StructField("high", T.LongType()), T.StructField("low", T.LongType())]))
+
+
+def _union(parts: list[tuple[int, int]]) -> int:
+    """How many places half-open ranges cover, given in order of their begins."""
+    total, upto = 0, 0
+    for a, b in parts:
+        total, upto = total + max(0, b - max(a, upto)), max(b, upto)
+    return total
 
 
 def _runs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """doc, first_chunk, n_words, n_kept_words, first, last and cut (chunks that an earlier document holds) of every repeated run."""
-    table = chunk_table(docs, id_col, text)
+    """doc, first_chunk, n_words, n_kept_words, first, last and cut (chunks of spans that an earlier document holds) of every repeated run."""
+    table = span_table(docs, id_col, text, min_words)
     counted = table.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     twice = materialize(counted.where("least < most"), "substring-twice")
     shared = table.join(twice, ["high", "low"])
-    found = shared.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "words", "least", "most"))).alias("hits"))
+    found = shared.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "span", "begin", "words", "least", "most"))).alias("hits"))
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, first, n, kept, least, most, cut = [], [], [], [], [], [], []
             for i, (doc, hits) in enumerate(zip(batch["doc"].to_pylist(), batch["hits"].to_pylist(), strict=True)):
-                begin = 0
+                begin, upto = 0, 0
                 for k in range(1, len(hits) + 1):
-                    if k < len(hits) and hits[k]["chunk"] <= hits[k - 1]["chunk"] + 1:
+                    upto = max(upto, hits[k - 1]["chunk"] + hits[k - 1]["span"])
+                    if k < len(hits) and hits[k]["chunk"] <= upto:
                         continue
                     run = hits[begin:k]
-                    words = sum(h["words"] for h in run)
-                    if words >= min_words:
-                        row.append(i)
-                        first.append(run[0]["chunk"])
-                        n.append(words)
-                        kept.append(sum(h["words"] for h in run if h["least"] == doc))
-                        least.append(min(h["least"] for h in run))
-                        most.append(max(h["most"] for h in run))
-                        cut.append(sorted({h["chunk"] for h in run if h["least"] != doc}))
-                    begin = k
+                    earlier = [h for h in run if h["least"] != doc]
+                    row.append(i)
+                    first.append(run[0]["chunk"])
+                    n.append(_union([(h["begin"], h["begin"] + h["words"]) for h in run]))
+                    kept.append(n[-1] - _union([(h["begin"], h["begin"] + h["words"]) for h in earlier]))
+                    least.append(min(h["least"] for h in run))
+                    most.append(max(h["most"] for h in run))
+                    cut.append(sorted({c for h in earlier for c in range(h["chunk"], h["chunk"] + h["span"])}))
+                    begin, upto = k, 0
             kind = batch["doc"].type
             longs = [pa.array(x, pa.int64()) for x in (first, n, kept)]
             yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), *longs, pa.array(least, kind), pa.array(most, kind), pa.array(cut, pa.list_(pa.int32()))], names=["doc", "first_chunk", "n_words", "n_kept_words", "first", "last", "cut"])
@@ -130,9 +161,9 @@ def _runs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that repeat across documents: id, first_chunk, n_words, n_kept_words, first_doc_id and last_doc_id.
 
-    One row for each maximal run of chunks that other documents hold too, with at least ``min_words``
-    words. ``n_kept_words`` are in chunks whose first document this is; the others are safe to cut.
-    ``first_doc_id`` and ``last_doc_id`` are the least and greatest ids that share a chunk of the run.
+    One row for each maximal run of spans (of at least ``min_words`` words) that other documents hold too.
+    ``n_kept_words`` are in no span that an earlier document holds; the others are safe to cut.
+    ``first_doc_id`` and ``last_doc_id`` are the least and greatest ids that share a span of the run.
     Null and empty texts and rows without an id have no chunks; rows with one id are one document, whose
     own repeats do not count; very long texts are processed whole; an empty table gives an empty result;
     other columns are ignored.

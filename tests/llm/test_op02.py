@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 from sigspark.llm import queries
-from sigspark.llm.op02_substrings import LONGEST, chunks, cut_words, gear_hashes, passages, without_repeats, GEAR
+from sigspark.llm.op02_substrings import LONGEST, chunks, cut_words, gear_hashes, least_of_windows, passages, without_repeats, GEAR
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +44,24 @@ def test_planted_passages_survive_insertions(spark):
     assert passages(frame.limit(0)).count() == 0
 
 
+def test_every_passage_of_51_words_is_found_whatever_its_word_length(spark):
+    rng = random.Random(7)
+    docs, want = [], set()
+    for k, longest in enumerate([1, 2, 3, 5, 9, 30] * 150):
+        word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(1, longest)))  # noqa: E731, B023
+        text = lambda n: [word() for _ in range(n)]  # noqa: E731, B023
+        passage = text(51)
+        docs += [(2 * k + i, " ".join(text(rng.randint(0, 40)) + passage + text(rng.randint(0, 40)))) for i in (0, 1)]
+        want |= {2 * k, 2 * k + 1}
+    assert {r.doc_id for r in passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_least_of_windows():
+    hashes = np.random.default_rng(3).integers(0, 40, 300)
+    want = {max(range(i, i + 12), key=lambda j: (-hashes[j], j)) for i in range(289)}
+    assert least_of_windows(hashes, 12).tolist() == sorted(want) and least_of_windows(hashes[:11], 12).tolist() == []
+
+
 def test_repeated_rows_and_own_repeats_are_one_document(spark):
     once = " ".join(f"w{i}" for i in range(80))
     frame = spark.createDataFrame([(1, once + " " + once), (1, once), (2, "short text")], "doc_id long, text string")
