@@ -1,31 +1,30 @@
 """9. Mixing sources to target weights by weighted fair queueing.
 
 Every source is a flow whose weight is its target; its documents, shuffled anew for each repeat, are
-served one after the other. A document's virtual time is the words its source has served up to the
-middle of it, divided by the source's target (the middle of its service rather than the end: the cut
-then rounds each source to the nearest document instead of always down). In the global order of
-virtual time, documents are taken until the total budget is used.
-
-Both running sums, within a source and over all documents, are taken in two steps: sums of buckets of
-about ``BUCKET`` documents, then a window inside each bucket. Buckets come from hashes or virtual times,
-so a source with a third of all rows is as many buckets as it needs, no task sees more than a bucket,
-and no sum depends on how Spark cuts partitions: reruns agree.
+served one after the other. A turn (one repeat of one document) has a virtual finish time: the words its
+source has served up to and with it, divided by the source's target. All turns are range-sorted by that
+time and the order is cut where its words reach the total budget.
+
+Both running sums, within a source and over all turns, are taken in two steps: sums of buckets or of sorted
+parts, then a window inside each. Buckets come from hashes of a document's id, text and number among its
+equals, so that a source, an id or a group of equal rows with a third of all rows is as many buckets as it
+needs; no sum depends on how Spark cuts partitions, so reruns agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
-BUCKET = 5000
+BUCKET = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -50,72 +49,97 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return levels.select("source", "source_size", "n_docs", F.round(target, 6).alias("target"))
 
 
-def _place(repeat: int, seed: str) -> Column:
+KEYS = ("id", "source", "digest")  # rows equal in these are told apart by number
+ORDER = ("time", "id", "digest", "nth", "repeat")
+
+
+def _before(keys: Sequence[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``, from 1 among rows of equal ``KEYS``: a number inside each written part, after those of the parts before it."""
+    parted = rows.withColumns({"key": F.xxhash64(*KEYS), "split": F.shiftright("row", 33)})
+    counts = parted.groupBy("key", "split").agg(F.count("*").alias("n"))
+    offsets = counts.select(F.col("key").alias("o_key"), F.col("split").alias("o_split"), F.coalesce(F.sum("n").over(_before(["key"], "split")), F.lit(0)).alias("offset"))
+    inside = parted.withColumn("nth", F.row_number().over(Window.partitionBy("key", "split").orderBy("row")))
+    joined = inside.join(offsets, (F.col("key") == F.col("o_key")) & (F.col("split") == F.col("o_split")))
+    return joined.withColumn("nth", F.col("nth") + F.col("offset")).drop("key", "split", "o_key", "o_split", "offset")
+
+
+def _place(seed: str) -> Column:
     """A document's place in [0, 1) in the shuffled order of one repeat."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(repeat), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *map(text, ("repeat", "id", "digest", "nth"))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def _served(rows: DataFrame, repeat: int, seed: str) -> DataFrame:
-    """Adds ``served``: words of the source up to and with each document in one repeat's order."""
-    placed = rows.withColumn("place", _place(repeat, seed)).withColumn("bucket", F.floor(F.col("place") * F.ceil(F.col("n_docs") / BUCKET)))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.withColumn("inside", F.sum("size").over(inside))
-    joined = within.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-    return joined.withColumn("served", F.lit(repeat) * F.col("source_size") + F.col("offset") + F.col("inside")).drop("place", "bucket", "o_source", "o_bucket", "offset", "inside")
-
-
-def _cut(times: DataFrame, budget: float, n: int) -> float:
-    """The virtual time of the last document taken; ``times``: time, size."""
-    scale = max(1, n // BUCKET)
-    binned = times.where("time is not null").withColumn("bin", F.floor(F.least(F.col("time"), F.lit(2.0)) * scale))
-    sums = binned.groupBy("bin").agg(F.sum("size").alias("words"))
-    before = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    crossing = before.where(F.col("before") < budget).orderBy(F.desc("bin")).first()
-    if crossing is None:
-        return -1.0
-    running = F.sum("size").over(Window.orderBy("time", "size").rowsBetween(Window.unboundedPreceding, 0))
-    inside = binned.where(F.col("bin") == crossing["bin"]).withColumn("middle", running + crossing["before"] - F.col("size") / 2)
-    last = inside.where(F.col("middle") <= budget).agg(F.max("time")).first()[0]
-    return crossing["bin"] / scale - 1e-12 if last is None else last
-
-
-def schedule(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """For every row of ``docs``: its id, source, size, source_size, target, takes (0 to ``repeats``),
-    taken (words, repeats counted) and virtual_time (of its first repeat; null if its target is zero).
+def finish_times(rows: DataFrame, repeats: int, seed: str, bucket: int = BUCKET) -> DataFrame:
+    """A row for each repeat of each of ``rows``, with its virtual finish ``time``; none for targets of zero."""
+    turns = rows.where("target > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    placed = turns.withColumn("place", _place(seed)).withColumn("bucket", F.floor(F.col("place") * F.ceil(F.col("n_docs") / bucket)))
+    keys = ["source", "repeat", "bucket"]
+    sums = placed.groupBy(*keys).agg(F.sum("size").alias("words"))
+    offsets = sums.select(*(F.col(c).alias(f"o_{c}") for c in keys), F.coalesce(F.sum("words").over(_before(keys[:2], "bucket")), F.lit(0)).alias("offset"))
+    inside = F.sum("size").over(Window.partitionBy(*keys).orderBy("place", "id", "digest", "nth").rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("repeat") == F.col("o_repeat")) & (F.col("bucket") == F.col("o_bucket")))
+    served = F.col("repeat") * F.col("source_size") + F.col("offset") + F.col("inside")
+    return joined.select("row", "id", "digest", "nth", "repeat", "size", (served / F.col("target")).alias("time"))
+
+
+def taken_turns(turns: DataFrame, budget: float) -> DataFrame:
+    """row, repeat, size and turn (place in the mix, from 1) of the turns that stand before the order's words exceed ``budget``."""
+    ordered = turns.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id())
+    ordered = materialize(ordered, "mix-order")
+    sums = ordered.groupBy("part").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    offsets = sums.select(F.col("part").alias("o_part"), *(F.coalesce(F.sum(c).over(_before([], "part")), F.lit(0)).alias(f"o_{c}") for c in ("words", "n")))
+    running = Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ordered.withColumns({"words": F.sum("size").over(running), "turn": F.row_number().over(running)}).join(offsets, F.col("part") == F.col("o_part"))
+    upto = F.col("o_words") + F.col("words")
+    return placed.where(upto <= budget).select("row", "repeat", "size", (F.col("o_n") + F.col("turn")).alias("turn"))
+
+
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, repeats: int, seed: str, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (row, id, source, size, digest) with their source's figures, and the turns that the mix takes."""
+    sizes = materialize(_numbered(rows), "mix-sizes")
+    targets = materialize(source_targets(sizes, weights, share, repeats), "mix-targets")
+    facts = targets.select(F.col("source").alias("t_source"), "source_size", "n_docs", "target")
+    known = sizes.join(facts, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    budget = targets.agg(F.round(F.sum("target"), 3)).first()[0] or 0.0
+    return known, materialize(taken_turns(finish_times(known, repeats, seed, bucket), budget), "mix-turns")
+
+
+def _measured(docs: DataFrame, row: str, id_col: str, text: str, source: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"))
+
+
+def schedule(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix", bucket: int = BUCKET) -> DataFrame:
+    """For every row of ``docs``: its id, source, size, source_size, target, takes (0 to ``repeats``) and taken (words, repeats counted).
 
     Size is the number of words, zero for null or empty texts. Null is a source of its own, the last.
-    Rows with equal or null ids are documents of their own. An empty table gives an empty result;
-    other columns are ignored, whatever their names.
+    Rows with equal or null ids are documents of their own, equal rows are interchangeable; ties in time go by
+    id, text digest and number. Very long texts are measured whole. An empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    targets = materialize(source_targets(sizes, weights, share, repeats), "mix-targets")
-    facts = targets.select(F.col("source").alias("t_source"), "source_size", "n_docs", "target")
-    rows = sizes.join(facts, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    for k in range(repeats):
-        middle = F.when(F.col("target") > 0, (F.col("served") - F.col("size") / 2) / F.col("target"))
-        rows = _served(rows, k, seed).withColumn(f"time{k}", middle).drop("served")
-    rows = materialize(rows, "mix-times")
-    total = targets.agg(F.sum("target"), F.sum("n_docs")).first()
-    times = rows.select(F.explode(F.array(*(F.struct(F.col(f"time{k}").alias("time"), "size") for k in range(repeats)))).alias("t")).select("t.time", "t.size")
-    cut = _cut(times, total[0] or 0.0, (total[1] or 0) * repeats)
-    takes = sum((F.when(F.col(f"time{k}") <= cut, 1).otherwise(0) for k in range(repeats)), F.lit(0)).cast("long")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias("source"), "size", "source_size", "target", takes.alias("takes"), (takes * F.col("size")).alias("taken"), F.col("time0").alias("virtual_time"))
-
-
-def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, sorted by virtual time over all partitions."""
-    plan = schedule(docs, id_col, text, source, **options)
-    keys = ("id", "source", "size")
-    per_key = plan.groupBy(F.col(id_col).alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.count("*").alias("m_rows"), F.sum("takes").alias("m_takes"), F.min("virtual_time").alias("m_time"))
-    own = F.struct(*docs.columns).alias("row")
-    sized = docs.select(own, F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    joined = sized.join(per_key, F.col("id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")))
-    # equal rows share their takes; which of them comes first does not matter, they are the same
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
-    takes = F.floor(F.col("m_takes") / F.col("m_rows")) + F.when(nth <= F.col("m_takes") % F.col("m_rows"), 1).otherwise(0)
-    taken = joined.withColumn("takes", takes.cast("int")).where("takes > 0").orderBy("m_time", "id")
-    # copies are made after the sort, which so moves each text once
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("takes")))).select("row.*")
+    row = free_name(docs, "row")
+    rows = materialize(_measured(docs.withColumn(row, F.monotonically_increasing_id()), row, id_col, text, source), "mix-rows")
+    known, turns = _plan(rows, weights, share, repeats, seed, bucket)
+    takes = turns.groupBy(F.col("row").alias("t_row")).agg(F.count("*").alias("takes"))
+    n = F.coalesce("takes", F.lit(0))
+    return known.join(takes, F.col("row") == F.col("t_row"), "left").select(F.col("id").alias(id_col), F.col("source").alias("source"), "size", "source_size", "target", n.alias("takes"), (n * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "mix", bucket: int = BUCKET) -> DataFrame:
+    """``docs`` in the order of the mix: one row for each turn that ``schedule`` takes, at its own virtual finish time, sorted over all partitions.
+
+    Columns are those of ``docs``, whatever their names; null, empty, repeated and very long texts are treated as
+    in ``schedule``; an empty table gives an empty result. Rows are numbered in a written copy of ``docs``, as a
+    second scan of the same files may be cut otherwise (after executors are lost, say); so rows with equal
+    ids need no key, and a text moves once to its turns and once to their places.
+    """
+    row = free_name(docs, "row")
+    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs", compression="zstd")
+    _, turns = _plan(_measured(kept, row, id_col, text, source), weights, share, repeats, seed, bucket)
+    to, at = free_name(docs, "turn_row"), free_name(docs, "turn")
+    return kept.join(turns.select(F.col("row").alias(to), F.col("turn").alias(at)), F.col(row) == F.col(to)).orderBy(at).select(*docs.columns)

@@ -55,21 +55,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank
 
 
 def _mixing() -> str:
-    place = lambda e: f"('0x' || substr(md5('mix:{e}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / {float(16**13)!r}"
-    served = lambda e: f"{e} * source_size + sum(size) OVER (PARTITION BY source ORDER BY p{e}, doc_id, size ROWS UNBOUNDED PRECEDING)"
-    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+    order = "doc_id NULLS FIRST, digest, nth"
+    place = f"('0x' || substr(md5('mix:' || repeat || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest || ':' || nth), 1, 13))::BIGINT / {float(16**13)!r}"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(text, '')) AS digest,
+    row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) AS nth FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
 o AS (SELECT *, source_size * 2.0::DOUBLE AS cap, row_number() OVER (ORDER BY source_size * 2.0 / weight, source NULLS LAST) AS n FROM w),
 lv AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 t AS (SELECT source, source_size, round(CASE WHEN cap <= level * weight THEN cap ELSE weight * (SELECT arg_min(level, n) FROM lv WHERE NOT cap <= level * weight) END, 6) AS target FROM lv),
-p AS (SELECT r, doc_id, d.source, size, source_size, target, {place(0)} AS p0, {place(1)} AS p1 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-v AS (SELECT *, {served(0)} AS v0, {served(1)} AS v1 FROM p),
-e AS (SELECT r, 0 AS e, size, (v0 - size / 2) / target AS time FROM v WHERE target > 0 UNION ALL SELECT r, 1, size, (v1 - size / 2) / target FROM v WHERE target > 0),
-c AS (SELECT *, sum(size) OVER (ORDER BY time, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM e),
-k AS (SELECT max(time) AS cut FROM c WHERE middle <= (SELECT sum(target) FROM t)),
-n AS (SELECT r, count(*) AS takes FROM e, k WHERE time <= cut GROUP BY r)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(takes, 0) * size AS BIGINT) AS taken FROM p LEFT JOIN n USING (r)"""
+e AS (SELECT d.*, source_size, target, unnest([0, 1]) AS repeat FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE target > 0),
+p AS (SELECT *, {place} AS place FROM e),
+v AS (SELECT *, (repeat * source_size + sum(size) OVER (PARTITION BY source, repeat ORDER BY place, {order} ROWS UNBOUNDED PRECEDING))::DOUBLE / target AS time FROM p),
+c AS (SELECT r, sum(size) OVER (ORDER BY time, {order}, repeat ROWS UNBOUNDED PRECEDING) AS upto FROM v),
+n AS (SELECT r, count(*) AS takes FROM c WHERE upto <= (SELECT round(sum(target), 3) FROM t) GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(takes, 0) * size AS BIGINT) AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n USING (r)"""
 
 
 ORACLE_SQL = {"op1_quality_rules": _quality(), "op4_line_dedup": LINES, "op7_top_k": TOP_K, "op9_mixing": _mixing()}
