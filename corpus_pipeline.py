@@ -24,9 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their repeated lines; n_chars follows the text."""
+    """All documents, without their repeated lines; n_chars, where there is one, follows the text."""
     lines = dedup_lines(docs, counts=None)
-    return lines.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        lines = lines.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return lines.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
