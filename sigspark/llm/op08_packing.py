@@ -1,17 +1,18 @@
 """8. Best-fit packing with swap-based local search.
 
-Documents become pieces of at most ``SIZE`` tokens; a full piece is a sequence. The others are dealt by
-hash into groups of about ``GROUP`` pieces, each packed by one task: best-fit decreasing gives the first
-bins, then local search moves one document, exchanges one for one or two for one between underfull bins,
-each time raising the sum of squared fills, so that fuller bins fill up and emptier ones run dry. A
-group ends with a bin or so that is not full, one in several thousand sequences.
+Documents become pieces of at most ``SIZE`` tokens; a full piece is a sequence by itself. The others are dealt by
+a hash of their place in the written table into groups of about ``GROUP`` pieces, each packed by one task. A
+group is first filled bin after bin (next fit); then local search between underfull bins moves one document, or
+exchanges one for one or two for one, each time raising the sum of squared fills, so that fuller bins fill
+up and emptier ones run dry. It ends when no exchange helps or no fewer bins are possible. A group ends with a
+bin or so that is not full, one in several thousand sequences.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from .tokens import encoder
 
 SIZE = 4096
 GROUP = 50_000
-ROUNDS = 12
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int | None = 1) -> DataFrame:
@@ -53,32 +53,21 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
     return source.mapInArrow(cut, schema)
 
 
-def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of item numbers; a bit set finds the fullest bin with room."""
+def next_fit(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins of item numbers, filled one after the other in the items' order."""
     bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(size + 1)]
-    rooms = 0
-    for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        fits = rooms >> lengths[item]
-        if fits:
-            room = lengths[item] + (fits & -fits).bit_length() - 1
-            b = by_room[room].pop()
-            if not by_room[room]:
-                rooms ^= 1 << room
-        else:
-            room, b = size, len(bins)
+    room = 0
+    for item, length in enumerate(lengths):
+        if length > room or not bins:
             bins.append([])
-        bins[b].append(item)
-        room -= lengths[item]
-        if room:
-            if not by_room[room]:
-                rooms |= 1 << room
-            by_room[room].append(b)
+            room = size
+        bins[-1].append(item)
+        room -= length
     return bins
 
 
-class _Donors:
-    """Items of underfull bins by length, to find the longest that fits a gap."""
+class _Givers:
+    """Items of bins that may still give, by length; ``mask`` has a bit for each length there is."""
 
     def __init__(self) -> None:
         self.items: dict[int, set[int]] = {}
@@ -93,100 +82,124 @@ class _Donors:
         if not self.items[length]:
             self.mask &= ~(1 << length)
 
-    def longest(self, most: int, over: int) -> int:
-        """Greatest length in (over, most], or 0."""
-        found = (self.mask & ((1 << (most + 1)) - 1)).bit_length() - 1
-        return found if found > over else 0
 
+def _sums(lengths: list[int]) -> tuple[int, int]:
+    """Bit masks of the items' lengths and of the sums of two items."""
+    singles = pairs = 0
+    for n in lengths:
+        pairs |= singles << n  # the items before this one
+        singles |= 1 << n
+    return singles, pairs
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: int = ROUNDS) -> list[list[int]]:
+
+def _best_exchange(own: list[int], lengths: list[int], givers: int, room: int, size: int) -> tuple[int, int, list[int]] | None:
+    """Most tokens that an exchange adds (at most ``room``), the length that comes, and the items of ``own`` that go back.
+
+    An item of length b comes for items of together a = b - gain; masks of all a and of all b, shifted
+    against each other by the gain, meet in the possible exchanges, whatever the number of items is.
+    """
+    singles, pairs = _sums([lengths[i] for i in own])
+    backs = (1, singles, pairs)  # nothing, one item, two items
+    any_back = 1 | singles | pairs
+    limit = (1 << (size + 1)) - 1
+    for gain in range(room, 0, -1):
+        if not givers & (any_back << gain) & limit:
+            continue
+        # the longest that can come: short items stay with the givers, where they fit last gaps
+        come, k = max((((givers & (back << gain) & limit).bit_length() - 1), -k) for k, back in enumerate(backs))
+        worth = come - gain
+        if k == 0:
+            return gain, come, []
+        if k == -1:
+            return gain, come, [next(i for i in own if lengths[i] == worth)]
+        seen: dict[int, int] = {}
+        for i in own:
+            if worth - lengths[i] in seen:
+                return gain, come, [seen[worth - lengths[i]], i]
+            seen.setdefault(lengths[i], i)
+    return None
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int, emptied: Counter[str] | None = None) -> list[list[int]]:
     """Raise the sum of squared fills by moves and exchanges between underfull bins until none helps.
 
-    Passing d tokens from a bin of fill f to one of fill g changes the sum by 2d(g + d - f), so it
-    helps whenever the receiver ends up fuller than the giver was. Receivers are taken fullest first and
-    get the exchange that fills them best; givers are bins with more room.
+    Receivers are taken fullest first and get the exchange that fills them best, from bins with more room:
+    passing d tokens from a bin of fill f to one of fill g >= f changes the sum by 2d(g + d - f) > 0. The sum
+    is bounded, so the search ends. ``emptied`` counts exchanges of each kind, and the bins run dry under "bins".
     """
+    emptied = Counter() if emptied is None else emptied
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // size)
-    for _ in range(rounds):
-        if sum(f > 0 for f in fill) <= least:
-            break
+    used = sum(f > 0 for f in fill)
+    gained = True
+    while gained and used > least:
         open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: -fill[b])
-        home, donors, gained = {}, _Donors(), False
+        home, givers, gained = {}, _Givers(), False
         for b in open_:
             for i in bins[b]:
                 home[i] = b
-                donors.add(lengths[i], i)
-
-        def pass_over(giver: int, receiver: int, given: list[int], back: list[int]) -> None:
-            for items, a, b in ((given, giver, receiver), (back, receiver, giver)):
-                for i in items:
-                    bins[a].remove(i)
-                    bins[b].append(i)
-                    fill[a] -= lengths[i]
-                    fill[b] += lengths[i]
-                    home[i] = b
-                    if b == receiver:  # already served: no longer a giver
-                        donors.remove(lengths[i], i)
-                    else:
-                        donors.add(lengths[i], i)
-
+                givers.add(lengths[i], i)
         for b in open_:
-            if not 0 < fill[b] < size:
+            if not fill[b]:
                 continue
-            for i in bins[b]:
-                donors.remove(lengths[i], i)
+            for i in bins[b]:  # a receiver gives no more in this round
+                givers.remove(lengths[i], i)
             while fill[b] < size:
-                room, best = size - fill[b], None
-                options = [(), *((i,) for i in bins[b]), *(combinations(bins[b], 2) if len(bins[b]) <= 12 else ())]
-                for back in options:  # nothing, one or two items go back for one that comes
-                    worth = sum(lengths[i] for i in back)
-                    length = donors.longest(min(size, worth + room), worth)
-                    if length and (best is None or length - worth > best[0]):
-                        best = (length - worth, next(iter(donors.items[length])), list(back))
-                        if best[0] == room:
-                            break
-                if best is None or best[0] < room and fill[b] + best[0] <= fill[home[best[1]]]:
+                best = _best_exchange(bins[b], lengths, givers.mask, size - fill[b], size)
+                if best is None:
                     break
-                pass_over(home[best[1]], b, [best[1]], best[2])
+                gain, come, back = best
+                item = min(givers.items[come], key=lambda i: fill[home[i]]) if len(givers.items[come]) < 8 else next(iter(givers.items[come]))
+                giver = home[item]
+                givers.remove(come, item)
+                bins[giver].remove(item)
+                bins[b].append(item)
+                for i in back:
+                    bins[b].remove(i)
+                    bins[giver].append(i)
+                    home[i] = giver
+                    givers.add(lengths[i], i)
+                fill[b] += gain
+                fill[giver] -= gain
                 gained = True
-        if not gained:
-            break
+                emptied[("move", "one for one", "two for one")[len(back)]] += 1
+                if not fill[giver]:
+                    used -= 1
+                    emptied["bins"] += 1
     return [b for b in bins if b]
 
 
 def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
-    return local_search(best_fit_decreasing(lengths, size), lengths, size)
+    return local_search(next_fit(lengths, size), lengths, size)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int | None = 1, group: int = GROUP) -> DataFrame:
     """For every piece of every row of ``docs``: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty and still have their end id. Rows with equal or null ids are packed one by one.
-    Very long texts are encoded whole, then cut. An empty table gives an empty result; other columns
-    are ignored.
+    Very long texts are encoded whole, then cut; full pieces have sequence ids below zero and join no group, so a
+    long text fills none. An empty table gives an empty result; other columns are ignored.
     """
-    cut = materialize(pieces(docs, path, id_col, text, size, end_id), "pack-pieces")
-    groups = max(1, -(-cut.where(F.col("length") < size).count() // group))
-    # dealt by a hash of the whole row: equal rows are rare, and pieces of one document part
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    own = cut.columns
+    cut = pieces(docs, path, id_col, text, size, end_id).withColumn("row", F.monotonically_increasing_id())
+    cut = materialize(cut, "pack-pieces")
+    own = [c for c in cut.columns if c != "row"]
     names = [*own, "sequence_id", "offset"]
-    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    full = cut.where(F.col("length") == size).select(*own, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    part = cut.where(F.col("length") < size)
+    groups = max(1, -(-part.count() // group))
+    dealt = part.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
 
     def pack_group(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by("row")
         lengths = rows["length"].to_pylist()
-        part = [i for i, n in enumerate(lengths) if n < size]
-        bins = [[part[i] for i in b] for b in pack_lengths([lengths[i] for i in part], size)]
-        bins += [[i] for i, n in enumerate(lengths) if n == size]
         first = rows["group"][0].as_py() << 32
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for k, b in enumerate(bins):
+        for k, b in enumerate(pack_lengths(lengths, size)):
             at = 0
             for i in b:
                 sequence[i], offset[i] = first + k, at
                 at += lengths[i]
         return pa.table([*(rows[c] for c in own), pa.array(sequence), pa.array(offset)], names=names)
 
-    return dealt.groupBy("group").applyInArrow(pack_group, schema).withColumnRenamed("id", id_col)
+    packed = dealt.groupBy("group").applyInArrow(pack_group, full.schema)
+    return full.unionByName(packed).withColumnRenamed("id", id_col)

@@ -14,7 +14,7 @@ from sigspark.llm import queries
 from sigspark.llm.common import work_dir
 from sigspark.llm.op03_token_counts import token_counts
 from sigspark.llm.op05_token_files import Shard, read_dataset, read_dictionary, write_dataset
-from sigspark.llm.op08_packing import best_fit_decreasing, local_search, pack
+from sigspark.llm.op08_packing import local_search, next_fit, pack, pieces
 from sigspark.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.01"
@@ -164,15 +164,30 @@ def test_packing_of_odd_rows(odd):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=120))
 def test_local_search_keeps_items_and_never_adds_bins(lengths):
-    bins = best_fit_decreasing(lengths, 100)
+    bins = next_fit(lengths, 100)
     n, squares = len(bins), sum(sum(lengths[i] for i in b) ** 2 for b in bins)
-    after = local_search([list(b) for b in bins], lengths, 100)
+    kinds = Counter()
+    after = local_search([list(b) for b in bins], lengths, 100, kinds)
+    assert n - len(after) == kinds["bins"]
     assert sorted(i for b in after for i in b) == list(range(len(lengths)))
     assert max(sum(lengths[i] for i in b) for b in after) <= 100 and len(after) <= n
     assert sum(sum(lengths[i] for i in b) ** 2 for b in after) >= squares
 
 
 def test_local_search_empties_bins():
-    lengths = [1300 + (i * 37) % 200 for i in range(900)]
-    bins = best_fit_decreasing(lengths, 4096)
-    assert len(local_search([list(b) for b in bins], lengths, 4096)) < len(bins)
+    for lengths in ([1300 + (i * 37) % 200 for i in range(900)], [20 + (i * 7919) % 2500 for i in range(3000)], [1 + (i * 31) % 90 for i in range(20_000)]):
+        bins, kinds = next_fit(lengths, 4096), Counter()
+        after = local_search([list(b) for b in bins], lengths, 4096, kinds)
+        assert len(after) == len(bins) - kinds["bins"] < len(bins)
+        if min(lengths) < 1000:
+            assert len(after) == -(-sum(lengths) // 4096)
+
+
+def test_packing_reaches_the_lower_bound_through_the_search(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r.length for r in pieces(frame, PATH).collect() if r.length < 4096]
+    kinds = Counter()
+    bins = next_fit(lengths, 4096)
+    assert len(local_search([list(b) for b in bins], lengths, 4096, kinds)) == -(-sum(lengths) // 4096) < len(bins)
+    assert kinds["bins"] > 20 and min(kinds[k] for k in ("move", "one for one", "two for one")) > 0
+    print(len(bins), kinds)
