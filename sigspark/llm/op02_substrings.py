@@ -16,7 +16,8 @@ common cuts are not in a passage's count.
 
 Digests are counted by an aggregation with map-side combine; only those of two documents or more go on,
 written to a table, and meet the chunks again in a join whose hot partitions Spark can split. Chunks are
-cut anew for it, which costs less than to write them.
+cut anew for it, which costs less than to write them. Rows are told apart by id and a hash of the text, so that
+texts that share an id keep their own chunks and equal rows are one.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, binary, materialize, text_slices
+from .common import WHITE, binary, free_name, materialize, text_slices
 
 MIN_WORDS = 20
 WINDOW = 12  # words; 51 - 2 * WINDOW - 7 is MIN_WORDS
@@ -90,7 +91,7 @@ def chunks(text: bytes | None) -> tuple[bytes, list[int], np.ndarray]:
 
 
 def span_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, chunk (number in its text), span (chunks), begin (words before it), words, high and low (digest) of every span of every row with an id."""
+    """doc, key (hash of the text), chunk (number in its text), span (chunks), begin (words before it), words, high and low (digest) of every span of every row with an id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -107,55 +108,36 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
                 parts.append(np.stack((first, last - first + 1, begin[:n], upto[last] - begin[:n])))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             numbers = [pa.array(x) for x in np.concatenate(parts, axis=1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), *numbers, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "chunk", "span", "begin", "words", "high", "low"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc"].take(at), batch["key"].take(at), *numbers, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "key", "chunk", "span", "begin", "words", "high", "low"])
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     numbers = [T.StructField(c, T.IntegerType()) for c in ("chunk", "span", "begin", "words")]
-    return source.mapInArrow(run, T.StructType([source.schema["doc"], *numbers, T.StructField("high", T.LongType()), T.StructField("low", T.LongType())]))
+    return source.mapInArrow(run, T.StructType([source.schema["doc"], T.StructField("key", T.LongType()), *numbers, T.StructField("high", T.LongType()), T.StructField("low", T.LongType())]))
 
 
-def _union(parts: list[tuple[int, int]]) -> int:
-    """How many places half-open ranges cover, given in order of their begins."""
-    total, upto = 0, 0
-    for a, b in parts:
-        total, upto = total + max(0, b - max(a, upto)), max(b, upto)
-    return total
-
-
-def _runs(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """doc, first_chunk, n_words, n_kept_words, first, last and cut (chunks of spans that an earlier document holds) of every repeated run."""
+def _shared(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """doc, key, chunk, span, begin, words, least and most (ids that hold it) of every span that documents share, once for equal rows."""
     table = span_table(docs, id_col, text, min_words)
     counted = table.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     twice = materialize(counted.where("least < most"), "substring-twice")
-    shared = table.join(twice, ["high", "low"])
-    found = shared.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "span", "begin", "words", "least", "most"))).alias("hits"))
-
-    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, first, n, kept, least, most, cut = [], [], [], [], [], [], []
-            for i, (doc, hits) in enumerate(zip(batch["doc"].to_pylist(), batch["hits"].to_pylist(), strict=True)):
-                begin, upto = 0, 0
-                for k in range(1, len(hits) + 1):
-                    upto = max(upto, hits[k - 1]["chunk"] + hits[k - 1]["span"])
-                    if k < len(hits) and hits[k]["chunk"] <= upto:
-                        continue
-                    run = hits[begin:k]
-                    earlier = [h for h in run if h["least"] != doc]
-                    row.append(i)
-                    first.append(run[0]["chunk"])
-                    n.append(_union([(h["begin"], h["begin"] + h["words"]) for h in run]))
-                    kept.append(n[-1] - _union([(h["begin"], h["begin"] + h["words"]) for h in earlier]))
-                    least.append(min(h["least"] for h in run))
-                    most.append(max(h["most"] for h in run))
-                    cut.append(sorted({c for h in earlier for c in range(h["chunk"], h["chunk"] + h["span"])}))
-                    begin, upto = k, 0
-            kind = batch["doc"].type
-            longs = [pa.array(x, pa.int64()) for x in (first, n, kept)]
-            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(row, pa.int64())), *longs, pa.array(least, kind), pa.array(most, kind), pa.array(cut, pa.list_(pa.int32()))], names=["doc", "first_chunk", "n_words", "n_kept_words", "first", "last", "cut"])
-
-    kind = docs.schema[id_col].dataType
-    longs = [T.StructField(c, T.LongType()) for c in ("first_chunk", "n_words", "n_kept_words")]
-    return found.mapInArrow(runs, T.StructType([T.StructField("doc", kind), *longs, T.StructField("first", kind), T.StructField("last", kind), T.StructField("cut", T.ArrayType(T.IntegerType()))]))
+    return table.join(twice, ["high", "low"]).drop("high", "low").distinct()
+
+
+def _runs(shared: DataFrame) -> DataFrame:
+    """``shared`` with ``run`` (number of the maximal run of touching spans in its row), new and new_earlier.
+
+    ``new``: words of the span that no span before it covers; ``new_earlier``: the same among the spans that an
+    earlier document holds, zero for the others.
+    """
+    row = Window.partitionBy("doc", "key").orderBy("chunk")
+    before = row.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.col("least") != F.col("doc")
+    end = F.col("begin") + F.col("words")
+    upto, covered, cut = F.max(F.col("chunk") + F.col("span")).over(before), F.max(end).over(before), F.max(F.when(earlier, end)).over(before)
+    fresh = lambda upto: end - F.greatest("begin", F.least(F.coalesce(upto, F.lit(0)), end))
+    opened = shared.withColumns({"opens": F.coalesce((F.col("chunk") > upto).cast("int"), F.lit(0)), "new": fresh(covered), "new_earlier": F.when(earlier, fresh(cut)).otherwise(0)})
+    return opened.withColumn("run", F.sum("opens").over(row.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -165,37 +147,37 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wo
     ``n_kept_words`` are in no span that an earlier document holds; the others are safe to cut.
     ``first_doc_id`` and ``last_doc_id`` are the least and greatest ids that share a span of the run.
     Null and empty texts and rows without an id have no chunks; rows with one id are one document, whose
-    own repeats do not count; very long texts are processed whole; an empty table gives an empty result;
-    other columns are ignored.
+    own repeats do not count, and each of its texts has rows of its own (equal ones once); very long texts are
+    processed whole; an empty table gives an empty result; other columns are ignored.
     """
-    runs = _runs(docs, id_col, text, min_words)
-    return runs.select(F.col("doc").alias(id_col), "first_chunk", "n_words", "n_kept_words", F.col("first").alias("first_doc_id"), F.col("last").alias("last_doc_id"))
+    runs = _runs(_shared(docs, id_col, text, min_words)).groupBy("doc", "key", "run")
+    words = runs.agg(*(f.cast("long").alias(n) for n, f in {"first_chunk": F.min("chunk"), "n_words": F.sum("new"), "n_kept_words": F.sum("new") - F.sum("new_earlier")}.items()), F.min("least").alias("first_doc_id"), F.max("most").alias("last_doc_id"))
+    return words.select(F.col("doc").alias(id_col), "first_chunk", "n_words", "n_kept_words", "first_doc_id", "last_doc_id")
 
 
-def cut_words(text: bytes, cut: set[int]) -> bytes:
-    """The text without the words of some chunks; each goes with the white space after it."""
-    _, _, upto = chunks(text)
+def cut_words(text: bytes, cuts: Iterable[tuple[int, int]]) -> bytes:
+    """The text without some ranges of its words, given in order; each word goes with the white space after it."""
     white = WHITE[np.frombuffer(text, np.uint8)]
     starts = np.append(np.flatnonzero(~white & np.concatenate(([True], white[:-1]))), len(text))
     out, at = [], 0
-    for k, (first, last) in enumerate(zip([0, *upto.tolist()], upto.tolist(), strict=False)):
-        if k in cut:
-            out.append(text[at : starts[first]])
-            at = starts[last]
+    for first, last in cuts:
+        out.append(text[at : max(at, starts[first])])
+        at = max(at, starts[last])
     return b"".join([*out, text[at:]])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated passages cut from all documents but the first that holds them; all columns stay.
+    """``docs`` with repeated passages cut from all documents but the first that holds them; all columns stay, whatever their names.
 
-    Rows without an id and null texts stay as they are.
+    Rows without an id and null texts stay as they are. Of rows with one id each keeps what is its own.
     """
-    cuts = _runs(docs, id_col, text, min_words).groupBy(F.col("doc").alias("__doc")).agg(F.flatten(F.collect_list("cut")).alias("__cut"))
-    names = docs.columns
+    names, doc, key, cut = docs.columns, free_name(docs, "doc"), free_name(docs, "key"), free_name(docs, "cut")
+    ranges = _shared(docs, id_col, text, min_words).where(F.col("least") != F.col("doc")).groupBy(F.col("doc").alias(doc), F.col("key").alias(key))
+    cuts = ranges.agg(F.array_sort(F.collect_list(F.array("begin", F.col("begin") + F.col("words")))).alias(cut))
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
-            new = [cut_words(t, set(c)) if t and c else t for t, c in zip(binary(batch[text]), batch["__cut"].to_pylist(), strict=True)]
+            new = [cut_words(t, c) if t and c else t for t, c in zip(binary(batch[text]), batch[cut].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()).cast(pa.string()) if c == text else batch[c] for c in names], names=names)
 
-    return docs.join(cuts, F.col(id_col) == F.col("__doc"), "left").drop("__doc").mapInArrow(rewrite, docs.schema)
+    return docs.join(cuts, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text) == F.col(key)), "left").mapInArrow(rewrite, docs.schema)

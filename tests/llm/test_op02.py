@@ -1,7 +1,8 @@
 """Substring dedup: every long shared passage is found, texts without one are left alone."""
 
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -99,7 +100,92 @@ def test_cut_texts_keep_the_first_copy(spark):
     assert passages(without_repeats(frame)).count() == 0
 
 
-def test_cutting_all_or_no_chunks():
+def test_cutting_all_or_no_words():
     text = b"  one two\n three " + b"word " * 50
-    n = len(chunks(text)[1])
-    assert cut_words(text, set()) == text and cut_words(text, set(range(n))) == b"  "
+    assert cut_words(text, []) == text and cut_words(text, [(0, 30), (20, 53)]) == b"  " and cut_words(text, [(1, 2), (1, 3)]) == b"  one " + b"word " * 50
+
+
+def plain_chunks(text):
+    """Words up to each cut, by the rule alone: the rolling gear hash word by word, the least of each window, long chunks cut."""
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    joined, h, ends, hashes, at = b" ".join(w), 0, [], [], 0
+    for word in w:
+        at += len(word)
+        ends.append(at)
+        at += 1
+    stops = set(ends)
+    for i, b in enumerate(joined):
+        h = ((h << 1) + int(GEAR[b])) & 0xFFFF
+        if i + 1 in stops:
+            hashes.append(h)
+    cuts = sorted({max(range(i, i + 12), key=lambda j: (-hashes[j], j)) for i in range(len(w) - 11)} - {len(w) - 1} | ({len(w) - 1} if w else set()))
+    out, last = [], 0
+    begin = 0
+    for cut in cuts:
+        for j in range(begin, cut):
+            if ends[j] - last >= LONGEST and ends[cut] - last > LONGEST:
+                out.append(j + 1)
+                last = ends[j]
+        out.append(cut + 1)
+        begin, last = cut + 1, ends[cut]
+    return w, out
+
+
+def brute(rows):
+    """All columns of ``passages`` and the texts' cut words, from dictionaries of whole spans."""
+    spans, holders = {}, defaultdict(set)
+    for d, t in rows:
+        if d is None or t is None:
+            continue
+        w, cuts = plain_chunks(t.encode())
+        own = []
+        for k, b in enumerate([0, *cuts][: len(cuts)]):
+            e = next((j for j in range(k, len(cuts)) if cuts[j] - b >= 20), None)
+            if e is not None:
+                own.append((k, e, b, cuts[e], b" ".join(w[b : cuts[e]])))
+                holders[own[-1][-1]].add(d)
+        spans[d, t] = own
+    out, cut = [], {}
+    for (d, t), own in spans.items():
+        hits = [s for s in own if len(holders[s[-1]]) > 1]
+        cut[d, t] = {i for s in hits if min(holders[s[-1]]) != d for i in range(s[2], s[3])}
+        runs = []
+        for s in hits:
+            if runs and s[0] <= max(x[1] for x in runs[-1]) + 1:
+                runs[-1].append(s)
+            else:
+                runs.append([s])
+        for r in runs:
+            inside, gone = {i for s in r for i in range(s[2], s[3])}, {i for s in r if min(holders[s[-1]]) != d for i in range(s[2], s[3])}
+            ids = [d for s in r for d in holders[s[-1]]]
+            out.append((d, r[0][0], len(inside), len(inside - gone), min(ids), max(ids)))
+    return sorted(out), cut
+
+
+def same(frame, rows):
+    want, cut = brute(rows)
+    got = sorted((r.doc_id, r.first_chunk, r.n_words, r.n_kept_words, r.first_doc_id, r.last_doc_id) for r in passages(frame).collect())
+    assert got == want
+    kept = Counter((r.doc_id, None if r.text is None else tuple(r.text.split())) for r in without_repeats(frame).collect())
+    assert kept == Counter((d, None if t is None else tuple(w for i, w in enumerate(t.split()) if i not in cut.get((d, t), ()))) for d, t in rows)
+    return want
+
+
+def test_documents_against_brute_force(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert len(same(frame, [tuple(r) for r in frame.collect()])) > 5
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"{rng.randint(0, 10**6):x}" for _ in range(n))
+    p, u = text(80), text(120)
+    rows = [(0, p), (1, p + " tail"), (1, u), (1, p), (1, p), (0, None), (2, ""), (None, p), (3, u[:400] + " " + p), (3, "x " * 30_000)]
+    frame = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, doc int, key int, cut int, chunk int")
+    same(frame, rows)
+    assert without_repeats(frame).columns == frame.columns
+    got = [r.text for r in without_repeats(frame).collect()]
+    assert u in got
+    # two ids only: nothing of the second id's other texts is touched
+    two = spark.createDataFrame([(0, p), (1, p + " tail"), (1, u)], "doc_id long, text string")
+    assert {len(r.text.split()) for r in without_repeats(two).collect() if r.text.startswith(u[:20])} == {120}
