@@ -4,13 +4,14 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sigspark.llm import queries
 from sigspark.llm.op01_quality import LINE_LIMIT, NGRAM_LIMITS, accepted, measure, quality
-from sigspark.llm.op04_lines import dedup_lines
+from sigspark.llm.op04_lines import dedup_lines, twice_seen
 from sigspark.llm.op09_mixing import mixture, schedule
 
 SF = "/root/testdata/sf0.01"
@@ -105,6 +106,28 @@ def test_line_dedup_of_odd_rows(odd):
     assert dedup_lines(odd.withColumnRenamed("kept", "n_lines"), counts=None).columns == ["doc_id", "text", "source", "n_lines"]
 
 
+def test_line_dedup_in_many_blocks_with_any_filter(spark, docs, odd):
+    """Small blocks and parts; filters with room, and filters so full that every line is suspected."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
+    for bits in (16, 0.001):
+        rows = dedup_lines(frame, block_bytes=300_000, part_lines=1000, bits_per_line=bits).collect()
+        assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows) == brute_lines(docs)
+    clash = odd.withColumnsRenamed({"source": "block", "kept": "doc"})
+    rows = dedup_lines(clash, block_bytes=100).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows) == brute_lines([r[:3] for r in ODD])
+    assert sorted(str((r.doc_id, r.block, r.doc)) for r in rows) == sorted(str((d, s, k)) for d, _, s, k in ODD)
+
+
+def test_twice_filter_misses_nothing_and_passes_little():
+    rng = np.random.default_rng(0)
+    blocks = [np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)) for _ in range(8)]
+    shared = rng.integers(0, 2**63, 50).astype(np.uint64)
+    blocks = [np.unique(np.concatenate((b, shared[i::8], shared[(i + 1) % 8 :: 8]))) for i, b in enumerate(blocks)]
+    found = twice_seen(blocks, 16 * 16_000)
+    assert all(f[np.isin(b, shared)].all() for b, f in zip(blocks, found, strict=True))
+    assert sum(f.sum() for f in found) < 100 + 0.03 * sum(map(len, blocks))
+
+
 def targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
