@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sigspark.llm import queries
-from sigspark.llm.op06_lm import score
+from sigspark.llm.op06_lm import SHARE, Automaton, Block, longer, packed_answers, packed_keys, prior, score, unpacked_answers, unpacked_keys, word_hashes
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "Ab aB É", 0), (5, "w " * 60_000, 0), (6, "w w", 0), (6, "w w", 0), (None, "null trains", 0), (17, "null trains", 0), (9, "x", 1)]
@@ -22,40 +23,84 @@ def held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
 
 
-def brute(docs, prior=1000.0):
-    train = [tokens(t) for d, t in docs if not held(d)]
-    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:], strict=False))
-    n, v = sum(c.values()), len(c)
-    once, twice = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+def binned(n):
+    return n if n <= 64 else math.ceil(2.0 ** (math.floor(math.log2(n) * 16) / 16))
+
+
+def model(train, order):
+    """Counts of each order, tokens, types, discount and priors, from plain dictionaries."""
+    counts = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
+    n, v = sum(counts[0].values()), len(counts[0])
+    once, twice = (sum(x == y for x in counts[0].values()) for y in (1, 2))
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    p = lambda w: ((c[w] - discount) / n if c[w] else discount * v / n) if n else 1.0
+    hashes = {w: word_hashes([w.encode()]) for (w,) in counts[0]}
+
+    def key(gram):
+        h = hashes[gram[0]]
+        for w in gram[1:]:
+            h = longer(h, hashes[w])
+        return int(h[0])
+
+    with np.errstate(over="ignore"):
+        share = [counts[0], *({g: c for g, c in x.items() if key(g) % SHARE == 0} for x in counts[1:])]
+    priors = []
+    for k in range(1, order):
+        histories = Counter(binned(c) for g, c in share[k - 1].items() if g[-1] != "\n")
+        distinct = (SHARE if k == 1 else 1) * len(share[k])
+        expected = lambda m: sum(h * sum(m / (m + j) for j in range(c)) for c, h in histories.items())  # noqa: E731, B023
+        low, high = math.log(1e-3), math.log(1e9)
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if expected(math.exp(mid)) < distinct * (1 - 1e-6) else (low, mid)
+        priors.append(math.exp((low + high) / 2))
+    return counts, n, v, discount, priors
+
+
+def probability(w, history, counts, n, v, discount, priors):
+    if not history:
+        return ((counts[0][w,] - discount) / n if counts[0][w,] else discount * v / n) if n else 1.0
+    m = priors[len(history) - 1]
+    rest = probability(w, history[1:], counts, n, v, discount, priors)
+    return (counts[len(history)][(*history, w)] + m * rest) / (counts[len(history) - 1][history] + m)
+
+
+def brute(docs, order=3):
+    c, n, v, discount, priors = model([tokens(t) for d, t in docs if not held(d)], order)
     out = []
     for d, text in docs:
         t = tokens(text)
-        s = math.log10(p(t[0])) + sum(math.log10((pairs[u, w] + prior * p(w)) / (c[u] + prior)) for u, w in zip(t, t[1:], strict=False))
-        out.append((str(d), held(d), len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), s))
+        s = sum(math.log10(probability(w, tuple(t[max(0, i - order + 1) : i]), c, n, v, discount, priors)) for i, w in enumerate(t))
+        out.append((str(d), held(d), len(t), sum(c[0][w,] > 0 for w in t), n, sum(math.log10((c[0][w,] + 1) / (n + v + 1)) for w in t), s))
     return sorted(out)
 
 
-def same(frame, docs):
+def same(frame, docs, order=3):
     rows = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in frame.collect())
-    want = brute(docs)
+    want = brute(docs, order)
     assert [r[:5] for r in rows] == [r[:5] for r in want]
     for r, w in zip(rows, want, strict=True):
-        assert r[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-6)
+        assert r[5:] == pytest.approx(w[5:], rel=1e-6, abs=1e-6)
     return rows
 
 
 def test_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = same(queries.op6_lm_scores(spark, SF), docs)
-    assert sum(r[6] for r in rows if r[1]) > sum(r[5] for r in rows if r[1])
-    few = score(spark.read.parquet(f"{SF}/documents.parquet"), block_bytes=150_000)
-    same(few, docs)
+    held_out = lambda rows, k: sum(r[k] for r in rows if r[1])
+    assert held_out(rows, 6) > held_out(rows, 5)
+    bigram = score(spark.read.parquet(f"{SF}/documents.parquet"), order=2).where("held_out").agg({"score": "sum"}).first()[0]
+    assert held_out(rows, 6) > bigram
+    print("held out: base, bigram, trigram", held_out(rows, 5), bigram, held_out(rows, 6))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_other_orders_in_many_blocks(spark, order):
+    tiny = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    same(score(tiny, order=order, block_bytes=50_000), [(r.doc_id, r.text) for r in tiny.collect()], order)
 
 
 def test_odd_rows(spark):
-    odd = spark.createDataFrame(ODD, "doc_id long, text string, score int")
+    odd = spark.createDataFrame(ODD, "doc_id long, text string, block int")
     same(score(odd, block_bytes=1000), [r[:2] for r in ODD])
     assert score(odd.limit(0)).count() == 0
     lone = next(d for d in range(100) if held(d))
@@ -64,12 +109,51 @@ def test_odd_rows(spark):
     assert (row.n_known, row.train_tokens, row.base_score, row.score) == (0, 0, 0.0, 0.0)
 
 
-def test_probabilities_sum_to_one():
-    docs = [(i, t) for i, t in enumerate(["a b a c", "b b a", "c a b d", "d d"])]
-    held_words = ["a", "b", "c", "d", "\n", "unknown"]
-    train = [tokens(t) for d, t in docs if not held(d)]
-    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:], strict=False))
-    n, v, disc = sum(c.values()), len(c), 0.5
-    p = lambda w: (c[w] - disc) / n if c[w] else disc * v / n
-    assert sum(map(p, held_words)) == pytest.approx(1)
-    assert sum((pairs["a", w] + 5 * p(w)) / (c["a"] + 5) for w in held_words) == pytest.approx(1)
+def automaton(texts, order):
+    block = Block([t.encode() for t in texts], np.ones(len(texts), bool), order)
+    counts = block.grams[0].counts
+    return block, Automaton(block, int(counts.sum()), int((counts > 0).sum()), 0.5, [5.0] * (order - 1))
+
+
+def test_arcs_of_every_state_sum_to_one():
+    """Over all words and the unknown one, whatever the state: its own arcs and those behind its failure arcs."""
+    block, a = automaton(["a b a c", "b b a", "c a b d", "d d"], 3)
+    reached = {0} | {t for _, t in a.arcs.values()}
+    unknown = 0.5 * block.n_words / block.grams[0].counts.sum()
+    for state in reached - {1}:  # nothing follows an end
+        total = 0.0
+        for word in [*range(block.n_words), None]:
+            weight, s = 0.0, state
+            while s and (word is None or (s * block.n_words + word) not in a.arcs):
+                weight, s = weight + a.fail[s], a.up[s]
+            total += 10 ** (weight + (math.log10(unknown) if word is None else a.arcs[s * block.n_words + word][0]))
+        assert total == pytest.approx(1), state
+
+
+def test_state_is_carried_and_failures_go_one_word_shorter():
+    block, a = automaton(["a b c", "x b d"], 3)
+    assert max(a.up[s] for s in range(len(a.up))) > 0  # bigram states fail to word states, not to the empty one
+    number = {w: i for i, w in enumerate(["\n", *"abcxd"])}
+    _, ab = a.arcs[a.arcs[number["a"]][1] * block.n_words + number["b"]]
+    assert (ab * block.n_words + number["c"]) in a.arcs and (ab * block.n_words + number["d"]) not in a.arcs
+    assert (a.up[ab] * block.n_words + number["d"]) in a.arcs
+
+
+def test_packing_of_keys_and_counts_loses_nothing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        assert (unpacked_keys(packed_keys(keys), len(keys)) == keys).all()
+        own = rng.integers(0, 3, n)
+        shared = rng.integers(0, 2, n) > 0
+        total = own + shared * rng.integers(0, 5000, n)
+        assert all((x == y).all() for x, y in zip(unpacked_answers(packed_answers(total, shared), own), (total, shared), strict=True))
+
+
+def test_prior_gives_back_the_strength_of_its_process():
+    rng = np.random.default_rng(2)
+    histories, distinct = Counter(), 0
+    for c in rng.integers(1, 60, 3000).tolist():
+        histories[c] += 1
+        distinct += int((rng.random(c) < 7.0 / (7.0 + np.arange(c))).sum())
+    assert prior(histories, distinct) == pytest.approx(7.0, rel=0.1)
