@@ -8,12 +8,16 @@ covering radius plus threshold: those where the distances of its blocks exceed R
 threshold in sum. Of two fingerprints that link, either meets the other at its home. Anchors are compared with
 numpy, and a task reports a spanning forest of the links it found, not the links; the components of
 all forests are the components of all links. Copies share a fingerprint and are one node.
+
+An anchor with more than ``DENSE`` visitors is covered once more, by a second code over other bits that is as long as
+its anchors need: its visitors go to the pairs of first and second anchors, and those at home in both meet all within
+the threshold, for the same reason. Where one code finds fingerprints close together, the other parts them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, materialize, text_slices
+from .common import binary, free_name, materialize, text_slices
 from .components import components
 
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 2
 HOME = 64
+DENSE = 50_000
 _CHUNK = 100_000
 
 
@@ -83,14 +88,18 @@ def fingerprints(rows: DataFrame, text: str = "text", name: str = "fp", shingle:
 
 
 class Anchors:
-    """The covering code for about ``n`` fingerprints and the anchors that each must visit."""
+    """The covering code for about ``n`` fingerprints and the anchors that each must visit.
+
+    ``turned``: blocks take every so many-th bit instead of neighbours.
+    """
 
-    def __init__(self, n: int, threshold: int):
+    def __init__(self, n: int, threshold: int, turned: bool = False):
         self.blocks = min(64, max(2, math.ceil(math.log2(max(1, n / HOME)))))
         length = 64 // self.blocks
         self.length = length - 1 + length % 2
         self.threshold = threshold
-        self.masks = [((1 << self.length) - 1) << (self.length * k) for k in range(self.blocks)]
+        places = [[self.blocks * j + k if turned else self.length * k + j for j in range(self.length)] for k in range(self.blocks)]
+        self.masks = [sum(1 << b for b in block) for block in places]
 
     def visits(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and anchors; the first len(fps) of them are the homes, in order."""
@@ -150,24 +159,37 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def links(distinct: DataFrame, n: int, threshold: int = THRESHOLD) -> DataFrame:
-    """a, b: spanning forests of the links between the ``n`` fingerprints in ``distinct`` (fp)."""
-    code = Anchors(n, threshold)
+def _send(code: Anchors, again: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (anchor, second, fp, home) for every anchor that a fingerprint visits; ``again``: for every second anchor of such rows."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch["fp"].to_numpy().view(np.uint64)
-            for i in range(0, len(fps), 5000):
-                row, anchor = code.visits(part := fps[i : i + 5000])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(np.arange(len(row)) < len(part))], names=["anchor", "fp", "home"])
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                fps = part["fp"].to_numpy().view(np.uint64)
+                row, anchor = code.visits(fps)
+                at_home = np.arange(len(row)) < len(fps)
+                first = part["anchor"].to_numpy()[row] if again else anchor.view(np.int64)
+                second = anchor.view(np.int64) if again else np.zeros(len(row), np.int64)
+                home = at_home & part["home"].to_numpy(zero_copy_only=False)[row] if again else at_home
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(fps[row].view(np.int64)), pa.array(home)], names=["anchor", "second", "fp", "home"])
+
+    return send
+
+
+def links(distinct: DataFrame, n: int, threshold: int = THRESHOLD, dense: int = DENSE) -> DataFrame:
+    """a, b: spanning forests of the links between the ``n`` fingerprints in ``distinct`` (fp)."""
+    code = Anchors(n, threshold)
+    visits = "anchor long, second long, fp long, home boolean"
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for table in whole_groups(batches, "anchor"):
-            anchor = table["anchor"].to_numpy()
+            anchor, second = table["anchor"].to_numpy(), table["second"].to_numpy()
             fps, home = table["fp"].to_numpy().view(np.uint64), table["home"].to_numpy()
-            edges = [*np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1)).tolist(), len(anchor)]
+            begins = np.flatnonzero((anchor[1:] != anchor[:-1]) | (second[1:] != second[:-1])) + 1
+            edges = [0, *begins.tolist(), len(anchor)]
             for begin, end in zip(edges, edges[1:], strict=False):
                 all_ = fps[begin:end]
                 own = all_[home[begin:end]]
@@ -185,8 +207,13 @@ def links(distinct: DataFrame, n: int, threshold: int = THRESHOLD) -> DataFrame:
             a, b = forest(*map(np.concatenate, zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    sent = distinct.select("fp").mapInArrow(send, "anchor long, fp long, home boolean")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    sent = distinct.select("fp").mapInArrow(_send(code, False), visits)
+    crowds = materialize(sent.groupBy(F.col("anchor").alias("crowd")).agg(F.count("*").alias("n")).where(F.col("n") > dense), "simhash-dense")
+    most = crowds.agg(F.max("n")).first()[0]
+    if most is not None:
+        again = sent.join(crowds.select("crowd"), F.col("anchor") == F.col("crowd"), "left_semi").mapInArrow(_send(Anchors(most, threshold, turned=True), True), visits)
+        sent = sent.join(crowds.select("crowd"), F.col("anchor") == F.col("crowd"), "left_anti").unionByName(again)
+    return sent.repartition("anchor", "second").sortWithinPartitions("anchor", "second").mapInArrow(compare, "a long, b long")
 
 
 def classes(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -216,15 +243,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """One row of ``docs`` of each component: one with the smallest id; all columns as they are.
+    """One row of ``docs`` of each component: one with the smallest id; all columns as they are, whatever their names.
 
-    A row is known by its id and a hash of its text, so that of the texts only the winners' join moves any.
+    Null and empty texts are one group; rows without an id go first only where all of a component lack one. Of rows
+    with equal ids that with the least hash of its columns stays, so reruns agree; rows equal in all columns are one. Very long texts are hashed whole; an empty table gives an
+    empty result. A row is known by its id and two hashes of its columns, so that of the texts only the winners'
+    join moves any.
     """
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name")
-    own = docs.select(F.col(id_col).alias("id"), name, F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    id_ = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name")
+    whole = [F.xxhash64(text, *docs.columns), F.xxhash64(*docs.columns, text)]
+    own = docs.select(F.col(id_col).alias("id"), id_, whole[0].alias("hash"), whole[1].alias("hash2"), F.col(text).alias("text"))
     prints = materialize(fingerprints(own, shingle=shingle, seed=seed, carry=False), "simhash-prints")
     known = classes(prints.select("id", "fp"), threshold)
-    first = prints.join(known, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("name", "hash")).alias("k"))
-    kept = materialize(first.select(F.col("k.name").alias("__name"), F.col("k.hash").alias("__hash")).distinct(), "simhash-kept")
-    named = docs.withColumns({"__name": name, "__hash": F.xxhash64(text)})
-    return named.join(kept, ["__name", "__hash"], "left_semi").dropDuplicates(["__name", "__hash"]).select(*docs.columns)
+    first = prints.join(known, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("name", "hash", "hash2")).alias("k"))
+    names = [free_name(docs, n) for n in ("name", "hash", "hash2")]
+    kept = materialize(first.select(*(F.col(f"k.{c}").alias(n) for c, n in zip(("name", "hash", "hash2"), names, strict=True))).distinct(), "simhash-kept")
+    named = docs.withColumns(dict(zip(names, (id_, *whole), strict=True)))
+    return named.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -8,7 +8,7 @@ import xxhash
 
 from sigspark.llm import op10_simhash, queries
 from sigspark.llm.components import components
-from sigspark.llm.op10_simhash import Anchors, forest, links, near_duplicates, simhash
+from sigspark.llm.op10_simhash import Anchors, forest, links, near_duplicates, representatives, simhash
 
 SF = "/root/testdata/sf0.01"
 ODD = [(5, None, 1), (3, "", 1), (9, " \n", 1), (4, "One", 2), (2, "one", 2), (None, "ONE", 2), (None, "lonely null words here", 3), (8, "a b c d " * 40_000, 4), (8, "a b c d " * 40_000, 4), (1, "É two", 5), (6, "é two", 6)]
@@ -107,3 +107,26 @@ def test_components_of_chains_stars_and_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     a, b = forest(np.array([5, 3, 9]), np.array([3, 1, 8]))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(3, 1), (5, 1), (9, 8)]
+
+
+def test_dense_anchors_are_covered_again(spark):
+    """Thousands of fingerprints about one point: anchors of any size find all links."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 4)).astype(np.uint64), axis=1))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    near = np.bitwise_count(fps[:, None] ^ fps) <= 2
+    want = {tuple(sorted(map(int, e))) for e in zip(*forest(*(fps[i].view(np.int64) for i in np.nonzero(near))), strict=True)}
+    for dense in (10**9, 200):
+        rows = links(frame, len(fps), dense=dense).collect()
+        a, b = (np.array([r[k] for r in rows], np.int64) for k in ("a", "b"))
+        assert {tuple(sorted(map(int, e))) for e in zip(*forest(a, b), strict=True)} == want
+
+
+def test_representatives_keep_all_columns_and_choose_alike(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, same, "mine", 1), (1, same, "b", 2), (1, same, "a", 3), (3, None, "x", 4), (4, "", "y", 5), (None, "other words here", "z", 6), (5, "long " * 60_000, "w", 7), (5, "long " * 60_000, "w", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, hash string, name int")
+    got = sorted(map(tuple, representatives(frame).collect()), key=str)
+    assert got == sorted(map(tuple, representatives(frame.repartition(5)).collect()), key=str)
+    assert sorted(str(r[0]) for r in got) == ["1", "3", "5", "None"] and set(got) <= set(rows)
+    assert representatives(frame).columns == frame.columns and representatives(frame.limit(0)).count() == 0
