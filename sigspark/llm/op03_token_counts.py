@@ -5,7 +5,7 @@ tokenizer counts the pieces of each once. Pass 2 turns every document into pre-t
 joins the two. The join is split by frequency: the pre-tokens of the head, at most ``HEAD`` of them by
 a threshold read off a histogram, are sent to all tasks, where frequencies times pieces are summed in
 place; those of the tail go through a shuffle join. Hot pre-tokens never shuffle, and the broadcast has
-a fixed bound at every size.
+a fixed bound at every size. A pre-token of over ``LONG`` bytes goes by a digest; its bytes travel to pass 1 alone.
 """
 
 from __future__ import annotations
@@ -16,28 +16,36 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary, materialize, text_slices
-from .tokens import CHUNK, encoder
+from .tokens import encoder
 
 LIMIT = 2048
 HEAD = 1 << 18
+LONG = 256
+
+
+def key_of(chunk: bytes) -> bytes:
+    """A short pre-token itself; a space, which none has, and a 128-bit digest for a long one."""
+    return chunk if len(chunk) <= LONG else b" " + xxhash.xxh3_128_digest(chunk)
 
 
 def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """chunk, n, pieces: every distinct pre-token of at most CHUNK bytes, its frequency and its number of ids."""
+    """chunk, n, pieces: the key of every distinct pre-token, its frequency and its number of ids."""
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            short = [(c, n) for c, n in counts.items() if len(c) <= CHUNK]
+            keys = [pa.array([key_of(c) for c in counts], pa.binary()), pa.array([c if len(c) > LONG else None for c in counts], pa.binary())]
+            out = pa.RecordBatch.from_arrays([*keys, pa.array(list(counts.values()), pa.int64())], names=["chunk", "long", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in short], pa.binary()), pa.array([n for _, n in short], pa.int64())], names=["chunk", "n"])
+            return out
 
         for batch in text_slices(batches, text):
             counts.update(encoder(path).chunks(binary(batch.column(text)))[0])
@@ -47,9 +55,10 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["n"], pa.array(encoder(path).counts(binary(batch["chunk"])))], names=["chunk", "n", "pieces"])
+            whole = [x or c for c, x in zip(binary(batch["chunk"]), binary(batch["long"]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["n"], pa.array(encoder(path).counts(whole))], names=["chunk", "n", "pieces"])
 
-    counted = docs.select(text).mapInArrow(local, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(local, "chunk binary, long binary, n long").groupBy("chunk").agg(F.max("long").alias("long"), F.sum("n").alias("n"))
     return counted.mapInArrow(pieces, "chunk binary, n long, pieces long")
 
 
@@ -86,14 +95,13 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         for batch in text_slices(batches, "text"):
             texts = binary(batch.column("text"))
             chunks, n_chunks = encoder(path).chunks(texts)
+            if max(map(len, chunks), default=0) > LONG:
+                chunks = [key_of(c) for c in chunks]
             found = np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks))
             doc = np.repeat(np.arange(len(texts)), n_chunks)
             tail: Counter[tuple[int, bytes]] = Counter()
             for i in np.flatnonzero(found < 0).tolist():
-                if len(chunks[i]) > CHUNK:
-                    found[i] = encoder(path).counts([chunks[i]])[0]
-                else:
-                    tail[int(doc[i]), chunks[i]] += 1
+                tail[int(doc[i]), chunks[i]] += 1
             sums = np.bincount(doc, np.maximum(found, 0), len(texts)).astype(np.int64)
             sizes = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
             n, m = len(texts), len(tail)
