@@ -58,7 +58,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             whole = [x or c for c, x in zip(binary(batch["chunk"]), binary(batch["long"]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["chunk"], batch["n"], pa.array(encoder(path).counts(whole))], names=["chunk", "n", "pieces"])
 
-    counted = docs.select(text).mapInArrow(local, "chunk binary, long binary, n long").groupBy("chunk").agg(F.max("long").alias("long"), F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(local, "chunk binary, long binary, n long").groupBy("chunk", "long").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(pieces, "chunk binary, n long, pieces long")
 
 
