@@ -115,28 +115,46 @@ def automaton(texts, order):
     return block, Automaton(block, int(counts.sum()), int((counts > 0).sum()), 0.5, [5.0] * (order - 1))
 
 
+def arcs_of(block, a):
+    """(state, word) -> weight and target, for every trained arc."""
+    first = np.cumsum([1, *(len(g.keys) for g in block.grams)])
+    out = {(0, w): (a.weights[0][w], a.targets[0][w]) for w in range(block.n_words)}
+    for k, g in enumerate(block.grams[1:], 1):
+        out |= {(first[k - 1] + b, w): (a.weights[k][i], a.targets[k][i]) for i, (b, w) in enumerate(zip(g.begin, g.word, strict=True)) if a.weights[k][i] == a.weights[k][i]}
+    return out
+
+
 def test_arcs_of_every_state_sum_to_one():
     """Over all words and the unknown one, whatever the state: its own arcs and those behind its failure arcs."""
     block, a = automaton(["a b a c", "b b a", "c a b d", "d d"], 3)
-    reached = {0} | {t for _, t in a.arcs.values()}
+    arcs = arcs_of(block, a)
     unknown = 0.5 * block.n_words / block.grams[0].counts.sum()
-    for state in reached - {1}:  # nothing follows an end
+    for state in {0} | {t for _, t in arcs.values()} - {1}:  # nothing follows an end
         total = 0.0
         for word in [*range(block.n_words), None]:
             weight, s = 0.0, state
-            while s and (word is None or (s * block.n_words + word) not in a.arcs):
+            while s and (s, word) not in arcs:
                 weight, s = weight + a.fail[s], a.up[s]
-            total += 10 ** (weight + (math.log10(unknown) if word is None else a.arcs[s * block.n_words + word][0]))
+            total += 10 ** (weight + (math.log10(unknown) if word is None else arcs[s, word][0]))
         assert total == pytest.approx(1), state
 
 
 def test_state_is_carried_and_failures_go_one_word_shorter():
     block, a = automaton(["a b c", "x b d"], 3)
-    assert max(a.up[s] for s in range(len(a.up))) > 0  # bigram states fail to word states, not to the empty one
+    arcs = arcs_of(block, a)
+    assert max(a.up) > 0  # bigram states fail to word states, not to the empty one
     number = {w: i for i, w in enumerate(["\n", *"abcxd"])}
-    _, ab = a.arcs[a.arcs[number["a"]][1] * block.n_words + number["b"]]
-    assert (ab * block.n_words + number["c"]) in a.arcs and (ab * block.n_words + number["d"]) not in a.arcs
-    assert (a.up[ab] * block.n_words + number["d"]) in a.arcs
+    ab = arcs[arcs[0, number["a"]][1], number["b"]][1]
+    assert (ab, number["c"]) in arcs and (ab, number["d"]) not in arcs and (a.up[ab], number["d"]) in arcs
+    # "a b d" is read by arc, arc, failure, arc
+    new = Block([b"a b d"], np.zeros(1, bool), 3)
+    for k, g in enumerate(new.grams):
+        known = {int(x): int(c) for x, c in zip(block.grams[k].keys, block.grams[k].counts, strict=True)}
+        g.counts = np.array([known.get(int(x), 0) for x in g.keys])
+    totals = (8, 6, 0.5, [5.0, 5.0])
+    path = arcs[0, number["a"]][0] + arcs[arcs[0, number["a"]][1], number["b"]][0] + a.fail[ab] + arcs[a.up[ab], number["d"]][0]
+    d = arcs[a.up[ab], number["d"]][1]
+    assert Automaton(new, *totals).read()[0] == pytest.approx(path + arcs[d, 0][0])
 
 
 def test_packing_of_keys_and_counts_loses_nothing():
