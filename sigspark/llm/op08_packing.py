@@ -92,31 +92,35 @@ def _sums(lengths: list[int]) -> tuple[int, int]:
     return singles, pairs
 
 
-def _best_exchange(own: list[int], lengths: list[int], givers: int, room: int, size: int) -> tuple[int, int, list[int]] | None:
+def _best_exchange(own: list[int], lengths: list[int], givers: int, room: int) -> tuple[int, int, list[int]] | None:
     """Most tokens that an exchange adds (at most ``room``), the length that comes, and the items of ``own`` that go back.
 
-    An item of length b comes for items of together a = b - gain; masks of all a and of all b, shifted
-    against each other by the gain, meet in the possible exchanges, whatever the number of items is.
+    Of equal gains the longest that can come: short items stay with the givers, where they fit last gaps. What
+    may go back is taken by its sum of lengths, of which there are no more than a bin has places.
     """
     singles, pairs = _sums([lengths[i] for i in own])
-    backs = (1, singles, pairs)  # nothing, one item, two items
-    any_back = 1 | singles | pairs
-    limit = (1 << (size + 1)) - 1
-    for gain in range(room, 0, -1):
-        if not givers & (any_back << gain) & limit:
-            continue
-        # the longest that can come: short items stay with the givers, where they fit last gaps
-        come, k = max((((givers & (back << gain) & limit).bit_length() - 1), -k) for k, back in enumerate(backs))
-        worth = come - gain
-        if k == 0:
-            return gain, come, []
-        if k == -1:
-            return gain, come, [next(i for i in own if lengths[i] == worth)]
-        seen: dict[int, int] = {}
-        for i in own:
-            if worth - lengths[i] in seen:
-                return gain, come, [seen[worth - lengths[i]], i]
-            seen.setdefault(lengths[i], i)
+    backs, best = 1 | singles | pairs, (0, 0)
+    while backs:
+        worth = backs.bit_length() - 1
+        backs ^= 1 << worth
+        come = (givers & ((1 << (worth + room + 1)) - 1)).bit_length() - 1
+        if come - worth > best[0]:
+            best = come - worth, come
+            if best[0] == room:
+                break
+    gain, come = best
+    worth = come - gain
+    if not gain:
+        return None
+    if not worth:
+        return gain, come, []
+    if singles >> worth & 1:
+        return gain, come, [next(i for i in own if lengths[i] == worth)]
+    seen: dict[int, int] = {}
+    for i in own:
+        if worth - lengths[i] in seen:
+            return gain, come, [seen[worth - lengths[i]], i]
+        seen.setdefault(lengths[i], i)
     return None
 
 
@@ -145,7 +149,7 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, emptied:
             for i in bins[b]:  # a receiver gives no more in this round
                 givers.remove(lengths[i], i)
             while fill[b] < size:
-                best = _best_exchange(bins[b], lengths, givers.mask, size - fill[b], size)
+                best = _best_exchange(bins[b], lengths, givers.mask, size - fill[b])
                 if best is None:
                     break
                 gain, come, back = best
