@@ -167,7 +167,7 @@ def e23_tables(spark, sf_dir):
     from ..plans.regressions import latex_rows
 
     out = ev.calendar_hac(_ic_on_calendar(spark, sf_dir), "rank_ic", 5).select("model_id", "mean", "se", "p", "n")
-    return spark.createDataFrame([(line,) for line in latex_rows(out.orderBy("model_id").collect(), "model_id", "mean", "se", "p")], "line string")
+    return latex_rows(out, "model_id", "mean", "se", "p")
 
 
 def m1_tasks(spark, sf_dir):
@@ -432,7 +432,7 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "e20_comparison": (e20_comparison, query(_SCORED + f", m AS (SELECT model_id, avg(rank_ic) AS ic, avg((ew.d10 - ew.d1) * 1e4) AS sp, avg((cap.d10 - cap.d1) * 1e4) AS csp FROM {_SCORED_JOIN} GROUP BY model_id)", f"SELECT model_id, {r6('ic')} AS ic, {r6('sp')} AS spread_bp, {r6('csp')} AS cap_spread_bp, {r6('ic - (SELECT ic FROM m WHERE model_id = ' + chr(39) + 'a' + chr(39) + ')')} AS delta_ic, {r6('sp - (SELECT sp FROM m WHERE model_id = ' + chr(39) + 'a' + chr(39) + ')')} AS delta_spread_bp FROM m")),
     "e21_composition": (e21_composition, query(PANEL + ", f AS (SELECT *, CAST(CASE WHEN n_items <= 4 THEN 0 WHEN n_items <= 7 THEN 1 WHEN n_items <= 10 THEN 2 ELSE 3 END AS BIGINT) AS bucket FROM panel)," + _ic("f", "signal", "date, bucket"), f"SELECT year(date) AS year, bucket, {r6('avg(rank_ic)')} AS ic, count(rank_ic) AS n_dates FROM ic GROUP BY ALL")),
     "e22_weighting_check": (e22_weighting_check, query(_SCORED, f"SELECT model_id, year(date) AS year, {r6('avg((ew.d10 - ew.d1) * 1e4)')} AS ew, {r6('avg((cap.d10 - cap.d1) * 1e4)')} AS cap FROM {_SCORED_JOIN} GROUP BY ALL")),
-    "e23_tables": (e23_tables, None),
+    "e23_tables": (e23_tables, query(FORECASTS + "," + _ic() + "," + _CAL + "," + _hac(5), "SELECT unnest([model_id || ' & ' || printf('%.3f', mean) || CASE WHEN abs(mean / se) > 2.5758293035489004 THEN '***' WHEN abs(mean / se) > 1.959963984540054 THEN '**' WHEN abs(mean / se) > 1.6448536269514722 THEN '*' ELSE '' END || ' \\\\', ' & (' || printf('%.3f', se) || ') \\\\']) AS line FROM h")),
     "m1_tasks": (m1_tasks, query("c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)), t AS (SELECT strftime(date, '%Y-%m') AS month, min(i) AS a, max(i) AS z FROM c WHERE date BETWEEN DATE '1998-01-01' AND DATE '1999-01-31' GROUP BY 1)", "SELECT month, CAST(a - 1 - 1 - 125 - 2 - 503 AS INTEGER) AS fit_first, CAST(a - 1 - 1 - 125 - 2 AS INTEGER) AS fit_last, CAST(a - 2 - 125 AS INTEGER) AS valid_first, CAST(a - 2 AS INTEGER) AS valid_last, CAST(a AS INTEGER) AS test_first, CAST(z AS INTEGER) AS test_last, CAST(1 AS INTEGER) AS horizon FROM t")),
     "m2_legacy_windows": (m2_legacy_windows, query("c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), m AS (SELECT unnest(['1995-06', '1996-02', '1998-07']) AS month), r AS (SELECT month, date, row_number() OVER (PARTITION BY month ORDER BY date DESC) AS r, count(*) OVER (PARTITION BY month) AS n FROM m JOIN c ON date <= CAST(month || '-01' AS DATE) - 2)", "SELECT month, CAST(min(date) FILTER (r = 252) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last FROM r WHERE n > 252 GROUP BY month")),
     "a26_moments": (a26_moments, query(_READY, f"SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, {r6('sum(a.w * a.z * b.z) - sum(a.w * a.z) * sum(a.w * b.z)')} AS value FROM z a JOIN z b USING (date, permno) GROUP BY ALL UNION ALL SELECT CAST(i AS BIGINT), CAST(-1 AS BIGINT), {r6('sum(w * z * q) - sum(w * z) * sum(w * q)')} FROM z GROUP BY i")),

@@ -7,6 +7,7 @@ matrix, a few hundred columns square. Predictions go back to the rows as a dot p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -82,7 +83,10 @@ class Moments:
 
 
 def moments(rows: DataFrame, by: Sequence[str] = (), features: str = "features", target: str = "q", weight: str = "weight") -> dict[tuple, Moments]:
-    """Moments of each group. Tasks send one matrix per group they hold; matrices are summed pairwise by Spark."""
+    """Moments of each group. Tasks send one triangle of sums per group they hold; Spark adds these cell by cell, so no task sees many matrices.
+
+    Rows with a missing or non-finite feature, target or weight take no part.
+    """
     keys = [*by]
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,26 +99,35 @@ def moments(rows: DataFrame, by: Sequence[str] = (), features: str = "features",
             w = batch["w"].to_numpy(zero_copy_only=False)
             groups = list(zip(*(batch[k].to_pylist() for k in keys), strict=True)) if keys else [()] * len(x)
             order: dict[tuple, list[int]] = {}
-            for i, g in enumerate(groups):
-                order.setdefault(g, []).append(i)
+            for i in np.flatnonzero(np.isfinite(z).all(axis=1) & np.isfinite(w)).tolist():
+                order.setdefault(groups[i], []).append(i)
             for g, at in order.items():
                 part = np.append((z[at] * w[at, None]).T @ z[at], len(at))
                 held[g] = held[g] + part if g in held else part
-        if held:
-            columns = [pa.array([g[i] for g in held], type_) for i, type_ in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([m.astype("<f8").tobytes() for m in held.values()], pa.binary())], names=[*keys, "m"])
-
-    def total(table: pa.Table) -> pa.Table:
-        whole = sum(np.frombuffer(b, "<f8") for b in table["m"].to_pylist())
-        return pa.table([*(table[k].slice(0, 1) for k in keys), pa.array([whole.tobytes()], pa.binary())], names=[*keys, "m"])
+        for g, m in held.items():
+            side = math.isqrt(len(m) - 1)
+            cells = np.append(np.flatnonzero(np.triu(np.ones((side, side), bool))), side * side)
+            columns = [pa.array([v] * len(cells), type_) for v, type_ in zip(g, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.int64()), pa.array(m[cells])], names=[*keys, "cell", "v"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    source = rows.select(*keys, F.col(features).alias("f"), F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w")).where("y is not null")
+    source = rows.select(*keys, F.col(features).alias("f"), F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w")).where("y is not null and f is not null")
     kinds = [to_arrow_type(source.schema[k].dataType) for k in keys]
     fields = "".join(f"`{k}` {source.schema[k].dataType.simpleString()}, " for k in keys)
-    summed = source.mapInArrow(partial, f"{fields}m binary").groupBy(*keys).applyInArrow(total, f"{fields}m binary")
-    return {tuple(r[k] for k in keys): _centred(np.frombuffer(bytes(r["m"]), "<f8")) for r in summed.collect()}
+    summed = source.mapInArrow(partial, f"{fields}cell long, v double").groupBy(*keys, "cell").agg(F.sum("v").alias("v")).toArrow()
+    cells, sums = summed["cell"].to_numpy(), summed["v"].to_numpy()
+    places: dict[tuple, list[int]] = {}
+    for i, g in enumerate(zip(*(summed[k].to_pylist() for k in keys), strict=True) if keys else [()] * len(cells)):
+        places.setdefault(g, []).append(i)
+    out = {}
+    for g, at in places.items():
+        flat = np.zeros(cells[at].max() + 1)
+        flat[cells[at]] = sums[at]
+        half = flat[:-1].reshape(math.isqrt(len(flat) - 1), -1)
+        half += np.triu(half, 1).T  # a view of flat
+        out[g] = _centred(flat)
+    return out
 
 
 def _centred(flat: np.ndarray) -> Moments:
