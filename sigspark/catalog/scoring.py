@@ -54,8 +54,8 @@ def e4_score(spark, sf_dir):
 
 
 def _ic_on_calendar(spark, sf_dir):
-    """Monthly rank correlations with some months blanked, on the whole calendar."""
-    ic = ev.rank_ic(forecasts(spark, sf_dir), "prediction", "y", ("date", "model_id")).where("month(date) not in (5, 10)")
+    """Monthly rank correlations on the whole calendar."""
+    ic = ev.rank_ic(forecasts(spark, sf_dir), "prediction", "y", ("date", "model_id"))
     return ev.on_calendar(ic, months(spark, sf_dir))
 
 
@@ -365,7 +365,7 @@ def _ic(source: str = "forecasts", x: str = "prediction", by: str = _BY, zero: s
 
 
 _CAL = """
-cal AS (SELECT m.model_id, d.date, i.rank_ic, i.n FROM (SELECT DISTINCT model_id FROM ic WHERE month(date) NOT IN (5, 10)) m CROSS JOIN (SELECT DISTINCT date FROM panel) d LEFT JOIN (SELECT * FROM ic WHERE month(date) NOT IN (5, 10)) i USING (model_id, date))"""
+cal AS (SELECT m.model_id, d.date, i.rank_ic, i.n FROM (SELECT DISTINCT model_id FROM ic) m CROSS JOIN (SELECT DISTINCT date FROM panel) d LEFT JOIN ic i USING (model_id, date))"""
 
 
 def _hac(lags: int, source: str = "cal", value: str = "rank_ic", by: str = "model_id", name: str = "h") -> str:
