@@ -328,15 +328,23 @@ def _parts(spark, sf_dir):
 
 
 def m17_tuned_network(spark, sf_dir):
-    return networks.tuned_forecasts(_parts(spark, sf_dir), networks.layer_menu(2, 16), epochs=4)
+    """One to four layers of halving widths, first layers up to 256."""
+    return networks.tuned_forecasts(_parts(spark, sf_dir), [w for layers in (1, 2, 3, 4) for w in networks.layer_menu(layers)])
 
 
 def m18_network(spark, sf_dir):
-    return networks.ensemble_forecasts(_parts(spark, sf_dir), (16,), seeds=(0, 1), penalties=(0.0,), epochs=6)
+    """Five seeds and three penalties of each of the declared widths."""
+    parts = stored(_parts(spark, sf_dir), "network-parts")
+    out = [networks.ensemble_forecasts(parts, widths).withColumn("network", F.lit(name)) for name, widths in networks.WIDTHS.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def m20_dropout_network(spark, sf_dir):
-    return networks.ensemble_forecasts(_parts(spark, sf_dir), (16, 8, 4), seeds=(0,), penalties=(0.0,), epochs=4, dropout=0.1)
+    """Three layers with dropout; a random tenth of the rows before the test block is its validation set."""
+    parts = _parts(spark, sf_dir)
+    tenth = F.when(F.pmod(F.xxhash64("code", "permno"), F.lit(10)) == 0, "valid").otherwise("fit")
+    dealt = parts.withColumn("block", F.when(F.col("block") == "test", "test").otherwise(tenth))
+    return networks.ensemble_forecasts(dealt, (16, 8, 4), seeds=(0,), penalties=(0.0,), dropout=0.1)
 
 
 def m22_fit_metrics(spark, sf_dir):
