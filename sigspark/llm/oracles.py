@@ -5,6 +5,7 @@ hashes) have no counterpart in it and are tested against brute force.
 from __future__ import annotations
 
 from .op01_quality import LINE_LIMIT, MAX_REPEAT_PERCENT, MIN_WORDS, NGRAM_LIMITS
+from .op12_secrets import LEAST_ACCESS, LEAST_ASSIGN, LEAST_HEX, LEAST_RUN, LIVE_DIGITS, LIVE_DISTINCT, LIVE_LENGTH, LIVE_LETTERS, OWNERS, PLACEHOLDER, REPOSITORIES
 
 WORD = r"[^\x20\x09-\x0D]+"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -72,4 +73,54 @@ n AS (SELECT r, count(*) AS takes FROM c WHERE upto <= (SELECT round(sum(target)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(takes, 0) * size AS BIGINT) AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n USING (r)"""
 
 
-ORACLE_SQL = {"op1_quality_rules": _quality(), "op4_line_dedup": LINES, "op7_top_k": TOP_K, "op9_mixing": _mixing()}
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secrets() -> str:
+    words = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [(assign, 2, LEAST_ASSIGN), ("AKIA[A-Z0-9]+", 0, LEAST_ACCESS), ("[0-9a-f]{16,}", 0, LEAST_HEX), ("[A-Za-z0-9_]{20,}", 0, LEAST_RUN)]
+    found = " UNION ALL ".join(f"SELECT r, doc_id, source, {k} AS kind, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {g}) AS v FROM d" for k, (p, g, _) in enumerate(patterns))
+    least = " ".join(f"WHEN {k} THEN {n}" for k, (_, _, n) in enumerate(patterns))
+    sizes = lambda c, end: f"coalesce(list_sum(list_transform({c}[1:{end}], lambda x: length(x))), 0)"
+    kept_chars = lambda c: f"length(regexp_replace(v, '[^{c}]', '', 'g'))"
+    live = f"length(v) >= {LIVE_LENGTH} AND {kept_chars('A-Za-z')} >= {LIVE_LETTERS} AND {kept_chars('0-9')} >= {LIVE_DIGITS} AND len(list_distinct(string_split(v, ''))) >= {LIVE_DISTINCT} AND NOT regexp_matches(lower(v), '{PLACEHOLDER.pattern.decode()}')"
+    names = "['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (SELECT r, doc_id, source, kind, CAST({sizes('p', 'i')} + {sizes('m', 'i - 1')} AS BIGINT) AS start, length(m[i]) AS size, v[i] AS v FROM each),
+kept AS (SELECT *, start + size AS stop, start + size - length(v) AS v_start FROM placed WHERE length(v) >= CASE kind {least} END),
+wide AS (SELECT v, count(*) AS repositories, count(DISTINCT coalesce('s' || source, '')) AS owners FROM (SELECT DISTINCT v, source, doc_id FROM kept) GROUP BY v),
+judged AS (SELECT r, v_start AS start, stop, owners <= {OWNERS} AND repositories <= {REPOSITORIES} AS narrow, {live} AS live FROM (SELECT DISTINCT r, v_start, stop, v FROM kept) JOIN wide USING (v)),
+spans AS (SELECT r, kind, start, stop FROM kept WHERE kind < 3 UNION ALL SELECT r, 3, start, stop FROM judged WHERE narrow AND live),
+texts AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_live,
+    string_agg({names}, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg({names}, ',' ORDER BY start, kind, stop) AS spans FROM spans GROUP BY r),
+copied AS (SELECT r, count(*) FILTER (NOT narrow) AS n_copied FROM judged GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_copied"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN texts USING (r) LEFT JOIN copied USING (r)"""
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    ctes = [
+        "x AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM x WHERE vec_id IS NOT NULL) ORDER BY h LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        ctes += [
+            f"f{i} AS (SELECT r, vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS far FROM x, c{i})",
+            f"a{i} AS (SELECT * FROM f{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, k) = 1)",
+        ]
+        if i < rounds:
+            ctes += [
+                f"m{i} AS (SELECT k, d, CAST((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS e FROM (SELECT k, unnest(v) AS e, generate_subscripts(v, 1) AS d FROM a{i}) GROUP BY k, d)",
+                f"c{i + 1} AS (SELECT k, coalesce(n, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(e ORDER BY d) AS n FROM m{i} GROUP BY k) USING (k))",
+            ]
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, far AS distance, CAST(sum(far) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} USING (k)"""
+
+
+ORACLE_SQL = {"op1_quality_rules": _quality(), "op4_line_dedup": LINES, "op7_top_k": TOP_K, "op9_mixing": _mixing(), "op12_secret_scan": _secrets(), "op13_centroid_clusters": _clusters()}

@@ -18,6 +18,9 @@ from .op07_topk import top_k
 from .op08_packing import pack
 from .op09_mixing import schedule
 from .op10_simhash import near_duplicates
+from .op11_whitening import whiten
+from .op12_secrets import find_secrets
+from .op13_clusters import cluster
 from .oracles import ORACLE_SQL
 
 
@@ -70,6 +73,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_live", "n_copied", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
