@@ -82,8 +82,9 @@ class Moments:
         return Moments(m.T @ self.gram @ m, m.T @ self.cross, self.x_mean @ m, self.y_mean, self.y_variance, self.n)
 
 
-def moments(rows: DataFrame, by: Sequence[str] = (), features: str = "features", target: str = "q", weight: str = "weight") -> dict[tuple, Moments]:
-    """Moments of each group. Tasks send one triangle of sums per group they hold; Spark adds these cell by cell, so no task sees many matrices.
+def cell_sums(rows: DataFrame, by: Sequence[str] = (), features: str = "features", target: str = "q", weight: str = "weight") -> DataFrame:
+    """by, cell, v: weighted sums of products of (1, features, target) of each group, one triangle of a square by rows, and
+    in the cell past the square the count. Tasks send one triangle per group they hold; Spark adds these cell by cell, so no task sees many matrices.
 
     Rows with a missing or non-finite feature, target or weight take no part.
     """
@@ -115,7 +116,13 @@ def moments(rows: DataFrame, by: Sequence[str] = (), features: str = "features",
     source = rows.select(*keys, F.col(features).alias("f"), F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w")).where("y is not null and f is not null")
     kinds = [to_arrow_type(source.schema[k].dataType) for k in keys]
     fields = "".join(f"`{k}` {source.schema[k].dataType.simpleString()}, " for k in keys)
-    summed = source.mapInArrow(partial, f"{fields}cell long, v double").groupBy(*keys, "cell").agg(F.sum("v").alias("v")).toArrow()
+    return source.mapInArrow(partial, f"{fields}cell long, v double").groupBy(*keys, "cell").agg(F.sum("v").alias("v"))
+
+
+def moments(rows: DataFrame, by: Sequence[str] = (), features: str = "features", target: str = "q", weight: str = "weight") -> dict[tuple, Moments]:
+    """Moments of each group, from ``cell_sums``."""
+    keys = [*by]
+    summed = cell_sums(rows, by, features, target, weight).toArrow()
     cells, sums = summed["cell"].to_numpy(), summed["v"].to_numpy()
     places: dict[tuple, list[int]] = {}
     for i, g in enumerate(zip(*(summed[k].to_pylist() for k in keys), strict=True) if keys else [()] * len(cells)):
@@ -126,11 +133,12 @@ def moments(rows: DataFrame, by: Sequence[str] = (), features: str = "features",
         flat[cells[at]] = sums[at]
         half = flat[:-1].reshape(math.isqrt(len(flat) - 1), -1)
         half += np.triu(half, 1).T  # a view of flat
-        out[g] = _centred(flat)
+        out[g] = centred(flat)
     return out
 
 
-def _centred(flat: np.ndarray) -> Moments:
+def centred(flat: np.ndarray) -> Moments:
+    """Moments from sums of products of (1, features, target) and the count behind them."""
     n, side = int(flat[-1]), int(round(np.sqrt(len(flat) - 1)))
     s = flat[:-1].reshape(side, side)
     mass = s[0, 0]
@@ -434,10 +442,10 @@ def cross_validated(rows: DataFrame, folds: int, ridge: Sequence[float] = (), mi
 
     errors = None
     for held in raw.values():
-        found = fits(_centred(total - held))
+        found = fits(centred(total - held))
         own = np.array([_error(held, c) for c in found])
         errors = own if errors is None else errors + own
-    final = fits(_centred(total))
+    final = fits(centred(total))
     return final[first_best([-float(e) for e in errors], tie=0.0)]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("features", "relational", "scoring", "storage")
+FAMILIES = ("features", "relational", "scoring", "monthly", "storage")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

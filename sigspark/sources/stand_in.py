@@ -51,6 +51,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, permno, signal, y, cap, n_items, other as in ``panel``, with days of ship dates as sessions; the label of a stock with one item is unknown."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.groupBy(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("permno")).agg(
+        F.max("l_discount").alias("signal"), F.when(F.max("l_linenumber") > 1, F.floor(_cents("l_tax") * 100 / F.count("*")) / 10000.0 - 0.04).alias("y"), F.sum("l_quantity").alias("cap"), F.max("l_linenumber").alias("n_items"), F.min("l_partkey").alias("other")
+    )
+
+
 def stock_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """permno, ticker, date, prc, cap on the sessions of the messages; tickers S0 to S9 have two stocks."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
