@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as k
 from ..operators import grid
-from ..plans import splits
+from ..plans import splits, trees
 from ..plans import walk_forward as wf
 from ..sources import stand_in
 from ..sources.scratch import stored
@@ -16,6 +16,7 @@ from .prelude import query, r6
 
 FEATURES = ("x_signal", "x_cap", "x_other", "x_n_items")
 PAIR = ("signal", "n_items")
+TREE_FEATURES = ("x_signal", "x_cap")
 
 
 def _panel(spark, sf_dir) -> DataFrame:
@@ -61,6 +62,25 @@ def m6_ridge_choices(spark, sf_dir):
     return tidy(choices.select(F.col("key").alias("month"), "criterion", "penalty", "sse", "rankcorr"))
 
 
+def _month_ends(days: list[str]) -> list[tuple[str, int, int, int]]:
+    """(month, last session two calendar days before it or earlier, first and last session of it), after a year of sessions."""
+    return [(month, last, first, end) for month, _, last, first, end in wf.legacy_spans(days, _months(days))]
+
+
+def m15_trees(spark, sf_dir):
+    """Four shapes of trees under three windows, fitted anew for every month: depth 5; depth 10 with leaves of 50; 50 leaves; pruned by folds."""
+    panel = _panel(spark, sf_dir)
+    spans = [s for month in _month_ends(splits.calendar_list(panel)) for s in trees.windows(*month)]
+    return trees.tree_forecasts(panel, spans, TREE_FEATURES, "q").drop("leaves").withColumnsRenamed({"key": "month"})
+
+
+def m16_forest(spark, sf_dir):
+    """Forests of 100 trees of depth 10 under three windows, fitted anew for every month."""
+    panel = _panel(spark, sf_dir)
+    spans = [s for month in _month_ends(splits.calendar_list(panel)) for s in trees.windows(*month)]
+    return trees.forest_forecasts(panel, spans, TREE_FEATURES, "q").withColumnsRenamed({"key": "month"})
+
+
 _DAILY = """
 daily0 AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS permno, max(l_discount) AS signal, CASE WHEN max(l_linenumber) > 1 THEN floor(sum(CAST(round(l_tax * 100) AS BIGINT)) * 100 / count(*)) / 10000.0 - 0.04 END AS y,
     sum(l_quantity) AS cap, max(l_linenumber) AS n_items, min(l_partkey) AS other FROM lineitem GROUP BY 1, 2),
@@ -93,5 +113,7 @@ picked AS (SELECT month, 'sse' AS criterion, a, sse, rankcorr, row_number() OVER
 QUERIES = {
     "m1_m5_walk_forward": (m1_m5_walk_forward, None),
     "m6_past_forecasts": (m6_past_forecasts, None),
+    "m15_trees": (m15_trees, None),
+    "m16_forest": (m16_forest, None),
     "m6_ridge_choices": (m6_ridge_choices, query(_ridge_sql(), f"SELECT month, criterion, a AS penalty, {r6('sse')} AS sse, {r6('rankcorr')} AS rankcorr FROM picked WHERE n = 1")),
 }

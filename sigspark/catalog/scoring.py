@@ -316,11 +316,6 @@ def m15_tree(spark, sf_dir):
     return md.fit_trees(fit, test, "q", depth=5, least_leaf=50).select("date", "permno", "prediction")
 
 
-def m16_forest(spark, sf_dir):
-    fit, _, test = _fit_block(spark, sf_dir)
-    return md.fit_trees(fit, test, "q", kind="forest", depth=5, least_leaf=10, trees=20).select("date", "permno", "prediction")
-
-
 def _parts(spark, sf_dir):
     fit, valid, test = _fit_block(spark, sf_dir)
     parts = [d.select("code", "date", "permno", "features", "q", F.lit(b).alias("block"), F.lit("t").alias("month")) for d, b in ((fit, "fit"), (valid, "valid"), (test, "test"))]
@@ -457,7 +452,6 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "m8_m10_groups_and_components": (m8_m10_groups_and_components, None),
     "m14_interactions": (m14_interactions, None),
     "m15_tree": (m15_tree, None),
-    "m16_forest": (m16_forest, None),
     "m17_tuned_network": (m17_tuned_network, None),
     "m18_network": (m18_network, None),
     "m20_dropout_network": (m20_dropout_network, None),
