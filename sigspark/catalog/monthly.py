@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks as k
 from ..operators import grid
+from ..plans import interactions as inter
+from ..plans import models as md
 from ..plans import splits, trees
 from ..plans import walk_forward as wf
 from ..sources import stand_in
@@ -81,6 +84,76 @@ def m16_forest(spark, sf_dir):
     return trees.forest_forecasts(panel, spans, TREE_FEATURES, "q").withColumnsRenamed({"key": "month"})
 
 
+CONTROLS = tuple(f"c{i:02d}" for i in range(1, 18))
+SOCIAL, AGREEMENT = ("s1", "s2"), ("agree1", "agree2")
+N_COMPONENTS = 16
+
+
+def _characteristics(spark, sf_dir, unit: str) -> DataFrame:
+    """Ranked controls with flags and ranked social inputs, two raw coordinates as agreement, the vector, and a ranked target."""
+    p = stand_in.characteristics(spark, sf_dir, unit)
+    coded = p.join(F.broadcast(grid.session_index(p)), "date")  # a row a session
+    new = {c: k.centered_feature(["date"], c) for c in (*CONTROLS, *SOCIAL)} | {f"missing_{c}": F.col(c).isNull().cast("double") for c in CONTROLS}
+    new |= {n: F.coalesce(F.get("v", F.lit(N_COMPONENTS + i)), F.lit(0.0)) for i, n in enumerate(AGREEMENT)} | {"q": k.centered_target(["date"], "tax")}
+    return coded.withColumns(new)
+
+
+def _basis(names: tuple[str, ...]):
+    return inter.interaction_basis(CONTROLS, [f"missing_{c}" for c in CONTROLS], SOCIAL, names, AGREEMENT)
+
+
+def _column(name: str) -> str:
+    return name.replace("^2", "_sq").replace("*", "_by_")
+
+
+PCS = tuple(f"pc{i:02d}" for i in range(1, N_COMPONENTS + 1))
+
+
+def m14_interactions(spark, sf_dir):
+    """All 604 columns of the basis by month, with the first coordinates of the vectors as components."""
+    rows = _characteristics(spark, sf_dir, "MONTH").withColumns({c: F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) for i, c in enumerate(PCS)})
+    definitions, _ = _basis(PCS)
+    return rows.select("date", "permno", *(k_.alias(_column(n)) for k_, (n, _) in zip((F.round(c + 1e-10, 6) + 0.0 for c in inter.as_columns(definitions)), definitions, strict=True)))
+
+
+def _with_components(spark, sf_dir, n: int) -> tuple[DataFrame, list[splits.Task]]:
+    """The daily rows with n components, and the tasks of every January. Components are fitted on the sessions of the first fit block, which is before all that is validated or tested."""
+    rows = stored(_characteristics(spark, sf_dir, "DAY"), "characteristics")
+    found = [t for t in tasks(splits.calendar_list(rows)) if t.month.endswith("-01")]
+    inside = md.equal_date_weights(rows.where(F.col("code").between(found[0].fit_first, found[0].fit_last) & F.col("v").isNotNull()).withColumn("zero", F.lit(0.0)))
+    m = md.moments(inside, features="v", target="zero")[()]
+    scale = np.sqrt(np.maximum(np.diag(m.gram), 1e-20))
+    loadings = md.principal_components(m.gram / np.outer(scale, scale), n) / scale[:, None]
+    at = lambda j: F.coalesce(F.aggregate(F.zip_with("v", F.array(*map(F.lit, loadings[:, j].tolist())), lambda a, b: a * b), F.lit(-float(m.x_mean @ loadings[:, j])), lambda s, t: s + t), F.lit(0.0))
+    return rows.withColumns({f"pc{j + 1:02d}": at(j) for j in range(loadings.shape[1])}), found
+
+
+def m14_bases(spark, sf_dir):
+    """Forecasts of every January by the best penalty of each of 13 bases, least squares and ridge."""
+    rows, found = _with_components(spark, sf_dir, N_COMPONENTS)
+    definitions, bases = _basis(PCS)
+    names = [f"x{i:03d}" for i in range(len(definitions))]
+    wide = stored(rows.select("code", "date", "permno", "q", *(c.alias(n) for n, c in zip(names, inter.as_columns(definitions), strict=True))), "interaction-basis")
+    return wf.walk_forward(wide, found, names, fit=inter.basis_candidates(bases), per=("estimator",), complete=True)
+
+
+def m8_group_grid(spark, sf_dir):
+    """Forecasts of every January by ridge with penalties of their own for social and text columns, and without these blocks."""
+    rows, found = _with_components(spark, sf_dir, N_COMPONENTS)
+    columns = [*CONTROLS, *(f"missing_{c}" for c in CONTROLS), *SOCIAL, *PCS, *AGREEMENT]
+    a, b = 2 * len(CONTROLS), 2 * len(CONTROLS) + len(SOCIAL)
+    return wf.walk_forward(rows, found, columns, fit=inter.group_grid(range(a), range(a, b), range(b, len(columns))), per=("estimator",), complete=True)
+
+
+def m9_components(spark, sf_dir):
+    """Forecasts of every January by ridge on 16, 32 and 64 components beside controls and social inputs, each with its best penalty."""
+    rows, found = _with_components(spark, sf_dir, 64)
+    columns = [*CONTROLS, *(f"missing_{c}" for c in CONTROLS), *SOCIAL, *(f"pc{j:02d}" for j in range(1, 65))]
+    start = len(columns) - 64
+    bases = {f"components {n}": list(range(start + n)) for n in (16, 32, 64)}
+    return wf.walk_forward(rows, found, columns, fit=inter.basis_candidates(bases), per=("estimator",), complete=True)
+
+
 _DAILY = """
 daily0 AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS permno, max(l_discount) AS signal, CASE WHEN max(l_linenumber) > 1 THEN floor(sum(CAST(round(l_tax * 100) AS BIGINT)) * 100 / count(*)) / 10000.0 - 0.04 END AS y,
     sum(l_quantity) AS cap, max(l_linenumber) AS n_items, min(l_partkey) AS other FROM lineitem GROUP BY 1, 2),
@@ -110,7 +183,25 @@ picked AS (SELECT month, 'sse' AS criterion, a, sse, rankcorr, row_number() OVER
     )
 
 
+def _basis_sql() -> str:
+    rank = lambda c: f"CASE WHEN {c} IS NULL THEN 0 ELSE 2 * ((rank() OVER (PARTITION BY date ORDER BY {c}) - 1 + count(*) OVER (PARTITION BY date, {c}) / 2) / count({c}) OVER (PARTITION BY date) - 0.5) END AS {c}"
+    raw = ", ".join(f"{e} AS {c}" for c, e in stand_in.CHARACTERISTICS.items())
+    flags = ", ".join(f"CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END AS missing_{c}" for c in CONTROLS)
+    vector = ", ".join(f"coalesce(CAST(embedding[{i + 1}] AS DOUBLE), 0) AS {c}" for i, c in enumerate((*PCS, *AGREEMENT)))
+    definitions, _ = _basis(PCS)
+    columns = ", ".join(f"{r6(' * '.join(f'CAST({x} AS DOUBLE)' for x in inputs))} AS {_column(n)}" for n, inputs in definitions)
+    return query(
+        f"""raw AS (SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS date, l_suppkey AS permno, {raw} FROM lineitem GROUP BY 1, 2),
+ready AS (SELECT date, permno, {", ".join(map(rank, (*CONTROLS, *SOCIAL)))}, {flags}, {vector} FROM raw LEFT JOIN embeddings ON vec_id = (permno * 37 + date_diff('day', DATE '1990-01-01', date)) % 500)""",
+        f"SELECT date, permno, {columns} FROM ready",
+    )
+
+
 QUERIES = {
+    "m14_interactions": (m14_interactions, _basis_sql()),
+    "m14_bases": (m14_bases, None),
+    "m8_group_grid": (m8_group_grid, None),
+    "m9_components": (m9_components, None),
     "m1_m5_walk_forward": (m1_m5_walk_forward, None),
     "m6_past_forecasts": (m6_past_forecasts, None),
     "m15_trees": (m15_trees, None),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks as k
-from ..functions.scalar import r6 as rounded
 from ..operators import grid
 from ..plans import evaluation as ev
 from ..plans import models as md
@@ -14,7 +13,7 @@ from ..plans import networks, splits
 from ..sources import stand_in
 from ..sources.scratch import stored
 from .features import tidy
-from .prelude import CALENDAR, FORECASTS, PANEL, query, r6
+from .prelude import FORECASTS, PANEL, query, r6
 
 
 def r(x: float) -> float:
@@ -304,13 +303,6 @@ def m8_m10_groups_and_components(spark, sf_dir):
     return spark.createDataFrame([(c, float(a), float(b)) for c, a, b in zip(FEATURES, by_group, by_component, strict=True)], "feature string, group_ridge double, component_ridge double")
 
 
-def m14_interactions(spark, sf_dir):
-    rows = _ready(spark, sf_dir).withColumn("flag", F.lit(0.0))
-    basis = md.interaction_features(["x_cap", "x_n_items"], ["flag"], "x_signal", ["x_other"], ["x_other"], ["x_n_items"])
-    basis = {n: c for n, c in basis.items() if n not in rows.columns}
-    return tidy(rows.select("date", "permno", *(c.alias(n.replace("^", "_sq").replace("*", "_by_")) for n, c in basis.items())))
-
-
 def m15_tree(spark, sf_dir):
     fit, _, test = _fit_block(spark, sf_dir)
     return md.fit_trees(fit, test, "q", depth=5, least_leaf=50).select("date", "permno", "prediction")
@@ -450,7 +442,6 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "m21_importance": (m21_importance, None),
     "m21_response": (m21_response, None),
     "m8_m10_groups_and_components": (m8_m10_groups_and_components, None),
-    "m14_interactions": (m14_interactions, None),
     "m15_tree": (m15_tree, None),
     "m17_tuned_network": (m17_tuned_network, None),
     "m18_network": (m18_network, None),

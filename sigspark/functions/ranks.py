@@ -15,10 +15,10 @@ def _present(by: Sequence[str], value: str) -> list[Column]:
 
 def tie_interval(by: Sequence[str], value: str) -> tuple[Column, Column, Column]:
     """(left, right, n): tied values occupy (left, right] of the n ranks of their cross-section."""
-    part = _present(by, value)
-    left = F.rank().over(Window.partitionBy(*part).orderBy(value)) - 1
-    ties = F.count("*").over(Window.partitionBy(*part, F.col(value)))
-    n = F.count("*").over(Window.partitionBy(*part))
+    part = Window.partitionBy(*_present(by, value))
+    left = F.rank().over(part.orderBy(value)) - 1
+    ties = F.count("*").over(part.orderBy(value).rangeBetween(0, 0))  # the row's peers: the same sort serves, and no exchange by value
+    n = F.count("*").over(part)
     return left, left + ties, n
 
 

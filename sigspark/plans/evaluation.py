@@ -31,7 +31,7 @@ def rank_ic(df: DataFrame, prediction: str, target: str, by: Sequence[str] = ("d
     older convention (``constant_as_zero=False``). ``target_rank`` names a column that already holds the
     target's rank (see ranked_target), where many predictions share one target.
     """
-    d = _complete_rows(df, prediction, target)
+    d = _complete_rows(df, prediction, target).repartition(*by)  # one exchange: ranks and sums below need no other
     for c, name in ((prediction, "x"), (target, "y")):
         left, right, _ = tie_interval(by, c)
         d = d.withColumn(name, F.col(target_rank) if name == "y" and target_rank else left + right + 1)  # twice the average rank
@@ -78,20 +78,35 @@ def score(long: DataFrame, target: str, cap: str, by: Sequence[str] = ("date", "
     """One row for each date and model: rank_ic, D10 - D1 in basis points by equal and cap weight, the legs, counts.
 
     Cap portfolios rank anew among stocks with a positive cap. Demeaned legs are less the mean return of
-    their universe; a constant forecast holds cash in both.
+    their universe; a constant forecast holds cash in both. Rows meet once, by date and model: ranks among all and among
+    stocks with a cap come from sorts of each cross-section, and one aggregation takes correlation and legs. A bin of shares
+    always has n / bins members, so only the first and the last bin are summed.
     """
-    d = _complete_rows(long, "prediction", target)
-    ic = rank_ic(d, "prediction", target, by, least_ic).withColumnRenamed("n", "n_stocks")
-    out = ic.join(d.groupBy(*by).agg(F.count_if(finite(F.col(cap).cast("double")) > 0).alias("n_cap_stocks"), (F.min("prediction") == F.max("prediction")).alias("constant_prediction")), list(by))
-    for name, weight in (("ew", None), ("cap", cap)):
-        universe = d if weight is None else _complete_rows(d, cap).where(F.col(cap) > 0)
-        # the mean of the rows' returns, whatever the weights
-        market = universe.groupBy(*by).agg(F.avg(target).alias("market"), (F.min("prediction") == F.max("prediction")).alias("cash"))
-        legs = fractional_bins(universe, "prediction", target, by, bins, weight, least_per_bin)
-        wide = legs.groupBy(*by).agg(F.max(F.when(F.col("bin") == 1, F.col("ret"))).alias("d1"), F.max(F.when(F.col("bin") == bins, F.col("ret"))).alias("d10")).join(market, list(by))
-        centre = lambda c: F.when(F.col("cash"), F.col(c)).otherwise(F.col(c) - F.col("market"))
-        out = out.join(wide.select(*by, ((F.col("d10") - F.col("d1")) * 1e4).alias(f"{name}_spread_bp"), *((F.col(c) * 1e4).alias(f"{name}_{c}_raw_bp") for c in ("d1", "d10")), *((centre(c) * 1e4).alias(f"{name}_{c}_demeaned_bp") for c in ("d1", "d10"))), list(by), "left")
-    return out
+    d = _complete_rows(long, "prediction", target).withColumn("__cap", finite(F.col(cap).cast("double")))
+    d = d.select(*by, "prediction", F.col(target).alias("__y"), F.coalesce(F.col("__cap") > 0, F.lit(False)).alias("__has"), F.col("__cap")).repartition(*by)
+    left, right, n = tie_interval(by, "prediction")
+    y_left, y_right, _ = tie_interval(by, "__y")
+    c_left, c_right, c_n = tie_interval([*by, "__has"], "prediction")
+    d = d.withColumns({"left": left, "right": right, "n": n, "c_left": c_left, "c_right": c_right, "c_n": c_n, "b": y_left + y_right + 1}).withColumn("a", F.col("left") + F.col("right") + 1)
+    product = lambda x, y: F.sum(F.col(x).cast("double") * F.col(y))
+    aggs = [F.count("*").alias("n_stocks"), F.count_if("__has").alias("n_cap_stocks"), (F.min("prediction") == F.max("prediction")).alias("constant_prediction"), *(product(x, y).alias(x + y) for x, y in (("a", "a"), ("b", "b"), ("a", "b"))), *(F.sum(x).cast("double").alias(f"s{x}") for x in "ab")]
+    for name, prefix, inside, weight in (("ew", "", F.lit(True), F.lit(1.0)), ("cap", "c_", F.col("__has"), F.col("__cap"))):
+        lo, hi, size = (F.col(prefix + c).cast("double") for c in ("left", "right", "n"))
+        aggs += [F.avg(F.when(inside, F.col("__y"))).alias(f"{name}_market"), (F.min(F.when(inside, F.col("prediction"))) == F.max(F.when(inside, F.col("prediction")))).alias(f"{name}_cash")]
+        for leg, k in (("d1", 1), ("d10", bins)):
+            share = F.greatest(F.lit(0.0), F.least(hi, k * size / bins) - F.greatest(lo, (k - 1) * size / bins)) / (hi - lo)
+            aggs += [F.sum(F.when(inside, share * weight)).alias(f"{name}_{leg}_mass"), F.sum(F.when(inside, share * weight * F.col("__y"))).alias(f"{name}_{leg}_total")]
+    s = d.groupBy(*by).agg(*aggs)
+    va, vb = F.col("aa") - F.col("sa") * F.col("sa") / F.col("n_stocks"), F.col("bb") - F.col("sb") * F.col("sb") / F.col("n_stocks")
+    cov = F.col("ab") - F.col("sa") * F.col("sb") / F.col("n_stocks")
+    ic = F.when((F.col("n_stocks") >= least_ic) & (vb > 0), F.when(va > 0, cov / F.sqrt(va * vb)).otherwise(0.0))
+    columns = [ic.alias("rank_ic"), "n_stocks", "n_cap_stocks", "constant_prediction"]
+    for name, size in (("ew", "n_stocks"), ("cap", "n_cap_stocks")):
+        enough, cash = F.col(size) / bins >= least_per_bin - 1e-9, F.col(f"{name}_cash")
+        ret = {leg: F.when(enough, F.when(cash, 0.0).otherwise(F.when(F.col(f"{name}_{leg}_mass") > 0, F.col(f"{name}_{leg}_total") / F.col(f"{name}_{leg}_mass")))) for leg in ("d1", "d10")}
+        columns.append(((ret["d10"] - ret["d1"]) * 1e4).alias(f"{name}_spread_bp"))
+        columns += [(v * 1e4).alias(f"{name}_{leg}_raw_bp") for leg, v in ret.items()] + [(F.when(cash, v).otherwise(v - F.col(f"{name}_market")) * 1e4).alias(f"{name}_{leg}_demeaned_bp") for leg, v in ret.items()]
+    return s.select(*by, *columns)
 
 
 def on_calendar(daily: DataFrame, calendar: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
@@ -164,16 +179,24 @@ def out_of_sample_r2(df: DataFrame, prediction: str, target: str, by: Sequence[s
 
 
 def clustered_slope(df: DataFrame, x: str, y: str, first: str, second: str) -> DataFrame:
-    """Pooled slope without a constant, variance clustered both ways: V = V1 + V2 - V12."""
+    """Pooled slope without a constant, variance clustered both ways: V = V1 + V2 - V12.
+
+    A cluster's sum of scores is sum(xy) - beta sum(xx), so one pass by grouping sets holds all clusterings, and
+    the squares of those sums follow from three sums over the clusters.
+    """
     d = _complete_rows(df, x, y).select(first, second, F.col(x).alias("x"), F.col(y).alias("y"))
-    total = d.agg(F.sum(F.col("x") * F.col("x")).alias("sxx"), (F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"), F.count("*").alias("n"))
-    scored = d.crossJoin(F.broadcast(total)).withColumn("s", F.col("x") * (F.col("y") - F.col("beta") * F.col("x")))  # one row on the right
-    out = total
-    for name, keys in (("v1", [first]), ("v2", [second]), ("v12", [first, second])):
-        sums = scored.groupBy(*keys).agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias(name), F.count("*").alias(f"{name}_clusters"))
-        out = out.crossJoin(sums)
-    se = F.sqrt(F.greatest(F.col("v1") + F.col("v2") - F.col("v12"), F.lit(0.0))) / F.col("sxx")
-    return out.select("beta", "n", se.alias("se"), (F.col("beta") / se).alias("t"), F.col("v1_clusters").alias("n_first"), F.col("v2_clusters").alias("n_second"))
+    sets = d.groupingSets([[F.col(first)], [F.col(second)], [F.col(first), F.col(second)]], first, second)
+    clusters = sets.agg(F.grouping_id().alias("level"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n"))
+    at = lambda level, c: F.sum(F.when(F.col("level") == level, c))
+    levels = {"v1": 1, "v2": 2, "v12": 0}  # a set bit: the column is summed out
+    sums = clusters.agg(
+        at(1, F.col("xx")).alias("sxx"), at(1, F.col("xy")).alias("sxy"), at(1, F.col("n")).alias("n"),
+        *(at(k, a * b).alias(f"{v}_{name}") for v, k in levels.items() for name, a, b in (("yy", F.col("xy"), F.col("xy")), ("xy", F.col("xy"), F.col("xx")), ("xx", F.col("xx"), F.col("xx")))),
+        *(F.count_if(F.col("level") == levels[v]).alias(f"{v}_clusters") for v in ("v1", "v2")),
+    ).where("n is not null").withColumn("beta", F.col("sxy") / F.col("sxx"))
+    square = lambda v: F.col(f"{v}_yy") - 2 * F.col("beta") * F.col(f"{v}_xy") + F.col("beta") * F.col("beta") * F.col(f"{v}_xx")
+    se = F.sqrt(F.greatest(square("v1") + square("v2") - square("v12"), F.lit(0.0))) / F.col("sxx")
+    return sums.select("beta", "n", se.alias("se"), (F.col("beta") / se).alias("t"), F.col("v1_clusters").alias("n_first"), F.col("v2_clusters").alias("n_second"))
 
 
 def clustered_ols(df: DataFrame, x: str, y: str, cluster: Sequence[str], by: Sequence[str] = (), least: int = 10) -> DataFrame:

@@ -385,20 +385,6 @@ def stable_without_each_month(monthly: dict[str, Sequence[float | None]]) -> dic
     return out
 
 
-def interaction_features(controls: Sequence[str], flags: Sequence[str], signal: str, social: Sequence[str], components: Sequence[str], agreement: Sequence[str]) -> dict[str, Column]:
-    """The nested basis: controls and flags, squares, pairs, the signal and its square, social products, components and agreement."""
-    c = {n: F.col(n).cast("double") for n in (*controls, *flags, signal, *social, *components, *agreement)}
-    out = {n: c[n] for n in (*controls, *flags)}
-    out |= {f"{n}^2": c[n] * c[n] for n in controls}
-    out |= {f"{a}*{b}": c[a] * c[b] for i, a in enumerate(controls) for b in controls[i + 1 :]}
-    out |= {signal: c[signal], f"{signal}^2": c[signal] * c[signal]}
-    out |= {f"{signal}*{n}": c[signal] * c[n] for n in (*controls, *flags, *social)}
-    words = [*components, *agreement]
-    out |= {n: c[n] for n in words} | {f"{n}^2": c[n] * c[n] for n in words}
-    out |= {f"{n}*{k}": c[n] * c[k] for n in words for k in controls}
-    return out
-
-
 def tree_model(kind: str = "tree", depth: int = 5, least_leaf: int = 1, trees: int = 100, seed: int = 0):
     """A Spark ML regressor; leaf counts and cost pruning have no counterpart there, depth and leaf size do."""
     from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
-from ..operators.grid import adjacent, frame, rolled, session_index, with_running
+from ..operators.grid import adjacent, blocked, rolled, session_index, with_blocks, with_running
 
 # The feature families' default fills. A column is filled if its name holds one of these parts.
 FILLS = (
@@ -139,8 +139,10 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumns({"r": F.when((finite(F.col("ret")) >= -1) & before.isNotNull(), F.col("ret")), "dollars": F.col("price") * F.col("volume"), "turnover": F.col("volume") / (1000 * F.col("shares"))})
     rows = rows.withColumn("illiquid", F.abs("r") / F.when(F.col("dollars") > 0, F.col("dollars")))
 
+    rows = with_blocks(rows, ["permno"], "code", 21, most=(F.max, F.col("r")), illiquid=(F.sum, F.col("illiquid")))
     rows = with_running(
         rows, ["permno"], "code",
+        r_sum=F.col("r"), r_squares=F.col("r") * F.col("r"), illiquid_count=F.when(F.col("illiquid").isNotNull(), 1),
         r_count=F.when(F.col("r").isNotNull(), 1), r_zeros=F.when(F.col("r") == -1, 1), r_logs=F.when(F.col("r") > -1, F.log1p("r")),
         turnover_count=F.when(F.col("turnover").isNotNull(), 1), turnover_sum=F.col("turnover"), dollars_count=F.when(F.col("dollars").isNotNull(), 1), dollars_sum=F.col("dollars"),
     )
@@ -148,9 +150,14 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     def mean(c: str, h: int) -> Column:
         return F.when(rolled(f"{c}_count", ["permno"], "code", h) == h, rolled(f"{c}_sum", ["permno"], "code", h) / h)
 
-    def full(value: Column, c: str, h: int) -> Column:
-        over = frame(["permno"], "code", h)
-        return F.when(F.count(c).over(over) == h, value.over(over))
+    part = lambda running, h: rolled(running, ["permno"], "code", h)
+
+    def deviation(h: int) -> Column:
+        spread = part("r_squares", h) - part("r_sum", h) * part("r_sum", h) / h
+        return F.when(part("r_count", h) == h, F.sqrt(F.greatest(spread, F.lit(0.0)) / (h - 1)))
+
+    def of_block(name: str, count: str, join: Callable[[Column, Column], Column]) -> Column:
+        return F.when(part(count, 21) == 21, blocked(name, ["permno"], "code", 21, join))
 
     new = {f"char_ret{h}": _compound(h) for h in CONTROL_RETURNS}
     new |= {
@@ -161,10 +168,10 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
         "char_turnover21": mean("turnover", 21),
         "char_log_dollar_volume1": F.log1p("dollars"),
         "char_log_dollar_volume21": F.log1p(mean("dollars", 21)),
-        "char_volatility21": full(F.stddev_samp("r"), "r", 21),
-        "char_volatility63": full(F.stddev_samp("r"), "r", 63),
-        "char_max_return21": full(F.max("r"), "r", 21),
-        "char_amihud21": full(F.avg("illiquid"), "illiquid", 21),
+        "char_volatility21": deviation(21),
+        "char_volatility63": deviation(63),
+        "char_max_return21": of_block("most", "r_count", F.greatest),
+        "char_amihud21": of_block("illiquid", "illiquid_count", lambda a, b: a + b) / 21,
     }
     out = rows.withColumns(new).withColumn("char_momentum252_skip21", F.lag("momentum", 21).over(Window.partitionBy("permno").orderBy("code")))
     return out.select("permno", "date", *(c for c in sorted({*new, "char_momentum252_skip21"} - {"momentum"})))

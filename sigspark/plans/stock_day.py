@@ -134,10 +134,14 @@ def streaks(directions: DataFrame, history: str = "full", reach: int = 250) -> D
     runs = turned.withColumn("run", F.sum("turn").over(w))
     if history == "full":
         return runs.withColumn("streak", F.row_number().over(Window.partitionBy("user_id", "symbol", "run").orderBy("date")))
-    year_start = F.min("code").over(Window.partitionBy("user_id", "symbol", "run", F.year("date")))
-    ordered = Window.partitionBy("user_id", "symbol", "run").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.filter(F.collect_list(F.struct(F.year("date").alias("y"), F.col("code").alias("c"))).over(ordered), lambda d: (d["y"] == F.year("date")) | ((d["y"] == F.year("date") - 1) & (d["c"] >= year_start - reach)))
-    return runs.withColumn("streak", F.size(seen))
+    # Days of the run before those that count, at the first day of each year: what is more than a year's key and the reach
+    # behind. The key parts years by more than any session number, so last year's sessions, and only they, are within it.
+    apart = 1 << 32
+    keyed = runs.withColumn("key", F.year("date").cast("long") * apart + F.col("code"))
+    run = Window.partitionBy("user_id", "symbol", "run")
+    counted = keyed.withColumns({"place": F.row_number().over(run.orderBy("key")), "lost": F.count("*").over(run.orderBy("key").rangeBetween(Window.unboundedPreceding, -(apart + reach + 1)))})
+    first_lost = F.first("lost").over(Window.partitionBy("user_id", "symbol", "run", F.year("date")).orderBy("key"))
+    return counted.withColumn("streak", (F.col("place") - first_lost).cast("int")).drop("key", "place", "lost")
 
 
 def conviction(directions: DataFrame, least: Sequence[int] = (3, 5, 10), history: str = "full") -> DataFrame:

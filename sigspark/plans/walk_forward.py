@@ -49,18 +49,19 @@ def _sessions(panel: DataFrame, bounds: Sequence[int]) -> DataFrame:
     return panel.select("code").distinct().withColumn("block", _block(bounds)).where((F.col("block") > 0) & (F.col("block") < len(bounds)))
 
 
-def window_cells(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str], target: str, by_date: bool) -> DataFrame:
+def window_cells(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str], target: str, by_date: bool, complete: bool = False) -> DataFrame:
     """key, cell, v: sums over each window. Cells from 0 up are those of ``models.cell_sums`` of (1, values, whether
     there, target) over labelled rows; -1 - 3c - j are the mass, sum and sum of squares (j = 0, 1, 2) of column c over all rows.
 
-    ``by_date``: a row weighs 1 / (rows of its date) among its like, else 1.
+    ``by_date``: a row weighs 1 / (rows of its date) among its like, else 1. ``complete``: no column is ever missing, so that
+    whether it is there is left out, and the triangle is a quarter as large.
     """
     bounds = block_bounds(spans)
     blocked = panel.join(F.broadcast(_sessions(panel, bounds)), "code")  # a row a session
     clean = [finite(F.col(c).cast("double")) for c in columns]
     one = F.lit(1.0)
     mass = lambda label: F.try_divide(one, F.count(label).over(Window.partitionBy("code"))) if by_date else one
-    values = F.array(*(F.coalesce(x, F.lit(0.0)) for x in clean), *(x.isNotNull().cast("double") for x in clean))
+    values = F.array(*(F.coalesce(x, F.lit(0.0)) for x in clean), *(x.isNotNull().cast("double") for x in ([] if complete else clean)))
     ready = blocked.select("block", values.alias("features"), finite(F.col(target).cast("double")).alias("y"), mass(F.lit(1)).alias("w_all"), mass(finite(F.col(target).cast("double"))).alias("w"), *(x.alias(f"x{i}") for i, x in enumerate(clean)))
     ready = stored(ready, "walk-forward")
     labelled = md.cell_sums(ready.where("y is not null"), ["block"], target="y", weight="w")
@@ -81,7 +82,7 @@ def window_cells(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str]
     return running.join(F.broadcast(ends), both).groupBy("key", "cell").agg(F.sum(F.col("sign") * F.col("v")).alias("v"))  # four rows a window
 
 
-def _window_moments(cells: np.ndarray, v: np.ndarray, p: int) -> tuple[md.Moments, np.ndarray, np.ndarray]:
+def _window_moments(cells: np.ndarray, v: np.ndarray, p: int, complete: bool) -> tuple[md.Moments, np.ndarray, np.ndarray]:
     """Moments of the scaled columns, with the means and scales: of all rows' finite values; a missing value is the mean."""
     m = np.zeros(3 * p)
     scaler = cells < 0
@@ -91,7 +92,7 @@ def _window_moments(cells: np.ndarray, v: np.ndarray, p: int) -> tuple[md.Moment
         mean = np.where(mass > 0, total / mass, 0.0)
         variance = np.where(mass > 0, square / mass - mean * mean, 0.0)
     scale = np.where(variance > np.maximum(1e-20, 1e-13 * mean * mean), np.sqrt(np.maximum(variance, 0)), 1.0)
-    side = 2 * p + 2
+    side = (1 if complete else 2) * p + 2
     flat = np.zeros(side * side + 1)
     flat[cells[~scaler]] = v[~scaler]
     half = flat[:-1].reshape(side, side)
@@ -99,11 +100,12 @@ def _window_moments(cells: np.ndarray, v: np.ndarray, p: int) -> tuple[md.Moment
     to = np.zeros((p + 2, side))
     to[0, 0] = to[-1, -1] = 1.0
     at = np.arange(p)
-    to[1 + at, 1 + at], to[1 + at, 1 + p + at] = 1.0 / scale, -mean / scale
+    to[1 + at, 1 + at] = 1.0 / scale
+    to[1 + at, 0 if complete else 1 + p + at] = -mean / scale
     return md.centred(np.append((to @ half @ to.T).ravel(), flat[-1])), mean, scale
 
 
-def fit_windows(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str], target: str, fit: Fit, by_date: bool = True) -> DataFrame:
+def fit_windows(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str], target: str, fit: Fit, by_date: bool = True, complete: bool = False) -> DataFrame:
     """A row for each window and candidate of ``fit``: its coefficients on scaled columns, and the scaler. Windows without a label have none."""
     p = len(columns)
 
@@ -111,14 +113,14 @@ def fit_windows(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str],
         cells, v = rows["cell"].to_numpy(), rows["v"].to_numpy()
         out: dict[str, list] = {c.split()[0]: [] for c in _FOUND.split(", ")}
         if (cells >= 0).any():
-            m, mean, scale = _window_moments(cells, v, p)
+            m, mean, scale = _window_moments(cells, v, p, complete)
             for k, c in enumerate(fit(m) if m.n else ()):
                 for name, value in (("key", rows["key"][0].as_py()), ("k", k), ("estimator", c.estimator), ("penalty", c.penalty), ("mix", c.mix), ("beta", c.beta.tolist()), ("intercept", c.intercept), ("mean", mean.tolist()), ("scale", scale.tolist()), ("n", m.n)):
                     out[name].append(value)
         kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
         return pa.table({c.split()[0]: pa.array(out[c.split()[0]], kinds[c.split()[1]]) for c in _FOUND.split(", ")})
 
-    return stored(window_cells(panel, spans, columns, target, by_date).groupBy("key").applyInArrow(run, _FOUND), "walk-forward-fits")
+    return stored(window_cells(panel, spans, columns, target, by_date, complete).groupBy("key").applyInArrow(run, _FOUND), "walk-forward-fits")
 
 
 def rows_of(panel: DataFrame, spans: Sequence[Span]) -> DataFrame:
@@ -215,16 +217,17 @@ def forecast(rows: DataFrame, chosen: DataFrame, columns: Sequence[str]) -> Data
     return rows.join(F.broadcast(chosen), "key").withColumn("prediction", F.aggregate(terms, F.col("intercept"), lambda s, t: s + t)).drop("beta", "mean", "scale", "intercept")  # declared windows, one candidate each
 
 
-def walk_forward(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates) -> DataFrame:
-    """Forecasts of every task's test month by the candidate of best mean daily rank correlation on its validation block.
+def walk_forward(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates, per: Sequence[str] = (), complete: bool = False) -> DataFrame:
+    """Forecasts of every task's test month by the candidate of best mean daily rank correlation on its validation block; with
+    ``per`` (such as "estimator"), by the best candidate of each.
 
     ``panel``: code (session), date, permno, the columns and the target. Returns month, date, permno, estimator, penalty, mix,
     ic (of validation; null where no date has one, and then the first candidate stands) and prediction.
     """
-    fits = fit_windows(panel, [(t.month, t.fit_first, t.fit_last) for t in found], columns, target, fit)
+    fits = fit_windows(panel, [(t.month, t.fit_first, t.fit_last) for t in found], columns, target, fit, complete=complete)
     daily = _cross_sections(rows_of(panel, [(t.month, t.valid_first, t.valid_last) for t in found]), fits, columns, target, _daily_ic, ["ic"])
     scores = daily.groupBy("key", "k").agg(F.avg("ic").alias("ic"))
-    of = Window.partitionBy("key")
+    of = Window.partitionBy("key", *per)
     all_scored = fits.join(scores, ["key", "k"], "left").withColumn("best", F.max("ic").over(of))
     eligible = all_scored.where((F.col("ic") >= F.col("best") - md.TIE) | F.col("best").isNull())
     chosen = stored(eligible.withColumn("first", F.min("k").over(of)).where("k = first").select("key", "estimator", "penalty", "mix", "ic", "beta", "intercept", "mean", "scale"), "walk-forward-chosen")

@@ -59,6 +59,24 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Whole numbers of a supplier's items of a month (or day); the last is missing where nothing came back.
+CHARACTERISTICS = {
+    "c01": "count(*)", "c02": "sum(cast(l_quantity as bigint))", "c03": "max(cast(l_quantity as bigint))", "c04": "min(cast(l_quantity as bigint))", "c05": "sum(cast(round(l_extendedprice * 100) as bigint))", "c06": "max(cast(round(l_extendedprice * 100) as bigint))",
+    "c07": "min(cast(round(l_extendedprice * 100) as bigint))", "c08": "sum(cast(round(l_discount * 100) as bigint))", "c09": "max(cast(round(l_discount * 100) as bigint))", "c10": "min(cast(round(l_discount * 100) as bigint))", "c11": "sum(l_partkey)", "c12": "max(l_orderkey)",
+    "c13": "min(l_orderkey)", "c14": "count(*) filter (where l_returnflag = 'R')", "c15": "count(*) filter (where l_linestatus = 'O')", "c16": "max(l_linenumber)", "c17": "max(l_partkey) filter (where l_returnflag = 'R')",
+    "s1": "count(*) filter (where l_returnflag = 'A') - count(*) filter (where l_returnflag = 'N')", "s2": "max(l_partkey)", "tax": "max(cast(round(l_tax * 100) as bigint))",
+}
+
+
+def characteristics(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    """date (first of the ``unit``: MONTH or DAY), permno, seventeen controls, two social inputs, tax, and the vector of one row of ``embeddings``."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    day = items.groupBy(F.date_trunc(unit, "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("permno")).agg(*(F.expr(e).alias(c) for c, e in CHARACTERISTICS.items()))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    placed = day.withColumn("vec_id", (F.col("permno") * 37 + F.datediff("date", F.lit("1990-01-01").cast("date"))) % 500)
+    return placed.join(vectors, "vec_id", "left").drop("vec_id")
+
+
 def stock_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """permno, ticker, date, prc, cap on the sessions of the messages; tickers S0 to S9 have two stocks."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -150,3 +150,14 @@ def test_average_ranks_and_correlations():
     y = rng.integers(0, 3, 9).astype(float)
     assert np.allclose(wf.correlations(x, y), [np.corrcoef(average(r), average(y))[0, 1] for r in x])
     assert np.isnan(wf.correlations(np.ones((1, 9)), y)).all()
+
+
+def test_complete_columns_and_choices_per_estimator(spark, panel):
+    whole = panel.fillna({"a": 0.0, "b": 0.0, "c": 100.0})
+    frame = spark_panel(spark, whole)
+    tasks = [Task("2001-01", 0, 25, 27, 38, 40, 45, 1), Task("2001-02", 10, 35, 37, 48, 50, 55, 1)]
+    fit = lambda m: md.candidates(m, ridge=(1.0, 0.1), shares=(), mixes=())
+    a, b = (wf.walk_forward(frame, tasks, COLUMNS, fit=fit, per=("estimator",), complete=c).toPandas().sort_values(["month", "estimator", "date", "permno"]).reset_index(drop=True) for c in (False, True))
+    assert sorted(a["estimator"].unique()) == ["ols", "ridge"] and np.allclose(a["prediction"], b["prediction"]) and np.allclose(a["ic"], b["ic"])
+    one = wf.walk_forward(frame, tasks, COLUMNS, fit=fit).toPandas()
+    assert len(a) == 2 * len(one)
