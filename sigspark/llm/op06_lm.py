@@ -8,9 +8,7 @@ known ending of history and word, and a failure arc of weight M / (c(h) + M) to
 empty state has an arc for every word. A text is read once from left to right: the state is carried, failure arcs
 are followed until the next word has an arc, and the log-probabilities of all these arcs add up.
 
-Priors come from the training counts of all documents: M is such that a Chinese restaurant process with these
-history counts expects as many distinct n-grams as there are (``prior``). For words the counts are exact; of longer
-n-grams those whose hash falls in one of ``SHARE`` parts of the hash range are counted, over all documents.
+The priors are parameters of the model, the same for a corpus of any size; all else is counted over all training documents.
 
 The automaton of a whole corpus fits no machine, so each block of about ``BLOCK_BYTES`` of text gets the part
 that its texts can reach: blocks send the 64-bit hashes of their distinct n-grams, sorted and coded by their gaps,
@@ -24,7 +22,7 @@ cut off.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +36,7 @@ from .common import binary, input_bytes, text_slices
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
-SHARE = 256
+PRIORS = (100.0, 2.0)  # strength of orders 2 and 3; longer ones have the last
 BLOCK_BYTES = 6 << 20
 SHARD_BLOCKS = 4  # blocks' worth of n-grams in a shard
 END = b"\n"  # no word is like it
@@ -211,28 +209,6 @@ class Automaton:
         return np.array(out)
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
-    for _ in range(6):
-        low = x < 6
-        shift -= np.where(low, 1 / x, 0.0)
-        x = np.where(low, x + 1, x)
-    return shift + np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
-
-
-def prior(histories: dict[int, float], distinct: float) -> float:
-    """M at which a Chinese restaurant process expects ``distinct`` n-grams from histories (count: how many); between 1e-3 and 1e9."""
-    c, n = (np.array(x, float) for x in (list(histories), list(histories.values())))
-    low, high = np.log(1e-3), np.log(1e9)
-    for _ in range(60):
-        m = np.exp((low + high) / 2)
-        if len(c) and float((n * m * (_digamma(c + m) - _digamma(np.full(len(c), m)))).sum()) < distinct * (1 - 1e-6):  # above the rounding of digamma
-            low = np.log(m)
-        else:
-            high = np.log(m)
-    return float(np.exp((low + high) / 2))
-
-
 def packed_texts(rows: DataFrame, blocks: int) -> DataFrame:
     """block, ids, train, texts: rows (id, text, train) dealt to blocks by content; those of one slice and block are one zstandard frame.
 
@@ -269,64 +245,45 @@ def unpacked_texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return texts, rows["train"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
 
 
-def training_totals(docs: DataFrame, text: str, train: str, order: int = ORDER, share: int = SHARE, shards: int = 1) -> tuple[int, int, float, list[float]]:
-    """Tokens, types, absolute discount n1 / (n1 + 2 n2) and the priors of orders 2 and up, all of the training texts."""
+def training_totals(docs: DataFrame, text: str, train: str, shards: int = 1) -> tuple[int, int, float]:
+    """Tokens, types and absolute discount n1 / (n1 + 2 n2) of all training texts, from exact counts of all their words."""
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter[int]] = [Counter() for _ in range(order)]
+        counts: Counter[int] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, c in enumerate(counts):
-                keys, n = np.fromiter(c.keys(), np.uint64, len(c)), np.fromiter(c.values(), np.int64, len(c))
-                by = np.argsort(keys)
-                keys, n = keys[by], n[by]
-                edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-                full = np.flatnonzero(np.diff(edges)).tolist()
-                cut = [slice(edges[s], edges[s + 1]) for s in full]
-                columns = [pa.array(full, pa.int64()), pa.array([k] * len(full), pa.int32()), pa.array([x.stop - x.start for x in cut], pa.int64()), pa.array([packed_keys(keys[x]) for x in cut], pa.binary()), pa.array([packed_counts(n[x]) for x in cut], pa.binary())]
-                c.clear()
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "k", "n", "keys", "counts"])
+            keys, n = np.fromiter(counts.keys(), np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+            by = np.argsort(keys)
+            keys, n = keys[by], n[by]
+            edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+            full = np.flatnonzero(np.diff(edges)).tolist()
+            cut = [slice(edges[s], edges[s + 1]) for s in full]
+            columns = [pa.array(full, pa.int64()), pa.array([x.stop - x.start for x in cut], pa.int64()), pa.array([packed_keys(keys[x]) for x in cut], pa.binary()), pa.array([packed_counts(n[x]) for x in cut], pa.binary())]
+            counts.clear()
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "n", "keys", "counts"])
 
         for batch in text_slices(batches, text):
-            block = Block(binary(batch[text]), np.ones(batch.num_rows, bool), order)
-            for k, g in enumerate(block.grams):
-                some = g.keys % np.uint64(share) == 0 if k else np.ones(len(g.keys), bool)
-                # what ends a text is no history: told apart by the last bit, which the share leaves zero
-                mark = (g.word[some] == 0).astype(np.uint64) if k else np.uint64(0)
-                counts[k].update(dict(zip((g.keys[some] | mark).tolist(), g.own[some].tolist(), strict=True)))
-            if sum(map(len, counts)) > 1_000_000:
+            words = Block(binary(batch[text]), np.ones(batch.num_rows, bool), 1).grams[0]
+            counts.update(dict(zip(words.keys.tolist(), words.own.tolist(), strict=True)))
+            if len(counts) > 1_000_000:
                 yield from flush()
         yield from flush()
 
-    end = word_hashes([END])[0]
-
     def summed(rows: pa.Table) -> pa.Table:
         keys = np.concatenate([unpacked_keys(b, n) for b, n in zip(rows["keys"].to_pylist(), rows["n"].to_pylist(), strict=True)])
         counts = np.concatenate([unpacked_counts(b, n) for b, n in zip(rows["counts"].to_pylist(), rows["n"].to_pylist(), strict=True)])
-        keys, at = np.unique(keys, return_inverse=True)
-        totals, k = np.bincount(at, counts).astype(np.int64), rows["k"][0].as_py()
-        history = keys % np.uint64(2) == 0 if k else keys != end
-        bins = np.where(totals <= 64, totals, np.ceil(2.0 ** (np.floor(np.log2(totals) * 16) / 16)).astype(np.int64))
-        codes, at = np.unique(2 * bins + history, return_inverse=True)
-        bins, history = np.divmod(codes, 2)
-        grams, tokens = np.bincount(at), np.bincount(at, totals).astype(np.int64)
-        return pa.table([pa.array(np.full(len(bins), k, np.int32)), pa.array(history.astype(bool)), pa.array(bins), pa.array(grams), pa.array(tokens)], names=["k", "history", "bin", "grams", "tokens"])
-
-    sent = docs.where(train).select(text).mapInArrow(local, "shard long, k int, n long, keys binary, counts binary")
-    binned = sent.repartition(shards, "shard").groupBy("shard", "k").applyInArrow(summed, "k int, history boolean, bin long, grams long, tokens long")
-    rows = binned.groupBy("k", "history", "bin").agg(F.sum("grams").alias("grams"), F.sum("tokens").alias("tokens")).collect()  # some hundred bins
-    tokens, types = sum(r.tokens for r in rows if r.k == 0), sum(r.grams for r in rows if r.k == 0)
-    once, twice = (sum(r.grams for r in rows if r.k == 0 and r.bin == b) for b in (1, 2))
-    priors = []
-    for k in range(1, order):
-        # words are counted whole, longer ones by a share of their hashes
-        scale = 1 if k > 1 else share
-        histories = {r.bin: float(r.grams) for r in rows if r.k == k - 1 and r.history}
-        priors.append(prior(histories, scale * sum(r.grams for r in rows if r.k == k)))
-    return tokens, types, once / (once + 2 * twice) if 0 < once and twice else 0.5, priors
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        _, at = np.unique(keys, return_inverse=True)
+        totals = np.bincount(at, counts).astype(np.int64)
+        return pa.table({name: pa.array([v], pa.int64()) for name, v in (("tokens", int(totals.sum())), ("types", len(totals)), ("once", int((totals == 1).sum())), ("twice", int((totals == 2).sum())))})
+
+    sent = docs.where(train).select(text).mapInArrow(local, "shard long, n long, keys binary, counts binary")
+    names = ("tokens", "types", "once", "twice")
+    sums = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(summed, ", ".join(f"{c} long" for c in names))
+    tokens, types, once, twice = (v or 0 for v in sums.agg(*(F.sum(c) for c in names)).first())
+    return tokens, types, once / (once + 2 * twice) if 0 < once and twice else 0.5
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, block_bytes: int = BLOCK_BYTES, priors: Sequence[float] = PRIORS) -> DataFrame:
     """For every row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Rows whose crc32(id as text) mod ``folds`` is ``held_out`` do not train; rows without an id do.
@@ -334,11 +291,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: in
     training text every score is zero. Very long texts are read whole; an empty table gives an empty
     result; other columns are ignored. ``order`` is the length of the longest n-grams, at least 2.
     """
+    priors = [*priors, *[priors[-1]] * order][: order - 1]
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_out, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), (~held).alias("train"))
     blocks = max(1, -(-input_bytes(docs, text) // block_bytes))
     shards = -(-blocks // SHARD_BLOCKS)
-    tokens, types, discount, priors = training_totals(rows, "text", "train", order, shards=shards)
+    tokens, types, discount = training_totals(rows, "text", "train", shards)
     dealt = packed_texts(rows, blocks).repartition(blocks, "block")
 
     def block_of(rows_: pa.Table, answers: pa.Table | None, rounds: int) -> Block:

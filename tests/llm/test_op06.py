@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from sigspark.llm import queries
-from sigspark.llm.op06_lm import SHARE, Automaton, Block, longer, packed_answers, packed_keys, prior, score, unpacked_answers, unpacked_keys, word_hashes
+from sigspark.llm.op06_lm import PRIORS, Automaton, Block, packed_answers, packed_keys, score, unpacked_answers, unpacked_keys
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "Ab aB É", 0), (5, "w " * 60_000, 0), (6, "w w", 0), (6, "w w", 0), (None, "null trains", 0), (17, "null trains", 0), (9, "x", 1)]
@@ -23,37 +23,13 @@ def held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 7 == 2
 
 
-def binned(n):
-    return n if n <= 64 else math.ceil(2.0 ** (math.floor(math.log2(n) * 16) / 16))
-
-
 def model(train, order):
     """Counts of each order, tokens, types, discount and priors, from plain dictionaries."""
     counts = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
     n, v = sum(counts[0].values()), len(counts[0])
     once, twice = (sum(x == y for x in counts[0].values()) for y in (1, 2))
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    hashes = {w: word_hashes([w.encode()]) for (w,) in counts[0]}
-
-    def key(gram):
-        h = hashes[gram[0]]
-        for w in gram[1:]:
-            h = longer(h, hashes[w])
-        return int(h[0])
-
-    with np.errstate(over="ignore"):
-        share = [counts[0], *({g: c for g, c in x.items() if key(g) % SHARE == 0} for x in counts[1:])]
-    priors = []
-    for k in range(1, order):
-        histories = Counter(binned(c) for g, c in share[k - 1].items() if g[-1] != "\n")
-        distinct = (SHARE if k == 1 else 1) * len(share[k])
-        expected = lambda m: sum(h * sum(m / (m + j) for j in range(c)) for c, h in histories.items())  # noqa: E731, B023
-        low, high = math.log(1e-3), math.log(1e9)
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if expected(math.exp(mid)) < distinct * (1 - 1e-6) else (low, mid)
-        priors.append(math.exp((low + high) / 2))
-    return counts, n, v, discount, priors
+    return counts, n, v, discount, [PRIORS[min(k, len(PRIORS)) - 1] for k in range(1, order)]
 
 
 def probability(w, history, counts, n, v, discount, priors):
@@ -99,6 +75,11 @@ def test_other_orders_in_many_blocks(spark, order):
     same(score(tiny, order=order, block_bytes=50_000), [(r.doc_id, r.text) for r in tiny.collect()], order)
 
 
+def test_forty_short_texts_score_by_the_same_rule(spark):
+    rows = [(i, f"a{i % 3} b{i % 4} c{i % 2} a{i % 3}", 0) for i in range(40)]
+    same(score(spark.createDataFrame(rows, "doc_id long, text string, n int"), block_bytes=100), [r[:2] for r in rows])
+
+
 def test_odd_rows(spark):
     odd = spark.createDataFrame(ODD, "doc_id long, text string, block int")
     same(score(odd, block_bytes=1000), [r[:2] for r in ODD])
@@ -166,12 +147,3 @@ def test_packing_of_keys_and_counts_loses_nothing():
         shared = rng.integers(0, 2, n) > 0
         total = own + shared * rng.integers(0, 5000, n)
         assert all((x == y).all() for x, y in zip(unpacked_answers(packed_answers(total, shared), own), (total, shared), strict=True))
-
-
-def test_prior_gives_back_the_strength_of_its_process():
-    rng = np.random.default_rng(2)
-    histories, distinct = Counter(), 0
-    for c in rng.integers(1, 60, 3000).tolist():
-        histories[c] += 1
-        distinct += int((rng.random(c) < 7.0 / (7.0 + np.arange(c))).sum())
-    assert prior(histories, distinct) == pytest.approx(7.0, rel=0.1)
