@@ -15,7 +15,7 @@ from ..plans import walk_forward as wf
 from ..sources import stand_in
 from ..sources.scratch import stored
 from .features import tidy
-from .prelude import query, r6
+from .prelude import DAILY, query, r6
 
 FEATURES = ("x_signal", "x_cap", "x_other", "x_n_items")
 PAIR = ("signal", "n_items")
@@ -154,17 +154,10 @@ def m9_components(spark, sf_dir):
     return wf.walk_forward(rows, found, columns, fit=inter.basis_candidates(bases), per=("estimator",), complete=True)
 
 
-_DAILY = """
-daily0 AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS permno, max(l_discount) AS signal, CASE WHEN max(l_linenumber) > 1 THEN floor(sum(CAST(round(l_tax * 100) AS BIGINT)) * 100 / count(*)) / 10000.0 - 0.04 END AS y,
-    sum(l_quantity) AS cap, max(l_linenumber) AS n_items, min(l_partkey) AS other FROM lineitem GROUP BY 1, 2),
-days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS code, strftime(date, '%Y-%m') AS month FROM (SELECT DISTINCT date FROM daily0)),
-daily AS (SELECT * FROM daily0 JOIN days USING (date))"""
-
-
 def _ridge_sql() -> str:
     penalties = ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(wf.PAST_RIDGE))
     return (
-        _DAILY
+        DAILY
         + f""",
 ends AS (SELECT m.month, max(d.code) AS last FROM (SELECT DISTINCT month FROM days) m JOIN days d ON d.date <= CAST(m.month || '-01' AS DATE) - 2 GROUP BY m.month HAVING max(d.code) >= 252),
 fitted AS (SELECT e.month, signal, n_items, y FROM ends e JOIN daily d ON d.code BETWEEN e.last - 251 AND e.last),

@@ -13,7 +13,7 @@ from ..plans import networks, splits
 from ..sources import stand_in
 from ..sources.scratch import stored
 from .features import tidy
-from .prelude import FORECASTS, PANEL, query, r6
+from .prelude import DAILY, FORECASTS, PANEL, query, r6
 
 
 def r(x: float) -> float:
@@ -94,11 +94,30 @@ def e9_subgroups(spark, sf_dir):
     return tidy(ev.rank_ic(rows, "prediction", "y", ("date", "model_id", "size")))
 
 
-def e10_horizons(spark, sf_dir):
+HORIZONS = (3, 5, 10, 21, 42, 63)
+
+
+def _horizons(spark, sf_dir):
+    """Rank correlations with the sums of the next h labels; null where there are fewer."""
     w = Window.partitionBy("permno").orderBy("date")
-    p = stand_in.panel(spark, sf_dir).withColumns({f"y{h}": F.sum("y").over(w.rowsBetween(1, h)) for h in (3, 6)})
-    long = p.select("date", "signal", F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.round(F.col(f"y{h}"), 8).alias("y")) for h in (3, 6)))).alias("t")).select("date", "signal", "t.horizon", "t.y")
-    return tidy(ev.rank_ic(long, "signal", "y", ("date", "horizon")))
+    ahead = {f"y{h}": F.when(F.count("y").over(w.rowsBetween(1, h)) == h, F.sum("y").over(w.rowsBetween(1, h))) for h in HORIZONS}
+    p = stand_in.panel(spark, sf_dir).withColumns(ahead)
+    long = p.select("date", "signal", F.explode(F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.round(F.col(f"y{h}"), 8).alias("y")) for h in HORIZONS))).alias("t")).select("date", "signal", "t.horizon", "t.y")
+    return ev.rank_ic(long, "signal", "y", ("date", "horizon"))
+
+
+def e10_horizons(spark, sf_dir):
+    return tidy(_horizons(spark, sf_dir))
+
+
+def e10_horizon_means(spark, sf_dir):
+    """Means with errors over max(5, h - 1) lags, as overlapping labels need, on the calendar of all months."""
+    ic = stored(ev.on_calendar(_horizons(spark, sf_dir), months(spark, sf_dir), ["horizon"]), "horizons")
+    out = None
+    for h in HORIZONS:
+        one = ev.calendar_hac(ic.where(F.col("horizon") == h), "rank_ic", max(5, h - 1), ["horizon"], with_p=False)
+        out = one if out is None else out.unionByName(one)
+    return tidy(out.select("horizon", F.col("hac_lags").cast("long").alias("hac_lags"), "n", "mean", "se"))
 
 
 def e11_periods(spark, sf_dir):
@@ -119,6 +138,16 @@ def e14_clustered_ols(spark, sf_dir):
     return tidy(ev.clustered_ols(d, "signal", "y", ["permno"], ["year"]))
 
 
+def e14_clustered_family(spark, sf_dir):
+    """Slopes of all specifications, clustered by ticker-month and by ticker-day."""
+    d = stand_in.daily_panel(spark, sf_dir).withColumns({"ticker": F.concat(F.lit("S"), (F.col("permno") % 20).cast("string")), "year": F.year("date"), "month": F.trunc("date", "MM")})
+    left, right, n = k.tie_interval(["year"], "cap")
+    d = d.withColumn("decile", F.least(F.lit(9), F.floor((left + right) / 2 * 10 / n)))
+    specs = {"all": F.lit(True), "before 2000": F.col("year") < 2000, "no extremes": (F.col("signal") > 0) & (F.col("signal") < 0.1)}
+    specs |= {f"{c} items or more": F.col("n_items") >= c for c in (2, 4, 6)} | {f"decile {i}": F.col("decile") == i for i in range(10)} | {f"year {y}": F.col("year") == y for y in range(1995, 2002)}
+    return tidy(ev.clustered_family(d, "signal", "y", specs, {"ticker-month": [F.col("ticker"), F.col("month")], "ticker-day": [F.col("ticker"), F.col("date")]}))
+
+
 def e15_factor_regression(spark, sf_dir):
     """Monthly mean returns on two factors with five HAC lags."""
     from ..plans.regressions import factor_regression
@@ -158,6 +187,25 @@ def e21_composition(spark, sf_dir):
     return tidy(ic.agg(F.avg("rank_ic").alias("ic"), F.count("rank_ic").alias("n_dates")))
 
 
+def e21_composition_checks(spark, sf_dir):
+    """Rank correlation by count of items, by size, by both, and by the sign of the last label, each over all and by year."""
+    from ..functions.scalar import cut
+
+    w = Window.partitionBy("permno").orderBy("date")
+    d = stand_in.panel(spark, sf_dir).withColumns({"bucket": cut(F.col("n_items"), [0, 4, 7, 10, 1000]).cast("string"), "size": k.terciles(["date"], "cap").cast("string"), "last": F.when(F.lag("y").over(w) > 0, "up").otherwise("down")})
+    groups = F.array(F.concat(F.lit("items "), "bucket"), F.concat(F.lit("size "), "size"), F.concat(F.lit("items "), "bucket", F.lit(", size "), "size"), F.concat(F.lit("last "), "last"))
+    ic = ev.rank_ic(d.select("date", "signal", "y", F.explode(groups).alias("group")), "signal", "y", ("date", "group")).withColumn("year", F.year("date").cast("long"))
+    sets = ic.groupingSets([[F.col("group")], [F.col("group"), F.col("year")]], "group", "year")
+    return tidy(sets.agg(F.avg("rank_ic").alias("ic"), F.count("rank_ic").alias("n_dates")))
+
+
+def e22_weighting_family(spark, sf_dir):
+    """Spreads of five and ten bins, by equal and cap weight, among all and by size, over all and by year."""
+    sized = stand_in.panel(spark, sf_dir).select("date", "permno", k.terciles(["date"], "cap").cast("string").alias("size"))
+    rows = forecasts(spark, sf_dir).join(sized, ["date", "permno"])
+    return tidy(ev.spreads_by_group(rows, "y", "cap", F.array(F.lit("all"), F.concat(F.lit("size "), "size")), (5, 10), 2))
+
+
 def e22_weighting_check(spark, sf_dir):
     return tidy(_daily(spark, sf_dir).groupBy("model_id", F.year("date").cast("long").alias("year")).agg(F.avg("ew_spread_bp").alias("ew"), F.avg("cap_spread_bp").alias("cap")))
 
@@ -400,6 +448,41 @@ scaler AS (SELECT feature, sum(w * x) AS mean, sqrt(sum(w * x * x) - sum(w * x)
 z AS (SELECT date, permno, w, q, (CASE feature WHEN 'x_signal' THEN 0 WHEN 'x_cap' THEN 1 WHEN 'x_other' THEN 2 ELSE 3 END) AS i, (x - mean) / scale AS z FROM (UNPIVOT fit0 ON x_signal, x_cap, x_other, x_n_items INTO NAME feature VALUE x) JOIN scaler USING (feature))"""
 )
 
+_AHEAD = PANEL + ", f AS (" + " UNION ALL ".join(f"SELECT date, signal, CAST({h} AS BIGINT) AS horizon, CASE WHEN count(y) OVER w = {h} THEN round(sum(y) OVER w, 8) END AS y FROM panel WINDOW w AS (PARTITION BY permno ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in HORIZONS) + ")," + _ic("f", "signal", "date, horizon")
+
+
+def _family_sql() -> str:
+    specs = [("all", "true"), ("before 2000", "year < 2000"), ("no extremes", "signal > 0 AND signal < 0.1"), *((f"{c} items or more", f"n_items >= {c}") for c in (2, 4, 6)), *((f"decile {i}", f"decile = {i}") for i in range(10)), *((f"year {y}", f"year = {y}") for y in range(1995, 2002))]
+    each = " UNION ALL ".join(f"SELECT '{name}' AS spec, * FROM d WHERE {on}" for name, on in specs)
+    return query(
+        DAILY
+        + f""",
+d AS (SELECT *, 'S' || (permno % 20) AS ticker, year(date) AS year, least(9, floor((rank() OVER (PARTITION BY year(date) ORDER BY cap) - 1 + count(*) OVER (PARTITION BY year(date), cap) / 2) * 10 / count(*) OVER (PARTITION BY year(date)))) AS decile FROM daily),
+s AS (SELECT spec, c.clustering, signal, y, CASE WHEN c.clustering = 'ticker-day' THEN ticker || date ELSE ticker || month END AS cluster FROM ({each}), (VALUES ('ticker-month'), ('ticker-day')) c(clustering) WHERE y IS NOT NULL),
+b AS (SELECT spec, clustering, avg(signal) AS mx, avg(y) AS my, regr_slope(y, signal) AS beta, regr_sxx(y, signal) AS sxx, count(*) AS n FROM s GROUP BY ALL),
+k AS (SELECT spec, clustering, cluster, sum((signal - mx) * (y - my - beta * (signal - mx))) AS g FROM s JOIN b USING (spec, clustering) GROUP BY ALL),
+v AS (SELECT spec, clustering, sum(g * g) AS meat, count(*) AS n_clusters FROM k GROUP BY ALL)""",
+        f"SELECT spec, clustering, {r6('CASE WHEN n >= 10 THEN beta END')} AS beta, {r6('CASE WHEN n >= 10 THEN sqrt(meat) / sxx * sqrt(n_clusters / (n_clusters - 1) * (n - 1) / (n - 2)) END')} AS se, n, n_clusters FROM b JOIN v USING (spec, clustering)",
+    )
+
+
+def _spreads_sql() -> str:
+    by = 'date, model_id, "group"'
+    groups = """, sized AS (SELECT date, permno, CAST(CAST(least(2, floor((rank() OVER w - 1 + count(*) OVER (PARTITION BY date, cap) / 2) * 3 / count(*) OVER (PARTITION BY date))) AS INTEGER) AS VARCHAR) AS size FROM panel WINDOW w AS (PARTITION BY date ORDER BY cap)),
+f AS (SELECT f.date, permno, model_id, prediction, y, cap, unnest(['all', 'size ' || size]) AS "group" FROM forecasts f JOIN sized USING (date, permno))"""
+    parts, tables = [], []
+    for b in (5, 10):
+        for name, weight in (("ew", None), ("cap", "cap")):
+            body = _bins(b, 2, weight, "f", by)
+            for cte in ("t", "s", "g", "bins"):
+                body = body.replace(f"\n{cte} AS", f"\n{name}{b}_{cte} AS").replace(f"FROM {cte} ", f"FROM {name}{b}_{cte} ").replace(f"FROM {cte})", f"FROM {name}{b}_{cte})")
+            body = body.replace("SELECT t.*", f"SELECT {name}{b}_t.*")
+            parts.append(body + f""",
+{name}{b} AS (SELECT {by}, (max(ret) FILTER (bin = {b}) - max(ret) FILTER (bin = 1)) * 1e4 AS {name} FROM {name}{b}_bins GROUP BY ALL)""")
+        tables.append(f'SELECT CAST({b} AS BIGINT) AS bins, * FROM (SELECT DISTINCT {by} FROM f) LEFT JOIN ew{b} USING ({by}) LEFT JOIN cap{b} USING ({by})')
+    return query(FORECASTS + groups + "," + ",".join(parts), f"""SELECT bins, model_id, "group", year(date) AS year, {r6('avg(ew)')} AS ew, {r6('avg(cap)')} AS cap, count(ew) AS n_dates FROM ({" UNION ALL ".join(tables)}) GROUP BY GROUPING SETS ((bins, model_id, "group"), (bins, model_id, "group", year(date)))""")
+
+
 QUERIES = {
     "e1_rank_ic": (e1_rank_ic, query(FORECASTS + "," + _ic(), f"SELECT date, model_id, {r6('rank_ic')} AS rank_ic, n FROM ic")),
     "e2_legacy_rank_ic": (e2_legacy_rank_ic, query(FORECASTS + "," + _ic(zero="NULL"), f"SELECT date, model_id, {r6('rank_ic')} AS rank_ic, n FROM ic")),
@@ -413,7 +496,13 @@ QUERIES = {
     "e8_contrasts": (e8_contrasts, query(FORECASTS + "," + _ic() + "," + _CAL + ", pairs AS (SELECT * FROM (VALUES ('b-a', 'b', 'a'), ('c-a', 'c', 'a'), ('d-a', 'd', 'a')) t(contrast, a, b)), diff AS (SELECT contrast, x.date, x.rank_ic - z.rank_ic AS d FROM pairs p JOIN cal x ON x.model_id = p.a JOIN cal z ON z.model_id = p.b AND z.date = x.date)," + _hac(5, "diff", "d", "contrast", "h5") + "," + _hac(21, "diff", "d", "contrast", "h21"), " UNION ALL ".join(f"SELECT contrast, CAST({j} AS BIGINT) AS hac_lags, n, {r6('mean')} AS mean, {r6('se')} AS se FROM h{j}" for j in (5, 21)))),
     "e8_adjusted": (e8_adjusted, None),
     "e9_subgroups": (e9_subgroups, query(FORECASTS + ", sized AS (SELECT date, permno, CAST(least(2, floor((rank() OVER w - 1 + count(*) OVER (PARTITION BY date, cap) / 2) * 3 / count(*) OVER (PARTITION BY date))) AS BIGINT) AS size FROM panel WINDOW w AS (PARTITION BY date ORDER BY cap)), f AS (SELECT f.*, size FROM forecasts f JOIN sized USING (date, permno))," + _ic("f", by="date, model_id, size"), f"SELECT date, model_id, size, {r6('rank_ic')} AS rank_ic, n FROM ic")),
-    "e10_horizons": (e10_horizons, query(PANEL + ", f AS (" + " UNION ALL ".join(f"SELECT date, signal, CAST({h} AS BIGINT) AS horizon, round(sum(y) OVER (PARTITION BY permno ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING), 8) AS y FROM panel" for h in (3, 6)) + ")," + _ic("f", "signal", "date, horizon"), f"SELECT date, horizon, {r6('rank_ic')} AS rank_ic, n FROM ic")),
+    "e10_horizons": (e10_horizons, query(_AHEAD, f"SELECT date, horizon, {r6('rank_ic')} AS rank_ic, n FROM ic")),
+    "e10_horizon_means": (e10_horizon_means, query(_AHEAD + ", cal AS (SELECT h.horizon, d.date, i.rank_ic FROM (SELECT DISTINCT horizon FROM ic) h CROSS JOIN (SELECT DISTINCT date FROM panel) d LEFT JOIN ic i USING (horizon, date))," + ",".join(_hac(max(5, h - 1), f"(SELECT * FROM cal WHERE horizon = {h})", "rank_ic", "horizon", f"h{h}") for h in HORIZONS), " UNION ALL ".join(f"SELECT horizon, CAST({max(5, h - 1)} AS BIGINT) AS hac_lags, n, {r6('mean')} AS mean, {r6('se')} AS se FROM h{h}" for h in HORIZONS))),
+    "e14_clustered_family": (e14_clustered_family, _family_sql()),
+    "e21_composition_checks": (e21_composition_checks, query(PANEL + """, f0 AS (SELECT *, CAST(CASE WHEN n_items <= 4 THEN 0 WHEN n_items <= 7 THEN 1 WHEN n_items <= 10 THEN 2 ELSE 3 END AS VARCHAR) AS bucket,
+    CAST(CAST(least(2, floor((rank() OVER (PARTITION BY date ORDER BY cap) - 1 + count(*) OVER (PARTITION BY date, cap) / 2) * 3 / count(*) OVER (PARTITION BY date))) AS INTEGER) AS VARCHAR) AS size, CASE WHEN lag(y) OVER (PARTITION BY permno ORDER BY date) > 0 THEN 'up' ELSE 'down' END AS last FROM panel),
+f AS (SELECT date, signal, y, unnest(['items ' || bucket, 'size ' || size, 'items ' || bucket || ', size ' || size, 'last ' || last]) AS "group" FROM f0),""" + _ic("f", "signal", 'date, "group"'), f"""SELECT "group", year(date) AS year, {r6('avg(rank_ic)')} AS ic, count(rank_ic) AS n_dates FROM ic GROUP BY GROUPING SETS (("group"), ("group", year(date)))""")),
+    "e22_weighting_family": (e22_weighting_family, _spreads_sql()),
     "e11_periods": (e11_periods, query(FORECASTS + "," + _ic() + "," + _CAL + ", p AS (SELECT * FROM (VALUES ('all', 1990, 2010), ('early', 1995, 1997), ('late', 1998, 2001)) t(period, lo, hi))", f"SELECT model_id, period, {r6('avg(rank_ic)')} AS mean, {r6('stddev_samp(rank_ic)')} AS sd, count(rank_ic) AS n_days FROM cal JOIN p ON year(date) BETWEEN lo AND hi GROUP BY model_id, period")),
     "e12_out_of_sample": (e12_out_of_sample, query(FORECASTS, f"SELECT model_id, year(date) AS year, count(*) AS n, {r6('sum((y - prediction * 0.1) ** 2) / count(*)')} AS mse, {r6('CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - prediction * 0.1) ** 2) / (var_pop(y) * count(*)) END')} AS r2 FROM forecasts GROUP BY ALL")),
     "e13_clustered_slope": (e13_clustered_slope, query(PANEL + """, d AS (SELECT permno, date, signal - 0.05 AS x, y FROM panel), b AS (SELECT sum(x * x) AS sxx, sum(x * y) / sum(x * x) AS beta, count(*) AS n FROM d), s AS (SELECT permno, date, x * (y - beta * x) AS s FROM d, b),

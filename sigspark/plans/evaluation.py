@@ -15,6 +15,7 @@ from ..functions.normal import Z95, two_sided_p
 from ..functions.ranks import tie_interval, with_tie_interval
 from ..functions.scalar import finite
 from ..operators.grid import complete
+from ..sources.scratch import stored
 
 
 def _complete_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -215,6 +216,44 @@ def clustered_ols(df: DataFrame, x: str, y: str, cluster: Sequence[str], by: Seq
     return out.select(*by, F.when(enough, F.col("beta")).alias("beta"), F.when(enough, F.col("se0") * adjust).alias("se"), "n", "n_clusters")
 
 
+def clustered_family(df: DataFrame, x: str, y: str, specs: dict[str, Column], clusterings: dict[str, Sequence[Column]], least: int = 10) -> DataFrame:
+    """spec, clustering, beta, se, n, n_clusters: y on a constant and x over the rows of every specification, under every clustering.
+
+    One pass adds up counts and products by (specification, clustering, cluster); slopes are sums of these, and a
+    cluster's score follows from its sums and the slope. Null with fewer than ``least`` rows, or where x does not vary; the error is
+    null for a single cluster.
+    """
+    d = _complete_rows(df, x, y)
+    held = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in specs.items())))
+    each = F.array(*(F.struct(F.lit(name).alias("clustering"), F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)).alias("cluster")) for name, columns in clusterings.items()))
+    rows = d.select(F.col(x).alias("x"), F.col(y).alias("y"), F.explode(held).alias("spec"), each.alias("c")).select("x", "y", "spec", F.explode("c").alias("c"))
+    products = {"n": F.count("*"), "x": F.sum("x"), "y": F.sum("y"), "xx": F.sum(F.col("x") * F.col("x")), "xy": F.sum(F.col("x") * F.col("y"))}
+    clusters = stored(rows.groupBy("spec", "c.clustering", "c.cluster").agg(*(v.alias(k) for k, v in products.items())), "cluster-sums")
+    total = clusters.groupBy("spec", "clustering").agg(F.count("*").alias("n_clusters"), *(F.sum(k).alias(f"t_{k}") for k in products))
+    sxx, sxy = F.col("t_xx") - F.col("t_x") * F.col("t_x") / F.col("t_n"), F.col("t_xy") - F.col("t_x") * F.col("t_y") / F.col("t_n")
+    total = total.withColumns({"mx": F.col("t_x") / F.col("t_n"), "my": F.col("t_y") / F.col("t_n"), "sxx": sxx}).withColumn("beta", F.when((F.col("t_n") >= least) & (F.col("sxx") > 1e-14 * F.col("t_xx")), sxy / F.col("sxx")))
+    centred = lambda xy, a, b, ma, mb: F.col(xy) - F.col(ma) * F.col(b) - F.col(mb) * F.col(a) + F.col("n") * F.col(ma) * F.col(mb)
+    score_ = centred("xy", "x", "y", "mx", "my") - F.col("beta") * centred("xx", "x", "x", "mx", "mx")
+    scored = clusters.join(F.broadcast(total), ["spec", "clustering"]).groupBy("spec", "clustering").agg(F.sum(score_ * score_).alias("meat"), *(F.first(c).alias(c) for c in ("beta", "sxx", "n_clusters", "t_n")))  # declared specifications
+    adjust = F.sqrt(F.try_divide(F.col("n_clusters"), F.col("n_clusters") - 1) * F.try_divide(F.col("t_n") - 1, F.col("t_n") - 2))
+    return scored.select("spec", "clustering", "beta", F.when(F.col("beta").isNotNull(), F.sqrt("meat") / F.col("sxx") * adjust).alias("se"), F.col("t_n").alias("n"), "n_clusters")
+
+
+def spreads_by_group(long: DataFrame, target: str, cap: str, groups: Column, bins: Sequence[int], least_per_bin: int) -> DataFrame:
+    """bins, model_id, group, year (null: all), ew, cap, n_dates: mean spreads of equal and cap weight in every group of
+    ``groups`` (an array of names for each row), by year and over all, from one ranking for each number of bins."""
+    rows = long.withColumn("group", F.explode(groups))
+    out = None
+    for b in bins:
+        one = score(rows, target, cap, ("date", "model_id", "group"), b, least_per_bin=least_per_bin).select(F.lit(b).cast("long").alias("bins"), "date", "model_id", "group", "ew_spread_bp", "cap_spread_bp")
+        out = one if out is None else out.unionByName(one)
+    keys = ["bins", "model_id", "group"]
+    yearly = out.withColumn("year", F.year("date").cast("long"))
+    c = lambda *names: [F.col(n) for n in names]
+    sets = yearly.groupingSets([c(*keys), c(*keys, "year")], *keys, "year")
+    return sets.agg(F.avg("ew_spread_bp").alias("ew"), F.avg("cap_spread_bp").alias("cap"), F.count("ew_spread_bp").alias("n_dates"))
+
+
 def signal_weighted(df: DataFrame, signals: Sequence[str], ret: str, by: Sequence[str] = ("date",)) -> DataFrame:
     """Long and short returns weighted by the size of the signals' product."""
     product = F.lit(1.0)
