@@ -47,11 +47,24 @@ def m1_m5_walk_forward(spark, sf_dir):
     return wf.walk_forward(panel, tasks(splits.calendar_list(panel)), FEATURES)
 
 
+def m12_history(spark, sf_dir):
+    """Forecasts of every month on 504, 252 or 756 sessions, whichever validates best."""
+    panel = _panel(spark, sf_dir)
+    days = splits.calendar_list(panel)
+    return wf.history_forecasts(panel, {h: tasks(days, h) for h in (504, 252, 756)}, FEATURES, fit=lambda m: md.candidates(m, shares=(), mixes=()))
+
+
 def _windows(panel):
     days = splits.calendar_list(panel)
     return list(wf.legacy_spans(days, _months(days)))
 
 
+def m7_cross_validated(spark, sf_dir):
+    """Forecasts of every month by ridge, lasso and elastic net tuned on five folds of the 252 sessions before it."""
+    panel = _panel(spark, sf_dir)
+    return wf.cross_validated_forecasts(panel, _windows(panel), FEATURES, "q")
+
+
 def m6_past_forecasts(spark, sf_dir):
     """Forecasts of every month, with penalties by the record of the 12 months before, for four estimators and both criteria."""
     panel = _panel(spark, sf_dir)
@@ -191,6 +204,8 @@ ready AS (SELECT date, permno, {", ".join(map(rank, (*CONTROLS, *SOCIAL)))}, {fl
 
 
 QUERIES = {
+    "m7_cross_validated": (m7_cross_validated, None),
+    "m12_history": (m12_history, None),
     "m14_interactions": (m14_interactions, _basis_sql()),
     "m14_bases": (m14_bases, None),
     "m8_group_grid": (m8_group_grid, None),

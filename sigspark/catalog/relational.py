@@ -13,6 +13,7 @@ from ..plans import messages as m
 from ..plans import panel as pn
 from ..plans import stock_day as f
 from ..sources import stand_in, tables
+from .features import _attention_sql as attention_sql
 from .features import rows, tidy
 from .prelude import CALENDAR, FORECASTS, MARKET, MESSAGES, PANEL, ROUTED, STOCK_DAYS, query, r6
 
@@ -215,7 +216,7 @@ def w3_w5_controls(spark, sf_dir):
 
 
 def w5_ranked_controls(spark, sf_dir):
-    return tidy(pn.ranked_controls(pn.controls(stand_in.market(spark, sf_dir)).select("permno", "date", "char_ret1", "char_log_price", "char_volatility21")))
+    return tidy(pn.ranked_controls(w3_w5_controls(spark, sf_dir)))
 
 
 def w7_running(spark, sf_dir):
@@ -363,6 +364,13 @@ c AS (SELECT permno, date, code, {", ".join(f"{x} AS {n}" for n, x in items.item
     )
 
 
+def _ranked_controls_sql() -> str:
+    names = sorted({*(f"char_ret{h}" for h in pn.CONTROL_RETURNS), "char_momentum252_skip21", "char_log_market_cap", "char_log_price", "char_turnover1", "char_turnover21", "char_log_dollar_volume1", "char_log_dollar_volume21", "char_volatility21", "char_volatility63", "char_max_return21", "char_amihud21"})
+    rank = lambda c: f"CASE WHEN {c} IS NULL THEN 0 ELSE 2 * ((rank() OVER (PARTITION BY date, {c} IS NULL ORDER BY {c}) - 1 + count(*) OVER (PARTITION BY date, {c}) / 2) / count({c}) OVER (PARTITION BY date) - 0.5) END"
+    columns = ", ".join(f"{r6(rank(c))} AS {c}, CAST({c} IS NULL AS BIGINT) AS missing__{c}" for c in names)
+    return f"SELECT permno, date, {columns} FROM ({_controls_sql()})"
+
+
 QUERIES = {
     "s5_drop_bad_keys": (s5_drop_bad_keys, "SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS key, p_partkey FROM part WHERE p_size >= 17"),
     "s7_calendar_from_data": (s7_calendar_from_data, "SELECT date, row_number() OVER (ORDER BY date) - 1 AS code FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)"),
@@ -375,7 +383,7 @@ QUERIES = {
     "p13_scalar_functions": (p13_scalar_functions, f"SELECT event_id, {r6('ln(1 + value)')} AS log1p, {r6('ln(value)')} AS ln, {r6('log10(value)')} AS log10, {r6('exp(value / 1000) - 1')} AS expm1, {r6('sqrt(value)')} AS sqrt, {r6('abs(value - 50)')} AS abs, {r6('least(greatest(value, 10), 90)')} AS clip FROM events"),
     "p14_guarded_ratio": (p14_guarded_ratio, f"SELECT l_orderkey, l_linenumber, {r6('CASE WHEN l_tax <> 0 THEN l_quantity / l_tax END')} AS or_null, {r6('CASE WHEN l_discount <> 0 THEN l_quantity / l_discount ELSE 0 END')} AS or_zero FROM lineitem"),
     "p17_finite": (p17_finite, "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 AND l_discount <> 0 THEN l_tax END AS tax FROM lineitem"),
-    "p16_fill_by_name": (p16_fill_by_name, None),
+    "p16_fill_by_name": (p16_fill_by_name, f"SELECT symbol, date, {', '.join(f'coalesce({c}, {v}::DOUBLE) AS {c}' for c, v in (('silence_gap_hours', 120), ('attention_hhi', 0)))}, coalesce(volume_diff, 0) AS volume_diff, coalesce(log_volume_change, 0::DOUBLE) AS log_volume_change FROM ({attention_sql()})"),
     "p18_p19_feature_columns": (p18_p19_feature_columns, "SELECT unnest(['net_sentiment', 'extreme_bullish_80', 'extreme_bullish_90', 'extreme_bearish_80', 'extreme_bearish_90', 'disagreement_index']) AS feature"),
     "p20_cut": (p20_cut, "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity > 0 AND l_quantity <= 1 THEN 0 WHEN l_quantity > 1 AND l_quantity <= 5 THEN 1 WHEN l_quantity > 5 AND l_quantity <= 20 THEN 2 WHEN l_quantity > 20 AND l_quantity <= 40 THEN 3 END AS BIGINT) AS bucket FROM lineitem"),
     "p21_agreement": (p21_agreement, query("flat AS (SELECT label, generate_subscripts(embedding, 1) AS place, unnest(embedding) AS x FROM embeddings), means AS (SELECT label, place, avg(CAST(x AS DOUBLE)) AS m, count(*) AS n FROM flat GROUP BY ALL), q AS (SELECT label, max(n) AS n, least(1, sum(m * m)) AS sq FROM means GROUP BY label)", f"SELECT CAST(label AS BIGINT) AS label, n AS embed_n, {r6('sqrt(sq)')} AS embed_norm, {r6('CASE WHEN n = 1 THEN 1 ELSE greatest(-1, least(1, (n * sq - 1) / (n - 1))) END')} AS embed_cos FROM q")),
@@ -399,7 +407,7 @@ QUERIES = {
     "w2_adjacent": (w2_adjacent, query(_SD + "," + _NEAR, "SELECT permno, date, CASE WHEN before = code - 1 THEN cap_before END AS lag_cap, CASE WHEN after = code + 1 THEN ret_after END AS next_session_ret, coalesce(after = code + 1, false) AS next_is_next_session FROM nb")),
     "e25_label_repair": (e25_label_repair, query(_SD + "," + _NEAR + ", fixed AS (SELECT permno, date, CASE WHEN coalesce(after = code + 1, false) OR code >= 27 THEN prc END AS x FROM nb)", f"SELECT permno, date, {r6(f'CASE WHEN x IS NOT NULL AND count(x) OVER ({_RANK}) >= 5 AND min(x) OVER ({_RANK}) < max(x) OVER ({_RANK}) THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END')} AS label FROM fixed")),
     "w3_w5_controls": (w3_w5_controls, _controls_sql()),
-    "w5_ranked_controls": (w5_ranked_controls, None),
+    "w5_ranked_controls": (w5_ranked_controls, _ranked_controls_sql()),
     "w7_running": (w7_running, f"SELECT event_id, row_number() OVER w - 1 AS n_before, {r6('coalesce(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS sum_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
     "w9_w14_ranks": (w9_w14_ranks, query(PANEL + ", p AS (SELECT date, permno, CASE WHEN n_items > 4 THEN signal END AS x FROM panel)", f"""SELECT date, permno, {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R} + 1) / 2 END")} AS average_rank, {r6(f"CASE WHEN x IS NOT NULL THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END")} AS centered,
     {r6(f"CASE WHEN x IS NOT NULL THEN (({_L} + {_R}) / 2 / {_N} - 0.5) * 2 ELSE 0 END")} AS feature, {r6(f"CASE WHEN x IS NOT NULL AND {_N} >= 10 AND min(x) OVER ({_RANK}) < max(x) OVER ({_RANK}) THEN ({_L} + {_R}) / 2 / {_N} - 0.5 END")} AS target,

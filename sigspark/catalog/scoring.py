@@ -95,6 +95,7 @@ def e9_subgroups(spark, sf_dir):
 
 
 HORIZONS = (3, 5, 10, 21, 42, 63)
+_FACTS = [("a", 300, 3), ("b", 100, 2), ("c", 100, 1)]
 
 
 def _horizons(spark, sf_dir):
@@ -120,6 +121,15 @@ def e10_horizon_means(spark, sf_dir):
     return tidy(out.select("horizon", F.col("hac_lags").cast("long").alias("hac_lags"), "n", "mean", "se"))
 
 
+def o4_m19_choices(spark, sf_dir):
+    """Every year's best model by mean rank correlation to 2 places, among equals the first declared, and the one of fewest parameters, then least depth."""
+    known = spark.createDataFrame(_FACTS, "model_id string, parameters long, depth long")
+    yearly = _ic_on_calendar(spark, sf_dir).groupBy(F.year("date").cast("long").alias("year"), "model_id").agg(F.round(F.avg("rank_ic"), 2).alias("ic")).join(F.broadcast(known), "model_id")  # a row a model
+    first = ev.first_within_tie(yearly, ["year"], "ic", ["model_id"]).select("year", "ic", F.col("model_id").alias("first"))
+    small = ev.first_within_tie(yearly, ["year"], "ic", ["parameters", "depth"]).select("year", F.col("model_id").alias("smallest"))
+    return first.join(small, "year")
+
+
 def e11_periods(spark, sf_dir):
     return tidy(ev.period_summary(_ic_on_calendar(spark, sf_dir), "rank_ic", [("all", 1990, 2010), ("early", 1995, 1997), ("late", 1998, 2001)]))
 
@@ -297,27 +307,6 @@ def m6_m11_refits(spark, sf_dir):
     return out
 
 
-def m7_cross_validated(spark, sf_dir):
-    fit, _, _ = _fit_block(spark, sf_dir)
-    out = [(name, c.estimator, c.penalty, c.mix, float(c.intercept)) for name, c in (("ridge", md.cross_validated(fit, 5, ridge=md.RIDGE)), ("enet", md.cross_validated(fit, 5, mixes=md.MIXES)))]
-    return spark.createDataFrame(out, "menu string, estimator string, penalty double, mix double, intercept double")
-
-
-def m12_history(spark, sf_dir):
-    """Validation score by length of history, and the choice."""
-    rows = _ready(spark, sf_dir)
-    scores = {}
-    for months_ in (12, 24, 36):
-        fit = md.equal_date_weights(rows.where(F.col("code").between(36 - months_, 35) & F.col("q").isNotNull()))
-        scaler = md.weighted_scaler(fit, FEATURES)
-        ready = lambda d, s=scaler: d.withColumn("features", md.scaled(FEATURES, s))
-        found = md.candidates(md.moments(ready(fit))[()], shares=(), mixes=())
-        _, ics = md.choose(ready(rows.where(F.col("code").between(37, 50))), found, "q")
-        scores[months_] = max(x for x in ics if x is not None)
-    best = md.select_history(scores, (24, 12, 36))
-    return spark.createDataFrame([(h, float(s), h == best) for h, s in scores.items()], "months long, ic double, chosen boolean")
-
-
 def m13_stability(spark, sf_dir):
     """The choice with each validation month left out."""
     fit, valid, _ = _fit_block(spark, sf_dir)
@@ -503,6 +492,7 @@ QUERIES = {
     CAST(CAST(least(2, floor((rank() OVER (PARTITION BY date ORDER BY cap) - 1 + count(*) OVER (PARTITION BY date, cap) / 2) * 3 / count(*) OVER (PARTITION BY date))) AS INTEGER) AS VARCHAR) AS size, CASE WHEN lag(y) OVER (PARTITION BY permno ORDER BY date) > 0 THEN 'up' ELSE 'down' END AS last FROM panel),
 f AS (SELECT date, signal, y, unnest(['items ' || bucket, 'size ' || size, 'items ' || bucket || ', size ' || size, 'last ' || last]) AS "group" FROM f0),""" + _ic("f", "signal", 'date, "group"'), f"""SELECT "group", year(date) AS year, {r6('avg(rank_ic)')} AS ic, count(rank_ic) AS n_dates FROM ic GROUP BY GROUPING SETS (("group"), ("group", year(date)))""")),
     "e22_weighting_family": (e22_weighting_family, _spreads_sql()),
+    "o4_m19_choices": (o4_m19_choices, query(FORECASTS + "," + _ic() + "," + _CAL + ", m AS (SELECT year(date) AS year, model_id, round(avg(rank_ic), 2) AS ic FROM cal GROUP BY ALL), k AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {n}, {d})" for m, n, d in _FACTS) + ") t(model_id, parameters, depth)), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ic DESC, model_id) AS a, row_number() OVER (PARTITION BY year ORDER BY ic DESC, parameters, depth) AS b FROM m JOIN k USING (model_id) WHERE ic IS NOT NULL)", "SELECT x.year, x.ic, x.model_id AS first, y.model_id AS smallest FROM r x JOIN r y USING (year) WHERE x.a = 1 AND y.b = 1")),
     "e11_periods": (e11_periods, query(FORECASTS + "," + _ic() + "," + _CAL + ", p AS (SELECT * FROM (VALUES ('all', 1990, 2010), ('early', 1995, 1997), ('late', 1998, 2001)) t(period, lo, hi))", f"SELECT model_id, period, {r6('avg(rank_ic)')} AS mean, {r6('stddev_samp(rank_ic)')} AS sd, count(rank_ic) AS n_days FROM cal JOIN p ON year(date) BETWEEN lo AND hi GROUP BY model_id, period")),
     "e12_out_of_sample": (e12_out_of_sample, query(FORECASTS, f"SELECT model_id, year(date) AS year, count(*) AS n, {r6('sum((y - prediction * 0.1) ** 2) / count(*)')} AS mse, {r6('CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - prediction * 0.1) ** 2) / (var_pop(y) * count(*)) END')} AS r2 FROM forecasts GROUP BY ALL")),
     "e13_clustered_slope": (e13_clustered_slope, query(PANEL + """, d AS (SELECT permno, date, signal - 0.05 AS x, y FROM panel), b AS (SELECT sum(x * x) AS sxx, sum(x * y) / sum(x * x) AS beta, count(*) AS n FROM d), s AS (SELECT permno, date, x * (y - beta * x) AS s FROM d, b),
@@ -525,8 +515,6 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "m4_ols_slope": (m4_ols_slope, query(_READY + ", one AS (SELECT * FROM z WHERE i = 0), s AS (SELECT sum(w * z * q) - sum(w * z) * sum(w * q) AS c, sum(w * z * z) - sum(w * z) * sum(w * z) AS v, sum(w * q) AS mq, sum(w * z) AS mz FROM one)", f"SELECT {r6('c / v')} AS beta, {r6('mq - mz * c / v')} AS intercept FROM s")),
     "m4_m5_candidates": (m4_m5_candidates, None),
     "m6_m11_refits": (m6_m11_refits, None),
-    "m7_cross_validated": (m7_cross_validated, None),
-    "m12_history": (m12_history, None),
     "m13_stability": (m13_stability, None),
     "m21_importance": (m21_importance, None),
     "m21_response": (m21_response, None),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import messages as m
-from ..sources import records, stand_in, tables
+from ..sources import leases, records, stand_in, tables
 from ..sources.scratch import scratch_path
 from .features import tidy
 from .prelude import MARKET, MESSAGES, PANEL, query, r6
@@ -46,6 +46,19 @@ def s10_append_routed(spark, sf_dir):
     return tidy(back.groupBy("year").agg(F.count("*").alias("n"), F.sum("y").alias("y")))
 
 
+def s11_leased_years(spark, sf_dir):
+    """Years of the panel written under a lease, with one left half-written by a run that died; a second run goes on from there."""
+    path = scratch_path(spark, "leased")
+    p = stand_in.panel(spark, sf_dir).select("date", "permno", "y")
+    first = leases.Lease(spark, path)
+    leases.copy_by_month(p.where(F.year("date") < 1998), path, first, unit="yyyy")
+    p.where("year(date) = 1998").limit(5).write.parquet(f"{path}/rows/month=1998/lease={first.number}")
+    first.release()
+    leases.copy_by_month(p, path, leases.Lease(spark, path), unit="yyyy")
+    back = leases.read_months(spark, path, "date date, permno long, y double")
+    return tidy(back.groupBy(F.col("month").cast("long").alias("year")).agg(F.count("*").alias("n"), F.sum("y").alias("y")))
+
+
 def s6_factors(spark, sf_dir):
     """Percent factor returns as decimals."""
     path = scratch_path(spark, "factors")
@@ -80,6 +93,7 @@ QUERIES = {
     "s3_s9_years": (s3_s9_years, query(MARKET, f"SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, {r6('sum(vol)')} AS vol FROM market WHERE year(date) IN (1996, 1999) GROUP BY 1")),
     "s4_records": (s4_records, "SELECT conv_id * 100 + turn + 100000 AS message_id, md5(trim(text)) AS body FROM conversations"),
     "s10_append_routed": (s10_append_routed, query(PANEL, f"SELECT year(date) AS year, count(*) AS n, {r6('sum(y)')} AS y FROM panel GROUP BY 1")),
+    "s11_leased_years": (s11_leased_years, query(PANEL, f"SELECT year(date) AS year, count(*) AS n, {r6('sum(y)')} AS y FROM panel GROUP BY 1")),
     "s6_factors": (s6_factors, query(PANEL, f"SELECT date, {r6('sum(n_items) % 7 / 100')} AS mkt, {r6('sum(n_items) % 5 / 100')} AS SMB FROM panel GROUP BY date")),
     "s8_bundle": (s8_bundle, query(PANEL, f"SELECT month(date) AS code, count(*) AS n, {r6('sum(y)')} AS y, {r6('sum(cap)')} AS cap FROM panel GROUP BY 1")),
     "registry_sizes": (registry_sizes, "SELECT * FROM (VALUES ('linear', 96::BIGINT), ('characteristics', 264::BIGINT), ('design', 114::BIGINT), ('interactions', 148::BIGINT)) t(study, n_models)"),

@@ -164,6 +164,13 @@ def contrasts(daily: DataFrame, specs: DataFrame, value: str, lags: Sequence[int
     return sized.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * F.col("family_size")))
 
 
+def first_within_tie(df: DataFrame, by: Sequence[str], score_: str, order: Sequence[str | Column], tie: float = 1e-12) -> DataFrame:
+    """Of each group the row within ``tie`` of the best score that comes first in ``order``; rows without a score lose."""
+    group = Window.partitionBy(*by)
+    near = df.withColumn("__best", F.max(score_).over(group)).where(F.col(score_) >= F.col("__best") - tie).drop("__best")
+    return near.withColumn("__place", F.row_number().over(group.orderBy(*order))).where("__place = 1").drop("__place")
+
+
 def period_summary(daily: DataFrame, value: str, periods: Sequence[tuple[str, int, int]]) -> DataFrame:
     """Mean, deviation and days of a daily series by model and declared period of years."""
     named = F.array(*(F.when(F.year("date").between(a, b), F.lit(name)) for name, a, b in periods))

@@ -33,6 +33,12 @@ Span = tuple[str, int, int]  # key, first and last session
 Fit = Callable[[md.Moments], Sequence[md.Candidate]]
 _FOUND = "key string, k int, estimator string, penalty double, mix double, beta array<double>, intercept double, mean array<double>, scale array<double>, n long"
 
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
+# The menus of cross-validation. 100 ridge penalties from 1e-6 to 1e6, eight mixing ratios, 100 steps down to a thousandth.
+CV_RIDGE = tuple(10.0 ** (-6 + 12 * i / 99) for i in range(100))
+CV_MIXES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+CV_STEPS, CV_LEAST = 100, 1e-3
+
 
 def block_bounds(spans: Sequence[Span]) -> list[int]:
     """First sessions of the blocks: between two of them no window begins or ends."""
@@ -82,6 +88,22 @@ def window_cells(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str]
     return running.join(F.broadcast(ends), both).groupBy("key", "cell").agg(F.sum(F.col("sign") * F.col("v")).alias("v"))  # four rows a window
 
 
+def _scaled_sums(cells: np.ndarray, v: np.ndarray, mean: np.ndarray, scale: np.ndarray, complete: bool = False) -> np.ndarray:
+    """Sums of products of (1, scaled columns, target) from those of (1, values, whether there, target)."""
+    p = len(mean)
+    side = (1 if complete else 2) * p + 2
+    flat = np.zeros(side * side + 1)
+    flat[cells[cells >= 0]] = v[cells >= 0]
+    half = flat[:-1].reshape(side, side)
+    half += np.triu(half, 1).T
+    to = np.zeros((p + 2, side))
+    to[0, 0] = to[-1, -1] = 1.0
+    at = np.arange(p)
+    to[1 + at, 1 + at] = 1.0 / scale
+    to[1 + at, 0 if complete else 1 + p + at] = -mean / scale
+    return to @ half @ to.T
+
+
 def _window_moments(cells: np.ndarray, v: np.ndarray, p: int, complete: bool) -> tuple[md.Moments, np.ndarray, np.ndarray]:
     """Moments of the scaled columns, with the means and scales: of all rows' finite values; a missing value is the mean."""
     m = np.zeros(3 * p)
@@ -92,17 +114,8 @@ def _window_moments(cells: np.ndarray, v: np.ndarray, p: int, complete: bool) ->
         mean = np.where(mass > 0, total / mass, 0.0)
         variance = np.where(mass > 0, square / mass - mean * mean, 0.0)
     scale = np.where(variance > np.maximum(1e-20, 1e-13 * mean * mean), np.sqrt(np.maximum(variance, 0)), 1.0)
-    side = (1 if complete else 2) * p + 2
-    flat = np.zeros(side * side + 1)
-    flat[cells[~scaler]] = v[~scaler]
-    half = flat[:-1].reshape(side, side)
-    half += np.triu(half, 1).T
-    to = np.zeros((p + 2, side))
-    to[0, 0] = to[-1, -1] = 1.0
-    at = np.arange(p)
-    to[1 + at, 1 + at] = 1.0 / scale
-    to[1 + at, 0 if complete else 1 + p + at] = -mean / scale
-    return md.centred(np.append((to @ half @ to.T).ravel(), flat[-1])), mean, scale
+    count = v[cells == ((1 if complete else 2) * p + 2) ** 2].sum()
+    return md.centred(np.append(_scaled_sums(cells, v, mean, scale, complete).ravel(), count)), mean, scale
 
 
 def fit_windows(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str], target: str, fit: Fit, by_date: bool = True, complete: bool = False) -> DataFrame:
@@ -117,8 +130,7 @@ def fit_windows(panel: DataFrame, spans: Sequence[Span], columns: Sequence[str],
             for k, c in enumerate(fit(m) if m.n else ()):
                 for name, value in (("key", rows["key"][0].as_py()), ("k", k), ("estimator", c.estimator), ("penalty", c.penalty), ("mix", c.mix), ("beta", c.beta.tolist()), ("intercept", c.intercept), ("mean", mean.tolist()), ("scale", scale.tolist()), ("n", m.n)):
                     out[name].append(value)
-        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
-        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], kinds[c.split()[1]]) for c in _FOUND.split(", ")})
+        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], _KINDS[c.split()[1]]) for c in _FOUND.split(", ")})
 
     return stored(window_cells(panel, spans, columns, target, by_date, complete).groupBy("key").applyInArrow(run, _FOUND), "walk-forward-fits")
 
@@ -235,6 +247,29 @@ def walk_forward(panel: DataFrame, found: Sequence[Task], columns: Sequence[str]
     return forecast(tested, chosen, columns).select(F.col("key").alias("month"), "date", "permno", "estimator", "penalty", "mix", "ic", "prediction")
 
 
+def history_forecasts(panel: DataFrame, by_history: dict[int, Sequence[Task]], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates) -> DataFrame:
+    """Forecasts of every test month by the best candidate of the best length of history: month, date, permno, history, estimator, penalty, mix, ic, prediction.
+
+    ``by_history``: sessions of the fit block -> tasks, in the order in which equal scores are settled. All
+    histories of a month are scored on its one validation block, in the same pass; months that lack one of them are left out.
+    """
+    order = {h: i for i, h in enumerate(by_history)}
+    common = set.intersection(*({t.month for t in found} for found in by_history.values()))
+    jobs = [(f"{t.month}/{h}", t) for h, found in by_history.items() for t in found if t.month in common]
+    fits = fit_windows(panel, [(key, t.fit_first, t.fit_last) for key, t in jobs], columns, target, fit)
+    daily = _cross_sections(rows_of(panel, [(key, t.valid_first, t.valid_last) for key, t in jobs]), fits, columns, target, _daily_ic, ["ic"])
+    parts = F.split("key", "/")
+    scored = fits.join(daily.groupBy("key", "k").agg(F.avg("ic").alias("ic")), ["key", "k"], "left").withColumns({"month": parts[0], "history": parts[1].cast("int")})
+    declared = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))[F.col("history")]
+    of = Window.partitionBy("month")
+    near = scored.withColumn("best", F.max("ic").over(of)).where((F.col("ic") >= F.col("best") - md.TIE) | F.col("best").isNull())
+    chosen = near.withColumn("place", F.row_number().over(of.orderBy(declared, "k"))).where("place = 1").drop("key").withColumnRenamed("month", "key")
+    chosen = stored(chosen.select("key", "history", "estimator", "penalty", "mix", "ic", "beta", "intercept", "mean", "scale"), "history-chosen")
+    tests = {t.month: (t.month, t.test_first, t.test_last) for _, t in jobs}
+    tested = rows_of(panel.select("code", "date", "permno", *columns), list(tests.values()))
+    return forecast(tested, chosen, columns).select(F.col("key").alias("month"), "date", "permno", "history", "estimator", "penalty", "mix", "ic", "prediction")
+
+
 def past_candidates(estimators: Sequence[str] = ("ols", "ridge", "lasso", "enet")) -> Fit:
     """Menu of the choice by past months, on standardised columns: penalties a row for ridge, shares for L1."""
 
@@ -291,6 +326,82 @@ def past_forecasts(panel: DataFrame, windows: Sequence[tuple[str, int, int, int,
     return forecast(tested, chosen, columns).select(F.col("key").alias("month"), "criterion", "estimator", "penalty", "mix", "date", "permno", "prediction")
 
 
+def _path(m: md.Moments, mix: float, penalties: Sequence[float]) -> list[np.ndarray]:
+    beta, out = None, []
+    for a in penalties:
+        beta = md.elastic_net(m, a * mix, a * (1 - mix), beta)
+        out.append(beta.copy())
+    return out
+
+
+def _held_error(s: np.ndarray, beta: np.ndarray, intercept: float) -> float:
+    """Mean squared error on rows whose sums of products of (1, x, y) are ``s``."""
+    v = np.concatenate(([-intercept], -beta, [1.0]))
+    return float(v @ s @ v / s[0, 0])
+
+
+def cross_validated(folds: Sequence[np.ndarray]) -> dict[str, md.Candidate]:
+    """Ridge, lasso and elastic net with the penalty of best mean score over held-out folds, refitted on all.
+
+    ``folds``: sums of products of (1, scaled columns, target) of each fold, with a last row for counts left out. Training sums are
+    the whole's less a fold's. Ridge takes the greatest mean R squared of ``CV_RIDGE`` (sums of squares, not means, are
+    penalised); the others the least mean squared error along 100 penalties a ratio, from the least that zeroes all
+    on all rows down to a thousandth of it. Equal scores: the first, ratios in their order, ridge penalties rising.
+    """
+    folds = [f for f in folds if f[0, 0] > 0]
+    whole = sum(folds)
+    moments_of = lambda s: md.centred(np.append(s.ravel(), s[0, 0]))
+    all_rows = moments_of(whole)
+    spread = [f[-1, -1] / f[0, 0] - (f[0, -1] / f[0, 0]) ** 2 for f in folds]
+    scores: dict[str, list[tuple[float, float, float]]] = {"ridge": [], "lasso": [], "enet": []}
+    top = float(np.abs(all_rows.cross).max(initial=0.0))
+    menus = {mix: [top / mix * CV_LEAST ** (i / (CV_STEPS - 1)) for i in range(CV_STEPS)] for mix in CV_MIXES}
+    trained = [moments_of(whole - f) for f in folds]
+    ridge = [md.spectral(m, [a / m.n for a in CV_RIDGE]) for m in trained]
+    error = lambda m, f, beta: _held_error(f, beta, float(m.y_mean - m.x_mean @ beta))
+    for i, a in enumerate(CV_RIDGE):
+        scores["ridge"].append((float(np.mean([1 - error(m, f, r[i]) / v if v > 0 else 0.0 for m, f, r, v in zip(trained, folds, ridge, spread, strict=True)])), a, 0.0))
+    for mix, menu in menus.items():
+        paths = [_path(m, mix, menu) for m in trained]
+        for i, a in enumerate(menu):
+            found = (-float(np.mean([error(m, f, p[i]) for m, f, p in zip(trained, folds, paths, strict=True)])), a, mix)
+            scores["enet"].append(found)
+            if mix == 1.0:
+                scores["lasso"].append(found)
+    out = {}
+    for name, menu in scores.items():
+        _, a, mix = menu[int(np.argmax([s[0] for s in menu]))]
+        beta = md.spectral(all_rows, [a / all_rows.n])[0] if name == "ridge" else md.elastic_net(all_rows, a * mix, a * (1 - mix))
+        out[name] = md.Candidate(name, a, mix, beta, float(all_rows.y_mean - all_rows.x_mean @ beta), 0.0)
+    return out
+
+
+def cross_validated_forecasts(panel: DataFrame, windows: Sequence[tuple[str, int, int, int, int]], columns: Sequence[str], target: str, folds: int = 5) -> DataFrame:
+    """month, date, permno, estimator, penalty, mix, prediction: every month by ridge, lasso and elastic net tuned on contiguous folds of its window's sessions."""
+    spans = [(f"{key}/{i}", int(c[0]), int(c[-1])) for key, low, high, _, _ in windows for i, c in enumerate(np.array_split(np.arange(low, high + 1), folds)) if len(c)]
+    cells = window_cells(panel, spans, columns, target, by_date=False).withColumn("month", F.split("key", "/")[0])
+    p = len(columns)
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = np.array(rows["key"].to_pylist())
+        place, v = rows["cell"].to_numpy(), rows["v"].to_numpy()
+        order = np.argsort(place, kind="stable")
+        at, which = np.unique(place[order], return_inverse=True)
+        _, mean, scale = _window_moments(at, np.bincount(which, v[order]), p, False) if (place >= 0).any() else (None, None, None)
+        out: dict[str, list] = {c.split()[0]: [] for c in _FOUND.split(", ")}
+        if mean is not None:
+            sums = [_scaled_sums(place[names == n], v[names == n], mean, scale) for n in sorted(set(names.tolist()))]
+            if sum(s[0, 0] > 0 for s in sums) > 1:
+                for k, c in enumerate(cross_validated(sums).values()):
+                    for name, value in (("key", rows["month"][0].as_py()), ("k", k), ("estimator", c.estimator), ("penalty", c.penalty), ("mix", c.mix), ("beta", c.beta.tolist()), ("intercept", c.intercept), ("mean", mean.tolist()), ("scale", scale.tolist()), ("n", int(sum(s[0, 0] for s in sums)))):
+                        out[name].append(value)
+        return pa.table({c.split()[0]: pa.array(out[c.split()[0]], _KINDS[c.split()[1]]) for c in _FOUND.split(", ")})
+
+    fits = stored(cells.groupBy("month").applyInArrow(run, _FOUND), "cross-validated")
+    tested = rows_of(panel.select("code", "date", "permno", *columns), [(w[0], w[3], w[4]) for w in windows])
+    return forecast(tested, fits.drop("k", "n"), columns).select(F.col("key").alias("month"), "date", "permno", "estimator", "penalty", "mix", "prediction")
+
+
 def legacy_spans(calendar: Sequence[str], months: Iterable[str], window: int = 252) -> Iterator[tuple[str, int, int, int, int]]:
     """Sessions of the windows that end two calendar days before a month, and of the month; months without a whole window are left out."""
     from .splits import legacy_windows

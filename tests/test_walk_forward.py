@@ -161,3 +161,50 @@ def test_complete_columns_and_choices_per_estimator(spark, panel):
     assert sorted(a["estimator"].unique()) == ["ols", "ridge"] and np.allclose(a["prediction"], b["prediction"]) and np.allclose(a["ic"], b["ic"])
     one = wf.walk_forward(frame, tasks, COLUMNS, fit=fit).toPandas()
     assert len(a) == 2 * len(one)
+
+
+def test_cross_validation_equals_a_loop_over_folds(spark, panel, monkeypatch):
+    for name, value in (("CV_RIDGE", (0.01, 1.0, 30.0)), ("CV_MIXES", (0.5, 1.0)), ("CV_STEPS", 6)):
+        monkeypatch.setattr(wf, name, value)
+    windows = [("2001-01", 0, 29, 31, 34), ("2001-02", 8, 37, 39, 44)]
+    # the menus are constants of the module: workers get them with the function, so the fit is called here
+    cells = wf.window_cells(spark_panel(spark, panel), [(f"{w[0]}/{i}", w[1] + 6 * i, w[1] + 6 * i + 5) for w in windows for i in range(5)], COLUMNS, "q", False).toPandas()
+    for key, low, high, _, _ in windows:
+        m, mean, scale = refit(panel[panel["code"].between(low, high)], False)
+        own = cells[cells["key"].str.startswith(key)]
+        sums = [wf._scaled_sums(g["cell"].to_numpy(), g["v"].to_numpy(), mean, scale) for _, g in own.groupby("key")]
+        got = wf.cross_validated(sums)
+        rows = panel[panel["code"].between(low, high)]
+        z = ((rows[COLUMNS] - mean) / scale).fillna(0.0)[rows["q"].notna()]
+        y, fold = rows["q"].dropna(), (rows["code"][rows["q"].notna()] - low) // 6
+        scores = {}
+        for i in range(5):
+            a, b = fold != i, fold == i
+            za, ya, zb, yb = z[a].to_numpy(), y[a].to_numpy(), z[b].to_numpy(), y[b].to_numpy()
+            xm, ym = za.mean(axis=0), ya.mean()
+            gram, cross = (za - xm).T @ (za - xm) / len(za), (za - xm).T @ (ya - ym) / len(za)
+            mm = md.Moments(gram, cross, xm, ym, ((ya - ym) ** 2).mean(), len(za))
+            top = np.abs(m.cross).max()
+            menu = [("ridge", p, 0.0) for p in wf.CV_RIDGE] + [("enet", top / x * 1e-3 ** (j / 5), x) for x in wf.CV_MIXES for j in range(6)]
+            for name, p, x in menu:
+                beta = np.linalg.solve(gram + p / len(za) * np.eye(3), cross) if name == "ridge" else md.elastic_net(mm, p * x, p * (1 - x))
+                mse = ((yb - ym - (zb - xm) @ beta) ** 2).mean()
+                scores.setdefault((name, p, x), []).append(1 - mse / yb.var() if name == "ridge" else -mse)
+        best = lambda on: max((k for k in scores if on(k)), key=lambda k: np.mean(scores[k]))  # noqa: E731, B023
+        for name, on in (("ridge", lambda k: k[0] == "ridge"), ("enet", lambda k: k[0] == "enet"), ("lasso", lambda k: k[0] == "enet" and k[2] == 1.0)):
+            want = best(on)
+            assert np.isclose(got[name].penalty, want[1]) and got[name].mix == want[2], (key, name)
+            beta = np.linalg.solve(m.gram + want[1] / m.n * np.eye(3), m.cross) if name == "ridge" else md.elastic_net(m, want[1] * want[2], want[1] * (1 - want[2]))
+            assert np.allclose(got[name].beta, beta, atol=1e-7)
+
+
+def test_history_is_the_one_that_validates_best(spark, panel):
+    frame = spark_panel(spark, panel)
+    by_history = {h: [Task(f"2001-0{i}", 40 + i - h, 39 + i, 41 + i, 48 + i, 50 + i, 52 + i, 1) for i in (1, 2)] for h in (20, 10, 30)}
+    fit = lambda m: md.candidates(m, ridge=(1.0, 0.1), shares=(), mixes=())
+    got = wf.history_forecasts(frame, by_history, COLUMNS, fit=fit).toPandas()
+    alone = {h: wf.walk_forward(frame, t, COLUMNS, fit=fit).toPandas() for h, t in by_history.items()}
+    for month in ("2001-01", "2001-02"):
+        best = max(by_history, key=lambda h: alone[h][alone[h]["month"] == month]["ic"].iloc[0])
+        a, b = (d[d["month"] == month].sort_values(["date", "permno"]) for d in (got, alone[best]))
+        assert (a["history"] == best).all() and np.allclose(a["prediction"], b["prediction"]) and len(a) == len(b)
