@@ -54,6 +54,18 @@ def m12_history(spark, sf_dir):
     return wf.history_forecasts(panel, {h: tasks(days, h) for h in (504, 252, 756)}, FEATURES, fit=lambda m: md.candidates(m, shares=(), mixes=()))
 
 
+def m13_stability(spark, sf_dir):
+    """Every month's choice among 47 candidates with each month of its validation block left out."""
+    panel = _panel(spark, sf_dir)
+    return wf.stability(panel, tasks(splits.calendar_list(panel)), FEATURES)
+
+
+def m13_expanded(spark, sf_dir):
+    """Forecasts of every month by the best of the expanded menu, of each estimator."""
+    panel = _panel(spark, sf_dir)
+    return wf.walk_forward(panel, tasks(splits.calendar_list(panel)), FEATURES, fit=wf.expanded_candidates, per=("estimator",))
+
+
 def _windows(panel):
     days = splits.calendar_list(panel)
     return list(wf.legacy_spans(days, _months(days)))
@@ -204,6 +216,8 @@ ready AS (SELECT date, permno, {", ".join(map(rank, (*CONTROLS, *SOCIAL)))}, {fl
 
 
 QUERIES = {
+    "m13_stability": (m13_stability, None),
+    "m13_expanded": (m13_expanded, None),
     "m7_cross_validated": (m7_cross_validated, None),
     "m12_history": (m12_history, None),
     "m14_interactions": (m14_interactions, _basis_sql()),

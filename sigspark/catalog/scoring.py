@@ -307,14 +307,6 @@ def m6_m11_refits(spark, sf_dir):
     return out
 
 
-def m13_stability(spark, sf_dir):
-    """The choice with each validation month left out."""
-    fit, valid, _ = _fit_block(spark, sf_dir)
-    found = md.candidates(md.moments(fit)[()], shares=(), mixes=())
-    monthly = md.monthly_scores(valid, found, "q")
-    return spark.createDataFrame(list(md.stable_without_each_month(monthly).items()), "left_out string, chosen long")
-
-
 def m21_importance(spark, sf_dir):
     fit, valid, _ = _fit_block(spark, sf_dir)
     chosen, _ = md.choose(valid, md.candidates(md.moments(fit)[()], shares=(), mixes=()), "q")
@@ -515,7 +507,6 @@ c AS (SELECT year, permno, sum(dx * (dy - beta * dx)) AS s FROM d JOIN b USING (
     "m4_ols_slope": (m4_ols_slope, query(_READY + ", one AS (SELECT * FROM z WHERE i = 0), s AS (SELECT sum(w * z * q) - sum(w * z) * sum(w * q) AS c, sum(w * z * z) - sum(w * z) * sum(w * z) AS v, sum(w * q) AS mq, sum(w * z) AS mz FROM one)", f"SELECT {r6('c / v')} AS beta, {r6('mq - mz * c / v')} AS intercept FROM s")),
     "m4_m5_candidates": (m4_m5_candidates, None),
     "m6_m11_refits": (m6_m11_refits, None),
-    "m13_stability": (m13_stability, None),
     "m21_importance": (m21_importance, None),
     "m21_response": (m21_response, None),
     "m8_m10_groups_and_components": (m8_m10_groups_and_components, None),

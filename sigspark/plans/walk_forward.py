@@ -38,6 +38,7 @@ _KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "lon
 CV_RIDGE = tuple(10.0 ** (-6 + 12 * i / 99) for i in range(100))
 CV_MIXES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 CV_STEPS, CV_LEAST = 100, 1e-3
+EXPANDED_MIXES = (0.01, 0.03, 0.1, 0.5, 0.9)
 
 
 def block_bounds(spans: Sequence[Span]) -> list[int]:
@@ -247,6 +248,39 @@ def walk_forward(panel: DataFrame, found: Sequence[Task], columns: Sequence[str]
     return forecast(tested, chosen, columns).select(F.col("key").alias("month"), "date", "permno", "estimator", "penalty", "mix", "ic", "prediction")
 
 
+def expanded_candidates(m: md.Moments) -> list[md.Candidate]:
+    """The menu with a ridge penalty between any two powers of ten, a share between any two, and five ratios."""
+    ridge = sorted({*md.RIDGE, *(3.0 * 10.0**e for e in range(-6, 3))}, reverse=True)
+    shares = sorted({*md.SHARES, *(float(np.sqrt(a * b)) for a, b in zip(md.SHARES, md.SHARES[1:], strict=False))}, reverse=True)
+    return md.candidates(m, ridge, shares, EXPANDED_MIXES)
+
+
+def stability(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates) -> DataFrame:
+    """month, left_out, n_dates, estimator, penalty, mix, ic, gap, same: the choice of every task with each month of its validation block left out.
+
+    ``ic`` is the mean over the dates that remain, ``gap`` its lead over the second best (null for a lone candidate), ``same`` whether the whole
+    block chooses alike. Sums by month are taken once and subtracted; forecasts are not touched.
+    """
+    fits = fit_windows(panel, [(t.month, t.fit_first, t.fit_last) for t in found], columns, target, fit)
+    daily = _cross_sections(rows_of(panel, [(t.month, t.valid_first, t.valid_last) for t in found]), fits, columns, target, _daily_ic, ["ic"])
+    by_month = daily.where("ic is not null").groupBy("key", "k", F.date_format("date", "yyyy-MM").alias("left_out")).agg(F.sum("ic").alias("s"), F.count("*").alias("n"))
+    whole = Window.partitionBy("key", "k")
+    sums = stored(by_month.withColumns({"all_s": F.sum("s").over(whole), "all_n": F.sum("n").over(whole)}), "stability")
+
+    def chosen(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+        """The first candidate within the tie, with its lead."""
+        group = Window.partitionBy(*by)
+        ranked = scores.withColumns({"best": F.max("score").over(group), "place": F.row_number().over(group.orderBy(F.desc("score"), "k"))})
+        gaps = F.max(F.when(F.col("place") == 1, F.col("score"))) - F.max(F.when(F.col("place") == 2, F.col("score")))
+        first = F.min(F.when(F.col("score") >= F.col("best") - md.TIE, F.struct("k", "score")))
+        return ranked.groupBy(*by).agg(first.alias("c"), gaps.alias("gap"), F.first("remaining").alias("n_dates"))
+
+    rest = sums.where("all_n > n").select("key", "k", "left_out", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).alias("score"), (F.col("all_n") - F.col("n")).alias("remaining"))
+    full = chosen(sums.select("key", "k", (F.col("all_s") / F.col("all_n")).alias("score"), F.col("all_n").alias("remaining")).distinct(), ["key"]).select("key", F.col("c.k").alias("full_k"))
+    out = chosen(rest, ["key", "left_out"]).join(full, "key").select("key", "left_out", "n_dates", F.col("c.k").alias("k"), F.col("c.score").alias("ic"), "gap", (F.col("c.k") == F.col("full_k")).alias("same"))
+    return out.join(fits.select("key", "k", "estimator", "penalty", "mix"), ["key", "k"]).select(F.col("key").alias("month"), "left_out", "n_dates", "estimator", "penalty", "mix", "ic", "gap", "same")
+
+
 def history_forecasts(panel: DataFrame, by_history: dict[int, Sequence[Task]], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates) -> DataFrame:
     """Forecasts of every test month by the best candidate of the best length of history: month, date, permno, history, estimator, penalty, mix, ic, prediction.
 

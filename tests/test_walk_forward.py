@@ -208,3 +208,35 @@ def test_history_is_the_one_that_validates_best(spark, panel):
         best = max(by_history, key=lambda h: alone[h][alone[h]["month"] == month]["ic"].iloc[0])
         a, b = (d[d["month"] == month].sort_values(["date", "permno"]) for d in (got, alone[best]))
         assert (a["history"] == best).all() and np.allclose(a["prediction"], b["prediction"]) and len(a) == len(b)
+
+
+def test_choices_with_a_month_left_out(spark, panel):
+    tasks = [Task("2001-01", 0, 15, 17, 60, 62, 65, 1), Task("2001-02", 4, 19, 21, 50, 62, 65, 1)]
+    fit = lambda m: md.candidates(m, ridge=(10.0, 1.0, 0.1), shares=(0.3, 0.03), mixes=())
+    got = wf.stability(spark_panel(spark, panel), tasks, COLUMNS, fit=fit).toPandas().set_index(["month", "left_out"])
+    assert len(got) == 3 + 2
+    for t in tasks:
+        m, mean, scale = refit(panel[panel["code"].between(t.fit_first, t.fit_last)], True)
+        found = fit(m)
+        valid = panel[panel["code"].between(t.valid_first, t.valid_last) & panel["q"].notna()]
+        daily = []
+        for date, rows in valid.groupby("date"):
+            if len(rows) >= 10 and rows["q"].nunique() > 1:
+                z = ((rows[COLUMNS] - mean) / scale).fillna(0.0).to_numpy()
+                daily.append((date[:7], [rank_correlation(z @ c.beta + c.intercept if c.beta.any() else np.zeros(len(z)), rows["q"].to_numpy()) for c in found]))
+        whole = md.first_best(np.mean([d for _, d in daily], axis=0).tolist())
+        for left in sorted({d for d, _ in daily}):
+            rest = [d for month, d in daily if month != left]
+            scores = np.mean(rest, axis=0)
+            best = md.first_best(scores.tolist())
+            one = got.loc[(t.month, left)]
+            assert (one["estimator"], one["penalty"], one["mix"]) == (found[best].estimator, pytest.approx(found[best].penalty), found[best].mix)
+            top = np.sort(scores)[::-1]
+            assert one["n_dates"] == len(rest) and np.isclose(one["ic"], scores[best]) and np.isclose(one["gap"], top[0] - top[1]) and one["same"] == (best == whole)
+
+
+def test_the_expanded_menu_lies_between_the_steps_of_the_plain_one(panel):
+    m, _, _ = refit(panel[panel["code"].between(0, 30)], True)
+    found = wf.expanded_candidates(m)
+    assert [c.estimator for c in found] == ["ols"] + ["ridge"] * 19 + ["lasso"] * 17 + ["enet"] * 85
+    assert all(a.penalty > b.penalty for a, b in zip(found[1:19], found[2:20], strict=True))
