@@ -139,10 +139,11 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumns({"r": F.when((finite(F.col("ret")) >= -1) & before.isNotNull(), F.col("ret")), "dollars": F.col("price") * F.col("volume"), "turnover": F.col("volume") / (1000 * F.col("shares"))})
     rows = rows.withColumn("illiquid", F.abs("r") / F.when(F.col("dollars") > 0, F.col("dollars")))
 
-    rows = with_blocks(rows, ["permno"], "code", 21, most=(F.max, F.col("r")), illiquid=(F.sum, F.col("illiquid")))
+    rows = with_blocks(rows, ["permno"], "code", 21, most=(F.max, F.col("r")), illiquid=(F.sum, F.col("illiquid")), mean21=(F.avg, F.col("r")), var21=(F.var_pop, F.col("r")))
+    rows = with_blocks(rows, ["permno"], "code", 63, mean63=(F.avg, F.col("r")), var63=(F.var_pop, F.col("r")))
     rows = with_running(
         rows, ["permno"], "code",
-        r_sum=F.col("r"), r_squares=F.col("r") * F.col("r"), illiquid_count=F.when(F.col("illiquid").isNotNull(), 1),
+        illiquid_count=F.when(F.col("illiquid").isNotNull(), 1),
         r_count=F.when(F.col("r").isNotNull(), 1), r_zeros=F.when(F.col("r") == -1, 1), r_logs=F.when(F.col("r") > -1, F.log1p("r")),
         turnover_count=F.when(F.col("turnover").isNotNull(), 1), turnover_sum=F.col("turnover"), dollars_count=F.when(F.col("dollars").isNotNull(), 1), dollars_sum=F.col("dollars"),
     )
@@ -153,8 +154,12 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     part = lambda running, h: rolled(running, ["permno"], "code", h)
 
     def deviation(h: int) -> Column:
-        spread = part("r_squares", h) - part("r_sum", h) * part("r_sum", h) / h
-        return F.when(part("r_count", h) == h, F.sqrt(F.greatest(spread, F.lit(0.0)) / (h - 1)))
+        """From means and variances of a block's tail and the next one's head: squares are never summed uncentred."""
+        back = lambda c: F.lag(f"{c}{h}_tail", h - 1).over(Window.partitionBy("permno").orderBy("code"))
+        own = F.col("code") % h + 1  # rows of the head; the tail has the rest
+        apart = back("mean") - F.col(f"mean{h}_head")
+        spread = back("var") * (h - own) + F.col(f"var{h}_head") * own + apart * apart * (h - own) * own / h
+        return F.when(part("r_count", h) == h, F.sqrt(F.when(own == h, F.col(f"var{h}_head") * h).otherwise(spread) / (h - 1)))
 
     def of_block(name: str, count: str, join: Callable[[Column, Column], Column]) -> Column:
         return F.when(part(count, 21) == 21, blocked(name, ["permno"], "code", 21, join))
