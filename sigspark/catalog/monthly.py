@@ -10,7 +10,7 @@ from ..functions import ranks as k
 from ..operators import grid
 from ..plans import interactions as inter
 from ..plans import models as md
-from ..plans import splits, trees
+from ..plans import networks, splits, trees
 from ..plans import walk_forward as wf
 from ..sources import stand_in
 from ..sources.scratch import stored
@@ -109,6 +109,30 @@ def m16_forest(spark, sf_dir):
     return trees.forest_forecasts(panel, spans, TREE_FEATURES, "q").withColumnsRenamed({"key": "month"})
 
 
+def _network_blocks(spark, sf_dir) -> DataFrame:
+    panel = _panel(spark, sf_dir)
+    return stored(wf.scaled_blocks(panel, tasks(splits.calendar_list(panel)), FEATURES), "network-blocks")
+
+
+def m17_tuned_network(spark, sf_dir):
+    """Networks of one to four layers of halving widths, first layers up to 256, tuned and fitted anew for every month."""
+    return networks.tuned_forecasts(_network_blocks(spark, sf_dir), [w for layers in (1, 2, 3, 4) for w in networks.layer_menu(layers)])
+
+
+def m18_network(spark, sf_dir):
+    """Five seeds and three penalties of each of the declared widths, for every month."""
+    rows = _network_blocks(spark, sf_dir)
+    out = [networks.ensemble_forecasts(rows, widths).withColumn("network", F.lit(name)) for name, widths in networks.WIDTHS.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def m20_dropout_network(spark, sf_dir):
+    """Three layers with dropout, for every month; a random tenth of the rows before the test block is its validation set."""
+    tenth = F.when(F.pmod(F.xxhash64("code", "permno"), F.lit(10)) == 0, "valid").otherwise("fit")
+    dealt = _network_blocks(spark, sf_dir).withColumn("block", F.when(F.col("block") == "test", "test").otherwise(tenth))
+    return networks.ensemble_forecasts(dealt, (16, 8, 4), seeds=(0,), penalties=(0.0,), dropout=0.1)
+
+
 CONTROLS = tuple(f"c{i:02d}" for i in range(1, 18))
 SOCIAL, AGREEMENT = ("s1", "s2"), ("agree1", "agree2")
 N_COMPONENTS = 16
@@ -227,6 +251,9 @@ QUERIES = {
     "m1_m5_walk_forward": (m1_m5_walk_forward, None),
     "m6_past_forecasts": (m6_past_forecasts, None),
     "m15_trees": (m15_trees, None),
+    "m17_tuned_network": (m17_tuned_network, None),
+    "m18_network": (m18_network, None),
+    "m20_dropout_network": (m20_dropout_network, None),
     "m16_forest": (m16_forest, None),
     "m6_ridge_choices": (m6_ridge_choices, query(_ridge_sql(), f"SELECT month, criterion, a AS penalty, {r6('sse')} AS sse, {r6('rankcorr')} AS rankcorr FROM picked WHERE n = 1")),
 }

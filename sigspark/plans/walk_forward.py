@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import finite
 from ..sources.scratch import stored
 from . import models as md
-from .splits import Task
+from .splits import Task, as_frame
+from .splits import blocks as blocks_of
 
 # The menus of the choice by past months, on standardised columns. Ridge: penalty a row. Lasso: share of
 # the least penalty that zeroes all. Elastic net: the ridge part of the Gram, then the share.
@@ -142,6 +143,30 @@ def rows_of(panel: DataFrame, spans: Sequence[Span]) -> DataFrame:
     return panel.join(F.broadcast(listed), "code")  # sessions of the calendar, times the spans that share them
 
 
+def scaled_blocks(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str = "q") -> DataFrame:
+    """month, block, code, date, permno, features and ``target`` of every block of every task (panel: code, date, permno, columns, target).
+
+    Columns are scaled by the mean and deviation of the task's labelled fit rows, dates weighing the same; a missing
+    value is the mean. A date's sums are made once, whatever the number of windows that hold it.
+    """
+    frame = as_frame(panel.sparkSession, found)
+    clean = [finite(F.col(c).cast("double")) for c in columns]
+    n = F.count("*")
+    sums = [f / n for x in clean for f in (F.count(x), F.coalesce(F.sum(x), F.lit(0.0)), F.coalesce(F.sum(x * x), F.lit(0.0)))]
+    daily = panel.where(F.col(target).isNotNull()).groupBy("code").agg(*(f.alias(f"s{i}") for i, f in enumerate(sums)))
+    sessions = frame.select("month", F.explode(F.sequence("fit_first", "fit_last")).alias("code"))
+    total = daily.join(F.broadcast(sessions), "code").groupBy("month").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))))
+    scaler = []
+    for i in range(len(columns)):
+        mass, first, second = (F.col(f"s{3 * i + j}") for j in range(3))
+        mean = F.coalesce(F.try_divide(first, mass), F.lit(0.0))
+        variance = F.coalesce(F.try_divide(second, mass), F.lit(0.0)) - mean * mean
+        scaler += [mean.alias(f"mean{i}"), F.when(variance > 1e-20, F.sqrt(variance)).otherwise(1.0).alias(f"scale{i}")]
+    scaled = F.array(*(F.coalesce((x - F.col(f"mean{i}")) / F.col(f"scale{i}"), F.lit(0.0)) for i, x in enumerate(clean)))
+    rows = blocks_of(panel, frame).join(F.broadcast(total.select("month", *scaler)), "month")  # a row a month
+    return rows.select("month", "block", "code", "date", "permno", scaled.alias("features"), target)
+
+
 def average_ranks(x: np.ndarray) -> np.ndarray:
     """Ranks along the rows of a matrix, ties averaged."""
     order = np.argsort(x, axis=1, kind="stable")

@@ -240,3 +240,20 @@ def test_the_expanded_menu_lies_between_the_steps_of_the_plain_one(panel):
     found = wf.expanded_candidates(m)
     assert [c.estimator for c in found] == ["ols"] + ["ridge"] * 19 + ["lasso"] * 17 + ["enet"] * 85
     assert all(a.penalty > b.penalty for a, b in zip(found[1:19], found[2:20], strict=True))
+
+
+def test_scaled_blocks_are_scaled_by_each_fit_block(spark, panel):
+    found = [Task("2001-02", 0, 29, 31, 36, 38, 44, 1), Task("2001-03", 10, 39, 41, 46, 48, 54, 1)]
+    d = spark_panel(spark, panel)
+    out = wf.scaled_blocks(d, found, COLUMNS).toPandas()
+    for task in found:
+        inside = d.where(f"code between {task.fit_first} and {task.fit_last} and q is not null")
+        scaler = md.weighted_scaler(md.equal_date_weights(inside, "code"), COLUMNS)
+        for block in ("fit", "valid", "test"):
+            low, high = getattr(task, f"{block}_first"), getattr(task, f"{block}_last")
+            own = out[(out.month == task.month) & (out.block == block)].sort_values(["code", "permno"])
+            rows = panel[panel.code.between(low, high)].sort_values(["code", "permno"])
+            expected = np.column_stack([((rows[c] - scaler[c][0]) / scaler[c][1]).fillna(0.0) for c in COLUMNS])
+            np.testing.assert_allclose(np.stack(own.features), expected, rtol=1e-9, atol=1e-12)
+            assert own.q.isna().tolist() == rows.q.isna().tolist()
+    assert wf.scaled_blocks(d.where("code < 0"), found, COLUMNS).count() == 0
