@@ -97,11 +97,7 @@ def a14_a18_cohorts(spark, sf_dir):
 
 
 def f05_all_dynamics(spark, sf_dir):
-    from ..operators.guards import merge_families
-
-    d = _directions(spark, sf_dir)
-    r = rows(spark, sf_dir)
-    return tidy(merge_families(f.flips(d), f.conviction(d), f.first_movers(r), f.cohorts(r)))
+    return tidy(f.dynamics(rows(spark, sf_dir), stand_in.trading_days(spark)))
 
 
 _RATIO = lambda a, b: f"CASE WHEN {b} <> 0 THEN CAST({a} AS DOUBLE) / {b} END"
@@ -225,6 +221,11 @@ by_user AS (SELECT symbol, date, {r6("2 * sum(r * n) / (count(*) * sum(n)) - (co
     )
 
 
+def _dynamics_sql() -> str:
+    parts = {"flips": _flips_sql(), "convinced": _CONVICTION, "first_posts": _FIRST, "cohorts": _cohorts_sql((21, 63))}
+    return query(", ".join(f"{name} AS ({sql})" for name, sql in parts.items()), "SELECT * FROM flips JOIN convinced USING (symbol, date) JOIN first_posts USING (symbol, date) JOIN cohorts USING (symbol, date)")
+
+
 QUERIES = {
     "daily_net_sentiment": (daily_net_sentiment, query(ROUTED + "," + _SENTIMENT, f"SELECT symbol, date, n_bullish, n_bearish, total_labeled, {r6('bullish_ratio')} AS bullish_ratio, {r6('bearish_ratio')} AS bearish_ratio, {r6('net_sentiment')} AS net_sentiment, " + ", ".join(f"CAST({s}_ratio > {p / 100} AS BIGINT) AS extreme_{s}_{p}" for s in ("bullish", "bearish") for p in (80, 90)) + f", {r6('1 - abs(net_sentiment)')} AS disagreement_index FROM sentiment")),
     "p1_tagged": (p1_tagged, query(MESSAGES, "SELECT message_id, user_id, sentiment FROM messages WHERE sentiment IN ('Bullish', 'Bearish')")),
@@ -242,5 +243,5 @@ QUERIES = {
     "a12_conviction_bounded": (a12_conviction_bounded, _CONVICTION),
     "a13_first_movers": (a13_first_movers, _FIRST),
     "a14_a18_cohorts": (a14_a18_cohorts, _cohorts_sql()),
-    "f05_all_dynamics": (f05_all_dynamics, None),
+    "f05_all_dynamics": (f05_all_dynamics, _dynamics_sql()),
 }

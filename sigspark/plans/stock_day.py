@@ -109,18 +109,25 @@ def daily_direction(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     return signs.select("user_id", *KEYS, F.when(F.col("s") > 0, 1).otherwise(-1).alias("direction")).join(F.broadcast(sessions.select("date", "code")), "date", "left")
 
 
+def _flip_counts(horizons: Sequence[int]) -> dict[str, Column]:
+    """Reversals by horizon, of rows with direction, before and gap."""
+    up, down = (F.col("before") == -1) & (F.col("direction") == 1), (F.col("before") == 1) & (F.col("direction") == -1)
+    return {f"{name}_flips_{h}": F.count_if(turned & (F.col("gap") <= h)) for h in horizons for name, turned in (("bear_to_bull", up), ("bull_to_bear", down))}
+
+
+def _with_flip_shares(counts: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    for h in horizons:
+        up, down = (F.col(f"{name}_flips_{h}") for name in ("bear_to_bull", "bull_to_bear"))
+        counts = counts.withColumns({f"net_flip_count_{h}": up - down, f"bear_to_bull_ratio_{h}": ratio(up, F.col("n_users")), f"bull_to_bear_ratio_{h}": ratio(down, F.col("n_users"))})
+    return counts.drop("n_users")
+
+
 def flips(directions: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Reversals within a horizon of sessions since the user's last tagged day, and their share of users."""
     w = Window.partitionBy("user_id", "symbol").orderBy("date")
     moved = directions.withColumns({"before": F.lag("direction").over(w), "gap": F.col("code") - F.lag("code").over(w)})
-    up, down = (F.col("before") == -1) & (F.col("direction") == 1), (F.col("before") == 1) & (F.col("direction") == -1)
-    aggs = [F.count("*").alias("n_users")]
-    for h in horizons:
-        aggs += [F.count_if(up & (F.col("gap") <= h)).alias(f"bear_to_bull_flips_{h}"), F.count_if(down & (F.col("gap") <= h)).alias(f"bull_to_bear_flips_{h}")]
-    out = moved.groupBy(*KEYS).agg(*aggs)
-    for h in horizons:
-        out = out.withColumns({f"net_flip_count_{h}": F.col(f"bear_to_bull_flips_{h}") - F.col(f"bull_to_bear_flips_{h}"), f"bear_to_bull_ratio_{h}": ratio(F.col(f"bear_to_bull_flips_{h}"), F.col("n_users")), f"bull_to_bear_ratio_{h}": ratio(F.col(f"bull_to_bear_flips_{h}"), F.col("n_users"))})
-    return out.drop("n_users")
+    counts = moved.groupBy(*KEYS).agg(F.count("*").alias("n_users"), *(c.alias(name) for name, c in _flip_counts(horizons).items()))
+    return _with_flip_shares(counts, horizons)
 
 
 def streaks(directions: DataFrame, history: str = "full", reach: int = 250) -> DataFrame:
@@ -146,7 +153,11 @@ def streaks(directions: DataFrame, history: str = "full", reach: int = 250) -> D
 
 def conviction(directions: DataFrame, least: Sequence[int] = (3, 5, 10), history: str = "full") -> DataFrame:
     """Share of the day's tagged users with a streak of at least K."""
-    return streaks(directions, history).groupBy(*KEYS).agg(*(F.avg((F.col("streak") >= k).cast("int")).alias(f"conviction_index_{k}") for k in least))
+    return streaks(directions, history).groupBy(*KEYS).agg(*_convinced(least))
+
+
+def _convinced(least: Sequence[int]) -> list[Column]:
+    return [F.avg((F.col("streak") >= k).cast("int")).alias(f"conviction_index_{k}") for k in least]
 
 
 def first_movers(rows: DataFrame, firsts: Sequence[int] = (5, 10, 50)) -> DataFrame:
@@ -158,23 +169,22 @@ def first_movers(rows: DataFrame, firsts: Sequence[int] = (5, 10, 50)) -> DataFr
     return early.groupBy(*KEYS).agg(*(a for n in firsts for a in (F.avg(F.when(F.col("nth") <= n, sign)).alias(f"first_mover_net_sent_{n}"), F.count_if(F.col("nth") <= n).alias(f"first_mover_volume_{n}"))))
 
 
-def cohorts(rows: DataFrame, horizons: Sequence[int] = (21, 63)) -> DataFrame:
-    """Who talks: newcomers, returns, whales, minnows, night owls, day traders, specialists, and crowding.
+def _by_post(rows: DataFrame) -> DataFrame:
+    """Shares of the stock-day's posts by what their users did before.
 
-    Prior posts are all earlier (message, symbol) rows of the user in the order date, time, message, symbol.
+    Prior posts are all earlier (message, symbol) rows of the user in the order date, time, message, symbol. Both they and
+    the symbols known before a day are counted where the user's posts are: one exchange by user.
     """
     order = Window.partitionBy("user_id").orderBy("date", "local", "message_id", "symbol")
     prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    posts = rows.withColumns({"before": F.row_number().over(order) - 1, "ah_before": F.coalesce(F.sum(F.col("is_after_hours").cast("int")).over(prior), F.lit(0))})
-    daily = rows.groupBy("user_id", *KEYS).agg(F.count("*").alias("n"))
-    by_user_symbol = Window.partitionBy("user_id", "symbol").orderBy("date")
-    daily = daily.withColumns({"gap": F.datediff("date", F.lag("date").over(by_user_symbol)), "first": (F.row_number().over(by_user_symbol) == 1).cast("int")})
-    known = count_before(daily.groupBy("user_id", "date").agg(F.sum("first").alias("new")), ["user_id"], "date", "new", "n_known").drop("new")
+    first = F.row_number().over(Window.partitionBy("user_id", "symbol").orderBy("date", "local", "message_id")) == 1
+    posts = rows.repartition("user_id").withColumn("first", first.cast("int"))
+    posts = posts.withColumns({"before": F.row_number().over(order) - 1, "ah_before": F.coalesce(F.sum(F.col("is_after_hours").cast("int")).over(prior), F.lit(0))})
+    posts = count_before(posts, ["user_id"], "date", "first", "n_known")
     whale = posts.groupBy("date").agg(F.percentile("before", 0.99).alias("whale_at"))
     share = F.when(F.col("before") > 0, F.col("ah_before") / F.col("before"))
-    marked = posts.join(whale, "date").join(known, ["user_id", "date"])
     mean = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
-    by_post = marked.groupBy(*KEYS).agg(
+    return posts.join(F.broadcast(whale), "date").groupBy(*KEYS).agg(  # a row a date
         F.count("*").alias("n_posts"),
         mean(F.col("before") >= F.col("whale_at")).alias("whale_dominance"),
         mean(F.col("before") < 5).alias("minnow_dominance"),
@@ -182,13 +192,50 @@ def cohorts(rows: DataFrame, horizons: Sequence[int] = (21, 63)) -> DataFrame:
         mean(share < 0.2).alias("day_trader_ratio"),
         mean(F.col("n_known") <= 3).alias("specialist_ratio"),
     )
-    ranked = daily.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("n", "user_id")))
+
+
+def _ranked(user_days: DataFrame) -> DataFrame:
+    """Adds the rank ``r`` of a user among those of the stock-day by posts."""
+    return user_days.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("n", "user_id")))
+
+
+def _attendance(horizons: Sequence[int]) -> list[Column]:
+    """Crowding, newcomers and returns, of rows with the user's posts n, rank r and calendar days ``since`` the last such row."""
     aggs = [(2 * F.sum(F.col("r") * F.col("n")) / (F.count("*") * F.sum("n")) - (F.count("*") + 1) / F.count("*")).alias("crowding_gini")]
     for h in horizons:
         reach = h * 365 / TRADING_YEAR
-        fresh, back, stay = F.col("gap").isNull() | (F.col("gap") > reach), F.col("gap") > reach, F.col("gap") <= reach
+        fresh, back, stay = F.col("since").isNull() | (F.col("since") > reach), F.col("since") > reach, F.col("since") <= reach
         aggs += [F.count_if(fresh).alias(f"fresh_blood_count_{h}"), (F.count_if(fresh) / F.count("*")).alias(f"fresh_blood_ratio_{h}"), F.count_if(back).alias(f"reentry_volume_{h}"), (F.count_if(stay) / F.count("*")).alias(f"retention_rate_{h}")]
-    return by_post.join(ranked.groupBy(*KEYS).agg(*aggs), KEYS)
+    return aggs
+
+
+def cohorts(rows: DataFrame, horizons: Sequence[int] = (21, 63)) -> DataFrame:
+    """Who talks: newcomers, returns, whales, minnows, night owls, day traders, specialists, and crowding."""
+    w = Window.partitionBy("user_id", "symbol").orderBy("date")
+    daily = rows.groupBy("user_id", *KEYS).agg(F.count("*").alias("n")).withColumn("since", F.datediff("date", F.lag("date").over(w)))
+    return _by_post(rows).join(_ranked(daily).groupBy(*KEYS).agg(*_attendance(horizons)), KEYS)
+
+
+def dynamics(rows: DataFrame, sessions: DataFrame, horizons: Sequence[int] = HORIZONS, least: Sequence[int] = (3, 5, 10), firsts: Sequence[int] = (5, 10, 50), reaches: Sequence[int] = (21, 63)) -> DataFrame:
+    """What flips, conviction, first_movers and cohorts give, on every stock-day with a message.
+
+    A user's day on a symbol is made once, with one exchange and one order for reversals, streaks and returns, and
+    aggregated once by stock-day. Where nobody is tagged, what counts tagged users is null.
+    """
+    w = Window.partitionBy("user_id", "symbol").orderBy("date")
+    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.col("sentiment") == "Bullish", 1).when(F.col("sentiment") == "Bearish", -1)
+    days = rows.groupBy("user_id", *KEYS).agg(F.count("*").alias("n"), F.sum(sign).alias("s"))
+    days = days.withColumn("direction", F.when(F.col("s") > 0, 1).when(F.col("s") <= 0, -1)).join(F.broadcast(sessions.select("date", "code")), "date", "left")
+    tagged = F.col("direction").isNotNull()
+    days = days.withColumns({"last": F.last(F.when(tagged, F.struct("direction", "code")), ignorenulls=True).over(past), "since": F.datediff("date", F.lag("date").over(w)), "seen": F.count("direction").over(upto)})
+    days = days.withColumns({"before": F.col("last.direction"), "gap": F.col("code") - F.col("last.code")})
+    turned = tagged & ~F.col("before").eqNullSafe(F.col("direction"))
+    days = days.withColumn("start", F.last(F.when(turned, F.col("seen")), ignorenulls=True).over(upto))
+    days = days.withColumn("streak", F.when(tagged, F.col("seen") - F.col("start") + 1))
+    known = {name: F.when(F.count("direction") > 0, c) for name, c in _flip_counts(horizons).items()}
+    by_user = _ranked(days).groupBy(*KEYS).agg(F.count("direction").alias("n_users"), *(c.alias(name) for name, c in known.items()), *_convinced(least), *_attendance(reaches))
+    return _with_flip_shares(by_user, horizons).join(first_movers(rows, firsts), KEYS, "left").join(_by_post(rows), KEYS)
 
 
 def mean_vectors(members: DataFrame, by: Sequence[str], vector: str = "embedding") -> DataFrame:

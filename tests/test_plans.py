@@ -53,6 +53,14 @@ def test_windows_of_one_key_share_a_shuffle(spark):
     assert len([k for k in shuffles(flips) if "user_id" in k]) <= 2
 
 
+def test_all_dynamics_share_their_tables(spark):
+    p = f.dynamics(rows(spark), stand_in.trading_days(spark))
+    keys = shuffles(p)
+    # user days, summed in the tasks first, and their order; posts by user, and the few columns of them that a date's limit needs
+    assert len(keys) <= 8 and len([k for k in keys if "user_id" in k]) <= 4
+    assert plan(p).count("SortMergeJoin") <= 2
+
+
 def test_no_python_in_feature_plans(spark):
     for p in (f.sentiment(rows(spark)), f.cohorts(rows(spark)), f.session_features(rows(spark)), f.attention(rows(spark), stand_in.trading_days(spark)), ev.fractional_bins(stand_in.forecasts(spark, TINY), "prediction", "y", ("date", "model_id"))):
         assert not re.search("Python|Pandas|Arrow", plan(p))
