@@ -47,6 +47,12 @@ def m1_m5_walk_forward(spark, sf_dir):
     return wf.walk_forward(panel, tasks(splits.calendar_list(panel)), FEATURES)
 
 
+def m11_refits(spark, sf_dir):
+    """Forecasts of every month by the best of 47 candidates, fitted again on its fit block, on the latest sessions, and on both blocks."""
+    panel = _panel(spark, sf_dir)
+    return wf.refit_forecasts(panel, tasks(splits.calendar_list(panel)), FEATURES)
+
+
 def m12_history(spark, sf_dir):
     """Forecasts of every month on 504, 252 or 756 sessions, whichever validates best."""
     panel = _panel(spark, sf_dir)
@@ -243,6 +249,7 @@ QUERIES = {
     "m13_stability": (m13_stability, None),
     "m13_expanded": (m13_expanded, None),
     "m7_cross_validated": (m7_cross_validated, None),
+    "m11_refits": (m11_refits, None),
     "m12_history": (m12_history, None),
     "m14_interactions": (m14_interactions, _basis_sql()),
     "m14_bases": (m14_bases, None),

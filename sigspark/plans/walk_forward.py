@@ -255,6 +255,21 @@ def forecast(rows: DataFrame, chosen: DataFrame, columns: Sequence[str]) -> Data
     return rows.join(F.broadcast(chosen), "key").withColumn("prediction", F.aggregate(terms, F.col("intercept"), lambda s, t: s + t)).drop("beta", "mean", "scale", "intercept")  # declared windows, one candidate each
 
 
+def _chosen(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str, fit: Fit, per: Sequence[str], complete: bool) -> DataFrame:
+    """The candidate of best mean daily rank correlation on the validation block of each task, of each ``per``; the first of equals."""
+    fits = fit_windows(panel, [(t.month, t.fit_first, t.fit_last) for t in found], columns, target, fit, complete=complete)
+    daily = _cross_sections(rows_of(panel, [(t.month, t.valid_first, t.valid_last) for t in found]), fits, columns, target, _daily_ic, ["ic"])
+    scores = daily.groupBy("key", "k").agg(F.avg("ic").alias("ic"))
+    of = Window.partitionBy("key", *per)
+    all_scored = fits.join(scores, ["key", "k"], "left").withColumn("best", F.max("ic").over(of))
+    eligible = all_scored.where((F.col("ic") >= F.col("best") - md.TIE) | F.col("best").isNull())
+    return stored(eligible.withColumn("first", F.min("k").over(of)).where("k = first").select("key", "k", "estimator", "penalty", "mix", "ic", "beta", "intercept", "mean", "scale"), "walk-forward-chosen")
+
+
+def _tested(panel: DataFrame, found: Sequence[Task], columns: Sequence[str]) -> DataFrame:
+    return rows_of(panel.select("code", "date", "permno", *columns), [(t.month, t.test_first, t.test_last) for t in found])
+
+
 def walk_forward(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates, per: Sequence[str] = (), complete: bool = False) -> DataFrame:
     """Forecasts of every task's test month by the candidate of best mean daily rank correlation on its validation block; with
     ``per`` (such as "estimator"), by the best candidate of each.
@@ -262,15 +277,32 @@ def walk_forward(panel: DataFrame, found: Sequence[Task], columns: Sequence[str]
     ``panel``: code (session), date, permno, the columns and the target. Returns month, date, permno, estimator, penalty, mix,
     ic (of validation; null where no date has one, and then the first candidate stands) and prediction.
     """
-    fits = fit_windows(panel, [(t.month, t.fit_first, t.fit_last) for t in found], columns, target, fit, complete=complete)
-    daily = _cross_sections(rows_of(panel, [(t.month, t.valid_first, t.valid_last) for t in found]), fits, columns, target, _daily_ic, ["ic"])
-    scores = daily.groupBy("key", "k").agg(F.avg("ic").alias("ic"))
-    of = Window.partitionBy("key", *per)
-    all_scored = fits.join(scores, ["key", "k"], "left").withColumn("best", F.max("ic").over(of))
-    eligible = all_scored.where((F.col("ic") >= F.col("best") - md.TIE) | F.col("best").isNull())
-    chosen = stored(eligible.withColumn("first", F.min("k").over(of)).where("k = first").select("key", "estimator", "penalty", "mix", "ic", "beta", "intercept", "mean", "scale"), "walk-forward-chosen")
-    tested = rows_of(panel.select("code", "date", "permno", *columns), [(t.month, t.test_first, t.test_last) for t in found])
-    return forecast(tested, chosen, columns).select(F.col("key").alias("month"), "date", "permno", "estimator", "penalty", "mix", "ic", "prediction")
+    chosen = _chosen(panel, found, columns, target, fit, per, complete)
+    return forecast(_tested(panel, found, columns), chosen, columns).select(F.col("key").alias("month"), "date", "permno", "estimator", "penalty", "mix", "ic", "prediction")
+
+
+def refit_spans(task: Task, policy: str) -> list[tuple[int, int]]:
+    """Sessions of the final fit: 'retain' the fit block, 'recent' as many up to the end of validation, 'union' both blocks."""
+    fit, valid = (task.fit_first, task.fit_last), (task.valid_first, task.valid_last)
+    spans = {"retain": [fit], "recent": [(task.valid_last - (task.fit_last - task.fit_first), task.valid_last)], "union": [fit, valid]}
+    if policy not in spans:
+        raise ValueError(f"no such policy: {policy}")
+    return spans[policy]
+
+
+def refit_forecasts(panel: DataFrame, found: Sequence[Task], columns: Sequence[str], target: str = "q", fit: Fit = md.candidates, policies: Sequence[str] = ("retain", "recent", "union"), complete: bool = False) -> DataFrame:
+    """``walk_forward`` with every task's choice fitted again under each policy, the scaler and the penalties that are shares anew.
+
+    A choice is a place in the menu, which ``fit`` must give in one order for every window. All final windows are sums of
+    blocks of one pass; a union is the sum of its two windows. Returns month, policy, date, permno, estimator, penalty (of the final fit), mix, ic and prediction.
+    """
+    chosen = _chosen(panel, found, columns, target, fit, (), complete).select(F.col("key").alias("month"), "k", "ic")
+    spans = [(f"{t.month}|{policy}", low, high) for t in found for policy in policies for low, high in refit_spans(t, policy)]
+    named = F.split("key", "[|]")
+    final = fit_windows(panel, spans, columns, target, fit, complete=complete).withColumns({"month": named[0], "policy": named[1]}).drop("key")
+    picked = final.join(F.broadcast(chosen), ["month", "k"]).withColumnRenamed("month", "key")  # a row a month
+    picked = picked.select("key", "policy", "estimator", "penalty", "mix", "ic", "beta", "intercept", "mean", "scale")
+    return forecast(_tested(panel, found, columns), picked, columns).select(F.col("key").alias("month"), "policy", "date", "permno", "estimator", "penalty", "mix", "ic", "prediction")
 
 
 def expanded_candidates(m: md.Moments) -> list[md.Candidate]:

@@ -257,3 +257,26 @@ def test_scaled_blocks_are_scaled_by_each_fit_block(spark, panel):
             np.testing.assert_allclose(np.stack(own.features), expected, rtol=1e-9, atol=1e-12)
             assert own.q.isna().tolist() == rows.q.isna().tolist()
     assert wf.scaled_blocks(d.where("code < 0"), found, COLUMNS).count() == 0
+
+
+def test_refits_of_all_months_are_those_of_each_windows_rows(spark, panel):
+    tasks = [Task(f"2001-{i:02d}", f, f + 25, f + 27, f + 38, f + 40, f + 45, 1) for i, f in enumerate((0, 6, 20), 1)]
+    d = spark_panel(spark, panel)
+    got = wf.refit_forecasts(d, tasks, COLUMNS).toPandas()
+    first = wf.walk_forward(d, tasks, COLUMNS).toPandas().sort_values(["month", "date", "permno"], ignore_index=True)
+    retained = got[got["policy"] == "retain"].sort_values(["month", "date", "permno"], ignore_index=True)
+    pd.testing.assert_frame_equal(retained.drop(columns="policy"), first, rtol=1e-9)
+    for t in tasks:
+        m, _, _ = refit(panel[panel["code"].between(t.fit_first, t.fit_last)], True)
+        own = first[first["month"] == t.month].iloc[0]
+        at = next(k for k, c in enumerate(md.candidates(m)) if c.estimator == own["estimator"] and c.mix == own["mix"] and np.isclose(c.penalty, own["penalty"], rtol=1e-6, atol=0))
+        code = panel["code"]
+        for policy, inside in (("recent", code.between(t.valid_last - 25, t.valid_last)), ("union", code.between(t.fit_first, t.fit_last) | code.between(t.valid_first, t.valid_last))):
+            m, mean, scale = refit(panel[inside], True)
+            c = md.candidates(m)[at]
+            mine = got[(got["month"] == t.month) & (got["policy"] == policy)].sort_values(["date", "permno"])
+            rows = panel[code.between(t.test_first, t.test_last)].sort_values(["date", "permno"])
+            want = ((rows[COLUMNS] - mean) / scale).fillna(0.0).to_numpy() @ c.beta + c.intercept
+            assert mine["permno"].tolist() == rows["permno"].tolist() and np.allclose(mine["prediction"], want, atol=1e-8) and np.allclose(mine["penalty"], c.penalty)
+    with pytest.raises(ValueError):
+        wf.refit_spans(tasks[0], "all")
