@@ -68,7 +68,7 @@ def p12_focus(spark, sf_dir):
 
 def p13_scalar_functions(spark, sf_dir):
     v = F.col("value")
-    return read(spark, sf_dir, "events").select("event_id", *(s.r6(c).alias(n) for n, c in (("log1p", F.log1p(v)), ("ln", F.log(v)), ("log10", F.log10(v)), ("expm1", F.expm1(v / 1000)), ("sqrt", F.sqrt(v)), ("abs", F.abs(v - 50)), ("clip", F.least(F.greatest(v, F.lit(10.0)), F.lit(90.0))))))
+    return read(spark, sf_dir, "events").select("event_id", *(s.r6(c).alias(n) for n, c in (("log1p", s.logarithm(v, F.log1p, -1.0)), ("ln", s.logarithm(v)), ("log10", s.logarithm(v, F.log10)), ("expm1", F.expm1(v / 1000)), ("sqrt", F.sqrt(v)), ("abs", F.abs(v - 50)), ("clip", F.least(F.greatest(v, F.lit(10.0)), F.lit(90.0))))))
 
 
 def p14_guarded_ratio(spark, sf_dir):
