@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
-from ..operators.grid import adjacent, blocked, rolled, session_index, with_blocks, with_running
+from ..operators.grid import adjacent, back_fill, blocked, rolled, session_index, with_blocks, with_running
+from ..sources.scratch import stored
 
 # The feature families' default fills. A column is filled if its name holds one of these parts.
 FILLS = (
@@ -123,6 +124,29 @@ def _compound(h: int) -> Column:
     return F.when(part("r_count") == h, F.when(part("r_zeros") > 0, F.lit(-1.0)).otherwise(F.expm1(part("r_logs"))))
 
 
+ROWS_A_TASK = 250_000  # of a grid, so that what a task sorts does not grow with the data
+
+
+def own_spans(market: DataFrame, cal: DataFrame) -> DataFrame:
+    """Every stock's rows on all sessions from its first date to its last, with ``code``; absent sessions have nulls.
+
+    A row fills the sessions up to the stock's next row, so the grid needs no join and no exchange beyond the one by stock. The
+    number of tasks is that of the grid's rows by ``ROWS_A_TASK``: Spark sizes tasks by shuffled bytes, before rows are filled in.
+    """
+    dates = market.select("date").where(F.col("date").isNotNull()).distinct().join(F.broadcast(cal.select("date", "code")), "date", "full_outer")
+    ahead = F.coalesce(back_fill(F.col("code"), "date"), F.max("code").over(Window.partitionBy()) + 1)  # of a date that is no session: the next one
+    dates = stored(dates.select("date", "code", F.col("code").isNotNull().alias("__on"), ahead.alias("__from")), "market-dates")  # a row a day
+    stocks = market.agg(F.approx_count_distinct("permno")).first()[0]
+    tasks = max(1, -(-stocks * dates.count() // ROWS_A_TASK))
+    placed = market.join(F.broadcast(dates.drop("code")), "date").repartition(tasks, "permno")
+    following = F.lead("__from").over(Window.partitionBy("permno").orderBy("date"))
+    placed = placed.withColumn("__last", F.greatest(following - 1, F.when(F.col("__on"), F.col("__from"))))  # greatest passes over nulls
+    filled = placed.withColumn("code", F.explode(F.when(F.col("__last") >= F.col("__from"), F.sequence("__from", "__last"))))
+    values = [c for c in market.columns if c not in ("permno", "date")]
+    own = F.col("__on") & (F.col("code") == F.col("__from")) & F.col("permno").isNotNull()
+    return filled.select("permno", "code", *(F.when(own, F.col(c)).alias(c) for c in values)).join(F.broadcast(dates.where("__on").select("date", "code")), "code")
+
+
 def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """The 17 market controls on each stock's own span of the exchange calendar.
 
@@ -130,9 +154,7 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     -1 and the session before has a positive price; strict frames need every value.
     """
     cal = sessions if sessions is not None else session_index(market)
-    spans = market.groupBy("permno").agg(F.min("date").alias("low"), F.max("date").alias("high"))
-    grid = spans.join(F.broadcast(cal), F.col("date").between(F.col("low"), F.col("high"))).select("permno", "date", "code")
-    rows = grid.join(market.select("permno", "date", "ret", "prc", "shrout", "vol"), ["permno", "date"], "left")
+    rows = own_spans(market.select("permno", "date", "ret", "prc", "shrout", "vol"), cal)
     positive = lambda c: F.when(finite(c) > 0, c)
     rows = rows.withColumns({"price": positive(F.abs("prc")), "shares": positive(F.col("shrout")), "volume": F.when(finite(F.col("vol")) >= 0, F.col("vol"))})
     before = F.lag("price").over(Window.partitionBy("permno").orderBy("code"))

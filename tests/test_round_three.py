@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sigspark.functions import scalar as s
+from sigspark.plans import panel as pn
 from sigspark.queries import ORACLE_SQL, QUERIES
 
 from oracle import difference
@@ -15,3 +16,18 @@ def test_logarithms_of_zero_are_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert difference(QUERIES["p13_scalar_functions"](spark, str(tmp_path)), con, ORACLE_SQL["p13_scalar_functions"]) is None
     assert spark.range(1).select(s.logarithm(F.lit(-1.0), F.log1p, -1.0)).first()[0] == float("-inf")
+
+
+def test_grid_of_own_spans_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Against the join it stands for, with dates off the calendar, and in as many tasks as its rows need."""
+    cal = spark.createDataFrame([(f"2024-01-{d:02d}", i) for i, d in enumerate((2, 3, 4, 5, 8, 9, 10))], "date string, code int")
+    days = [(1, "2024-01-03", 1.0), (1, "2024-01-08", 2.0), (2, "2024-01-01", 3.0), (2, "2024-01-06", 4.0), (2, "2024-01-07", 5.0), (2, "2024-01-09", 6.0), (2, "2024-01-12", 7.0), (3, "2024-01-05", 8.0), (4, "2024-01-06", 9.0), (None, "2024-01-03", 10.0), (None, "2024-01-05", 11.0), (5, None, 12.0)]
+    market = spark.createDataFrame(days, "permno long, date string, ret double")
+    monkeypatch.setattr(pn, "ROWS_A_TASK", 4)
+    out = pn.own_spans(market, cal)
+    spans = market.groupBy("permno").agg(F.min("date").alias("low"), F.max("date").alias("high"))
+    want = spans.join(cal, F.col("date").between(F.col("low"), F.col("high"))).select("permno", "date", "code").join(market, ["permno", "date"], "left")
+    key = lambda r: tuple(map(str, r))
+    columns = ["permno", "date", "code", "ret"]
+    assert sorted(map(tuple, out.select(*columns).collect()), key=key) == sorted(map(tuple, want.select(*columns).collect()), key=key)
+    assert out.rdd.getNumPartitions() >= 12
