@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from sigspark.functions import ranks as k
 from sigspark.functions import scalar as s
 from sigspark.plans import panel as pn
 from sigspark.queries import ORACLE_SQL, QUERIES
@@ -18,6 +19,15 @@ def test_logarithms_of_zero_are_as_in_sql(spark, tmp_path):
     assert spark.range(1).select(s.logarithm(F.lit(-1.0), F.log1p, -1.0)).first()[0] == float("-inf")
 
 
+def test_ranked_controls_meet_once_by_date(spark):
+    rows = [(i, "2024-01-02" if i % 2 else "2024-01-03", v) for i, v in enumerate([1.0, 1.0, None, -0.0, 0.0, float("nan"), float("nan"), 5.0, 0.0, None, 7.0, 2.0])]
+    values = spark.createDataFrame(rows, "permno long, date string, v double").select("permno", "date", *(F.col("v").alias(f"char_{i}") for i in range(3)))
+    out = pn.ranked_controls(values)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = values.select("permno", k.centered_feature(["date"], "char_1").alias("x"), F.col("char_1").isNull().cast("int").alias("m")).collect()
+    assert sorted(map(tuple, out.select("permno", "char_1", "missing__char_1").collect())) == sorted(map(tuple, want))
+
+
 def test_grid_of_own_spans_in_tasks_of_bounded_rows(spark, monkeypatch):
     """Against the join it stands for, with dates off the calendar, and in as many tasks as its rows need."""
     cal = spark.createDataFrame([(f"2024-01-{d:02d}", i) for i, d in enumerate((2, 3, 4, 5, 8, 9, 10))], "date string, code int")
