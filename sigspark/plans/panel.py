@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import with_ranks
 from ..functions.scalar import finite
 from ..operators.grid import adjacent, back_fill, blocked, rolled, session_index, with_blocks, with_running
 from ..sources.scratch import stored
@@ -207,32 +206,7 @@ def controls(market: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
 
 
 def ranked_controls(values: DataFrame) -> DataFrame:
-    """Date-local ranks of the controls, missing neutral, with a flag for each that says so.
-
-    Rows meet once, by date; each cross-section is ranked by all controls in its task, as a window each would sort and
-    spill the wide rows seventeen times.
-    """
+    """Date-local ranks of the controls, missing neutral, with a flag for each that says so."""
     names = [c for c in values.columns if c.startswith("char_")]
-    kinds = {c: values.schema[c].dataType.simpleString() for c in ("permno", "date")}
-    schema = ", ".join([*(f"{c} {kind}" for c, kind in kinds.items()), *(f"{c} double" for c in names), *(f"missing__{c} int" for c in names)])
-
-    def rank(group: pa.Table) -> pa.Table:
-        out = {c: group[c].combine_chunks() for c in kinds}
-        absent = {c: group[c].is_null().to_numpy() for c in names}
-        out |= {c: pa.array(centered_ranks(group[c].to_numpy(), absent[c])) for c in names}
-        return pa.table(out | {f"missing__{c}": pa.array(absent[c].astype(np.int32)) for c in names})
-
-    return values.select(*kinds, *(F.col(c).cast("double") for c in names)).groupBy("date").applyInArrow(rank, schema)
-
-
-def centered_ranks(x: np.ndarray, absent: np.ndarray) -> np.ndarray:
-    """``functions.ranks.centered_feature`` of one cross-section: ties share, NaN is one greatest value, absent ones are neutral."""
-    out, at = np.zeros(len(x)), np.flatnonzero(~absent)
-    if n := len(at):
-        order = np.argsort(x[at], kind="stable")
-        ordered = x[at][order]
-        new = np.append(True, (ordered[1:] != ordered[:-1]) & ~(np.isnan(ordered[1:]) & np.isnan(ordered[:-1])))
-        begins = np.append(np.flatnonzero(new), n)
-        both = np.repeat(begins[:-1] + begins[1:], np.diff(begins))  # left + right of each tied block
-        out[at[order]] = (both / 2 / n - 0.5) * 2.0
-    return out
+    flags = {f"missing__{c}": F.col(c).isNull().cast("int") for c in names}
+    return with_ranks(values.select("permno", "date", *(F.col(c).cast("double") for c in names), *(v.alias(c) for c, v in flags.items())), "date", {c: c for c in names})

@@ -41,3 +41,15 @@ def test_grid_of_own_spans_in_tasks_of_bounded_rows(spark, monkeypatch):
     columns = ["permno", "date", "code", "ret"]
     assert sorted(map(tuple, out.select(*columns).collect()), key=key) == sorted(map(tuple, want.select(*columns).collect()), key=key)
     assert out.rdd.getNumPartitions() >= 12
+
+
+def test_ranks_of_all_columns_are_the_windows_in_one_exchange(spark):
+    rows = [(i, f"2024-01-0{1 + i % 3}", None if i % 7 == 0 else i % 5, [None, float("nan"), -0.0, 0.0, 1.5, 2.5][i % 6], None if i % 11 == 0 else 1.0 if i % 3 == 1 else float(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "permno long, date string, a long, b double, y double")
+    out = k.with_ranks(df, "date", {"a": "a", "x_b": "b"}, {"q": "y"})
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    by = ["date"]
+    want = df.select("permno", "date", k.centered_feature(by, "a").alias("a"), k.centered_feature(by, "b").alias("x_b"), k.centered_target(by, "y").alias("q"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, out.select(*want.columns).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert out.where("q is not null").select("date").distinct().count() == 2  # one date has a constant target
