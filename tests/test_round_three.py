@@ -53,3 +53,15 @@ def test_ranks_of_all_columns_are_the_windows_in_one_exchange(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, out.select(*want.columns).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
     assert out.where("q is not null").select("date").distinct().count() == 2  # one date has a constant target
+
+
+def test_exact_quantiles_without_a_group_in_one_task(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", None if i % 7 == 0 else (i * 37 % 101) / 4 - 9) for i in range(200)] + [("empty", None), ("one", 2.5), ("tied", 1.0), ("tied", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99, "low": 0.0, "high": 1.0}
+    out = k.exact_quantiles(df, "g", "x", shares, 2.0)
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = df.groupBy("g").agg(*(F.percentile("x", F.lit(q)).alias(n) for n, q in shares.items()))
+    plain = lambda d: sorted(tuple(str(r[0]) if i == 0 else str(None if v is None else round(v, 9)) for i, v in enumerate(r)) for r in d.collect())
+    assert plain(out) == plain(want)
+    assert "Percentile" not in str(QUERIES["a23_describe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()).title()
