@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -95,6 +96,16 @@ def unpacked_answers(b: bytes, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, shared
 
 
+def words_of(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, A-Z lower-cased, and how many each text has."""
+    raw = pa.array([t or b"" for t in texts], pa.large_binary()).view(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(raw))
+    words = lists.flatten().view(pa.large_binary())
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end splits off an empty piece
+    upto = np.append(0, np.cumsum(full))
+    return words.filter(pa.array(full)), np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+
 class Grams:
     """The distinct n-grams of one order in a block: ``begin`` and ``end`` are numbers one order lower, ``word`` the last word's."""
 
@@ -107,33 +118,33 @@ class Block:
     """The n-grams of some texts up to ``order``; word number 0 is the text end. Counts are of training texts."""
 
     def __init__(self, texts: list[bytes | None], train: np.ndarray, order: int):
-        number: dict[bytes, int] = {END: 0}
-        read: list[int] = []
-        sizes = []
-        for text in texts:
-            words = (text or b"").lower().split()
-            read += [number.setdefault(w, len(number)) for w in words]
-            read.append(0)
-            sizes.append(len(words) + 1)
-        self.n_words = len(number)
-        self.tokens, self.sizes = np.array(read, np.int64), np.array(sizes, np.int64)
+        words, sizes = words_of(texts)
+        coded = words.dictionary_encode()
+        self.n_words = len(coded.dictionary) + 1
+        self.sizes = sizes + 1
+        self.tokens = np.zeros(len(words) + len(texts), np.int64)
+        at = np.ones(len(self.tokens), bool)
+        at[np.cumsum(self.sizes) - 1] = False
+        self.tokens[at] = coded.indices.to_numpy() + 1
         self.first = np.cumsum(self.sizes) - self.sizes
         counted = np.repeat(train, self.sizes)
-        place = np.arange(len(read)) - np.repeat(self.first, self.sizes)  # in its text
+        n_tokens = len(self.tokens)
+        place = np.arange(n_tokens) - np.repeat(self.first, self.sizes)  # in its text
         none = np.zeros(self.n_words, np.int64)
-        words_ = word_hashes(list(number))
+        words_ = word_hashes([END, *coded.dictionary.to_numpy(zero_copy_only=False)])
         self.grams = [Grams(none, none, np.arange(self.n_words), np.bincount(self.tokens[counted], minlength=self.n_words), words_)]
-        at, numbers = np.arange(len(read)), self.tokens
+        at, numbers = np.arange(n_tokens), self.tokens
         self.places = [(at, numbers)]  # of each order: where its n-grams end, and their numbers
         for k in range(1, order):
             here = at[place[at] >= k]
-            before = np.zeros(len(read), np.int64)
+            before = np.zeros(n_tokens, np.int64)
             before[at] = numbers
-            codes, of = np.unique(before[here - 1] * self.n_words + self.tokens[here], return_inverse=True)
-            begin, word = np.divmod(codes, self.n_words)
-            end = np.zeros(len(codes), np.int64)
+            codes = pa.array(before[here - 1] * self.n_words + self.tokens[here]).dictionary_encode()
+            of = codes.indices.to_numpy()
+            begin, word = np.divmod(codes.dictionary.to_numpy(), self.n_words)
+            end = np.zeros(len(begin), np.int64)
             end[of] = before[here]
-            self.grams.append(Grams(begin, end, word, np.bincount(of[counted[here]], minlength=len(codes)), longer(self.grams[-1].keys[begin], words_[word])))
+            self.grams.append(Grams(begin, end, word, np.bincount(of[counted[here]], minlength=len(begin)), longer(self.grams[-1].keys[begin], words_[word])))
             at, numbers = here, of
             self.places.append((at, numbers))
 
@@ -185,28 +196,35 @@ class Automaton:
             self.weights.append(np.where(c > 0, np.log10(p), np.nan))
             self.targets.append(first[k] + np.arange(len(c)) if k < order - 1 else first[k - 1] + g.end)
             history = np.where(g.word == 0, 0.0, c)
-        self.fail, self.up = np.concatenate(fail).tolist(), np.concatenate(up).tolist()
+        self.fail, self.up = np.concatenate(fail), np.concatenate(up)
 
     def read(self) -> np.ndarray:
-        """Log10 probability of each text: one pass from left to right, carrying the state."""
-        block, fail, up, most = self.block, self.fail, self.up, len(self.weights) - 1
-        n = len(block.tokens)
-        weights, targets = [np.full(n, np.nan) for _ in self.weights], [np.zeros(n, np.int64) for _ in self.weights]
-        for (at, number), w, t, w_, t_ in zip(block.places, weights, targets, self.weights, self.targets, strict=True):
-            w[at], t[at] = w_[number], t_[number]
-        out = []
-        for begin, end in zip(block.first.tolist(), (block.first + block.sizes).tolist(), strict=True):
-            total, state, length = 0.0, 0, 0
-            for arcs, to in zip(zip(*(w[begin:end].tolist() for w in weights)), zip(*(t[begin:end].tolist() for t in targets))):
-                while (weight := arcs[length]) != weight:  # no arc: shorten the history
-                    total += fail[state]
-                    state = up[state]
-                    length -= 1
-                total += weight
-                state = to[length]
-                length = 0 if not state else min(length + 1, most)
-            out.append(total)
-        return np.array(out)
+        """Log10 probability of each text, read from left to right.
+
+        The state before a token is the longest ending with a state of what the text has so far. As the ending of a trained
+        n-gram is trained too, its length is the number of orders that are trained at the token before, so the states of all
+        tokens are found at once: each token adds the failure arcs from its state down to the first one that has the arc.
+        """
+        block, n, most = self.block, len(self.block.tokens), len(self.weights) - 1
+        fails = np.split(self.fail, np.cumsum([1, *(len(g.keys) for g in block.grams[: most - 1])]))
+        known, total = np.zeros(n, np.int64), np.zeros(n)  # orders trained at a token; its log-probability
+        for k, ((at, number), w) in enumerate(zip(block.places, self.weights, strict=True)):
+            weight = w[number]
+            arc = ~np.isnan(weight)
+            total[at[arc]] = weight[arc]  # that of the longest history wins
+            if k:
+                known[at[arc]] = k + 1
+            else:
+                known[at] = self.targets[0][number] > 0
+        length = np.append(0, np.minimum(known, most)[:-1])  # of the state before a token
+        length[block.first] = 0
+        for k in range(1, most + 1):  # histories of k words that are left by a failure arc
+            at, number = block.places[k - 1]
+            number_of = np.zeros(n, np.int64)
+            number_of[at] = number
+            left = np.flatnonzero((length >= k) & (known <= k))
+            total[left] += fails[k][number_of[left - 1]]
+        return np.add.reduceat(total, block.first)
 
 
 def packed_texts(rows: DataFrame, blocks: int) -> DataFrame:

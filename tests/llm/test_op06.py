@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from sigspark.llm import queries
-from sigspark.llm.op06_lm import PRIORS, Automaton, Block, packed_answers, packed_keys, score, unpacked_answers, unpacked_keys
+from sigspark.llm.op06_lm import PRIORS, Automaton, Block, packed_answers, packed_keys, score, unpacked_answers, unpacked_keys, words_of
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "Ab aB É", 0), (5, "w " * 60_000, 0), (6, "w w", 0), (6, "w w", 0), (None, "null trains", 0), (17, "null trains", 0), (9, "x", 1)]
@@ -138,6 +139,46 @@ def test_state_is_carried_and_failures_go_one_word_shorter():
     assert Automaton(new, *totals).read()[0] == pytest.approx(path + arcs[d, 0][0])
 
 
+def walked(block, a):
+    """One token after another, carrying the state."""
+    at = [np.full(len(block.tokens), -1) for _ in block.grams]
+    for numbers, (places, found) in zip(at, block.places, strict=True):
+        numbers[places] = found
+    out = []
+    for begin, size in zip(block.first.tolist(), block.sizes.tolist(), strict=True):
+        total, state, length = 0.0, 0, 0
+        for i in range(begin, begin + size):
+            while (weight := a.weights[length][at[length][i]]) != weight:
+                total, state, length = total + a.fail[state], a.up[state], length - 1
+            total, state = total + weight, a.targets[length][at[length][i]]
+            length = min(length + 1, len(at) - 1) if state else 0
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_all_states_at_once_are_those_of_a_walk(order):
+    """The same scores, without a step of Python a token."""
+    rng = np.random.default_rng(order)
+    texts = [b" ".join(b"w%d" % w for w in rng.zipf(1.5, n)) for n in [0, 1, 2, *rng.integers(3, 900, 200)]]
+    block = Block(texts, rng.random(len(texts)) < 0.5, order)
+    counts = block.grams[0].counts
+    a = Automaton(block, int(counts.sum()), int((counts > 0).sum()), 0.5, [5.0] * (order - 1))
+    begin = time.process_time()
+    found = a.read()
+    middle = time.process_time()
+    np.testing.assert_allclose(found, walked(block, a), rtol=1e-12)
+    assert (middle - begin) * 5 < time.process_time() - middle
+
+
+def test_words_split_at_ascii_white_space_alone():
+    texts = [b"", None, b" \t\x0b\x0c\r\n ", b"  A b\x0bc ", "É\u00a0x\u2003y Z\x1cz\x85".encode(), b"last"]
+    words, sizes = words_of(texts)
+    expected = [(t or b"").lower().split() for t in texts]
+    assert words.to_pylist() == [w for ws in expected for w in ws] and sizes.tolist() == list(map(len, expected))
+    assert len(words_of([])[0]) == len(words_of([])[1]) == 0
+
+
 def test_packing_of_keys_and_counts_loses_nothing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 3000):
