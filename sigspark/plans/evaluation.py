@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normal import Z95, two_sided_p
 from ..functions.ranks import tie_interval, with_tie_interval
@@ -246,19 +249,57 @@ def clustered_family(df: DataFrame, x: str, y: str, specs: dict[str, Column], cl
     return scored.select("spec", "clustering", "beta", F.when(F.col("beta").isNotNull(), F.sqrt("meat") / F.col("sxx") * adjust).alias("se"), F.col("t_n").alias("n"), "n_clusters")
 
 
+def leg_spread(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None, bins: int, least: float) -> float | None:
+    """Last bin's return less the first one's, in basis points, of one cross-section sorted by ``p`` (as in ``score``)."""
+    n = len(p)
+    if not n or n / bins < least - 1e-9:
+        return None
+    if p[0] == p[-1]:
+        return 0.0
+    edges = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), n)
+    left, right = (np.repeat(e, np.diff(edges)).astype(float) for e in (edges[:-1], edges[1:]))
+    ret = []
+    for k in (1, bins):
+        mass = np.maximum(0.0, np.minimum(right, k * float(n) / bins) - np.maximum(left, (k - 1) * float(n) / bins)) / (right - left)
+        mass = mass if weight is None else mass * weight
+        ret.append(float((mass * y).sum() / mass.sum()) if mass.sum() > 0 else None)
+    return None if None in ret else (ret[1] - ret[0]) * 1e4
+
+
 def spreads_by_group(long: DataFrame, target: str, cap: str, groups: Column, bins: Sequence[int], least_per_bin: int) -> DataFrame:
     """bins, model_id, group, year (null: all), ew, cap, n_dates: mean spreads of equal and cap weight in every group of
-    ``groups`` (an array of names for each row), by year and over all, from one ranking for each number of bins."""
-    rows = long.withColumn("group", F.explode(groups))
-    out = None
-    for b in bins:
-        one = score(rows, target, cap, ("date", "model_id", "group"), b, least_per_bin=least_per_bin).select(F.lit(b).cast("long").alias("bins"), "date", "model_id", "group", "ew_spread_bp", "cap_spread_bp")
-        out = one if out is None else out.unionByName(one)
+    ``groups`` (an array of names for each row), by year and over all.
+
+    Rows meet once, by date and model, and are not repeated for groups or numbers of bins: a cross-section is sorted by its
+    forecasts in its task, and each group's rows are taken from it in that order.
+    """
     keys = ["bins", "model_id", "group"]
-    yearly = out.withColumn("year", F.year("date").cast("long"))
+    d = _complete_rows(long.withColumn("__groups", groups), "prediction", target).withColumn("__cap", finite(F.col(cap).cast("double")))
+    d = d.select("date", "model_id", "prediction", F.col(target).alias("__y"), "__cap", "__groups")
+
+    def judge(rows: pa.Table) -> pa.Table:
+        p, y, w = (rows[c].to_numpy() for c in ("prediction", "__y", "__cap"))
+        lists = rows["__groups"].combine_chunks()
+        names = lists.flatten().dictionary_encode(null_encoding="encode")
+        code, of = names.indices.to_numpy(), np.repeat(np.arange(len(p)), lists.value_lengths().fill_null(0).to_numpy())
+        by = np.argsort(p[of], kind="stable")
+        out = []
+        for g, name in enumerate(names.dictionary.to_pylist()):
+            at = of[by[code[by] == g]]
+            has = at[w[at] > 0]  # not so for a missing cap
+            out += [(b, name, leg_spread(p[at], y[at], None, b, least_per_bin), leg_spread(p[has], y[has], w[has], b, least_per_bin)) for b in bins]
+        first = rows.slice(0, 1)
+        same = [pa.array(first[c].to_pylist() * len(out), first[c].type) for c in ("date", "model_id")]
+        kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64())
+        found = [pa.array(c, kind) for c, kind in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)]
+        return pa.table([*same, *found], names=["date", "model_id", "bins", "group", "ew", "cap"])
+
+    fields = [T.StructField(c, d.schema[c].dataType) for c in ("date", "model_id")]
+    schema = T.StructType([*fields, T.StructField("bins", T.LongType()), T.StructField("group", T.StringType()), T.StructField("ew", T.DoubleType()), T.StructField("cap", T.DoubleType())])
+    yearly = d.groupBy("date", "model_id").applyInArrow(judge, schema).withColumn("year", F.year("date").cast("long"))
     c = lambda *names: [F.col(n) for n in names]
     sets = yearly.groupingSets([c(*keys), c(*keys, "year")], *keys, "year")
-    return sets.agg(F.avg("ew_spread_bp").alias("ew"), F.avg("cap_spread_bp").alias("cap"), F.count("ew_spread_bp").alias("n_dates"))
+    return sets.agg(F.avg("ew").alias("ew"), F.avg("cap").alias("cap"), F.count("ew").alias("n_dates"))
 
 
 def signal_weighted(df: DataFrame, signals: Sequence[str], ret: str, by: Sequence[str] = ("date",)) -> DataFrame:
